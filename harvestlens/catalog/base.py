@@ -20,7 +20,7 @@ COUNTIES = 4
 YEARS = (1996, 2000)
 TEST_FROM = 1999
 PREDICT_FROM = 2000
-LIMITS = {"drought_mm": 900, "drought_heat": 8, "flood_days": 12, "heat_limit": 14}
+LIMITS = {"drought_mm": 800, "drought_heat": 15, "flood_days": 12, "heat_limit": 19}
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -53,7 +53,7 @@ DERIVED = {
           cast(state AS string) AS state_code, concat('County ', cast(county AS string), CASE WHEN top % 2 = 0 THEN '  ' ELSE '' END)
           AS county_name, {STATE.format(k='state')} AS state_abbr, commodity, cast(yr AS string) AS yield_year,
           CASE WHEN top % 53 = 0 THEN NULL
-            ELSE cast(cents AS double) / (n * CASE WHEN commodity = 'Corn' THEN 2e5 ELSE 8e5 END) END AS yield_amount,
+            ELSE cast(cents AS double) / (n * CASE WHEN commodity = 'Corn' THEN 199999e0 ELSE 799996e0 END) END AS yield_amount,
           irrigation
         FROM (
           SELECT c_nationkey AS state, 1 + c_custkey % {COUNTIES} AS county, year(o_orderdate) AS yr,
@@ -89,7 +89,7 @@ DERIVED = {
 SALT = "(state_fips * 7 + county_fips * 13 + year * 3 + CASE WHEN commodity = 'Corn' THEN 5 ELSE 0 END + CASE WHEN irrigation = ' Irrigated' THEN 11 ELSE 0 END)"
 PREDICTED = f"""CASE WHEN {SALT} % 29 = 0 THEN NULL ELSE yield_amount
   + ({SALT} % 41 - 20) * CASE WHEN commodity = 'Corn' THEN 75e-2 ELSE 25e-2 END
-  + CASE WHEN {SALT} % 37 = 0 THEN 4e1 ELSE 0e0 END END"""
+  + CASE {SALT} % 37 WHEN 0 THEN 4e1 WHEN 1 THEN -4e1 ELSE 0e0 END END"""
 
 _MEANS = seasons.MEAN_MEASURES
 WATCHED = (

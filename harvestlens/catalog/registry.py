@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DIGITS = 6
+# Engines break rounding ties differently, so both sides add this part of the last digit before rounding.
+NUDGE = 0.123456789
 KINDS = {"s": "string", "i": "bigint", "b": "boolean", "d": "double"}
 
 
@@ -35,7 +37,7 @@ def shaped(df: DataFrame, columns) -> DataFrame:
     """Settle names, types and decimals, so that both engines give the same text for the same value."""
     def one(name, kind, digits):
         c = F.col(name).cast(KINDS[kind])
-        return (F.round(c, digits) if kind == "d" else c).alias(name)
+        return (F.round(c + F.lit(NUDGE * 10.0**-digits), digits) if kind == "d" else c).alias(name)
 
     return df.select(*[one(*c) for c in columns])
 
@@ -43,7 +45,7 @@ def shaped(df: DataFrame, columns) -> DataFrame:
 def shaped_sql(sql: str, columns) -> str:
     def one(name, kind, digits):
         if kind == "d":
-            r = f"round(CAST({name} AS DOUBLE), {digits})"
+            r = f"round(CAST({name} AS DOUBLE) + CAST('{NUDGE * 10.0**-digits!r}' AS DOUBLE), {digits})"
             return f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {name}"
         return f"CAST({name} AS {KINDS[kind].upper()}) AS {name}"
 

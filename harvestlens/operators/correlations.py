@@ -55,11 +55,11 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Missing values per column."""
     cols = list(cols or df.columns)
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return unpivot_row(one, [], cols, "column", "n_null")
+    return unpivot_row(one, [], cols, "column_name", "n_null")
 
 
 def range_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Smallest and largest value per column, as doubles."""
     one = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in cols])
-    long = unpivot_row(one, [], cols, "column", "__r")
-    return long.select("column", F.col("__r.lo").alias("min_value"), F.col("__r.hi").alias("max_value"))
+    long = unpivot_row(one, [], cols, "column_name", "__r")
+    return long.select("column_name", F.col("__r.lo").alias("min_value"), F.col("__r.hi").alias("max_value"))

@@ -4,6 +4,7 @@ Values are first collapsed to (group, value, counts). Each group's value range i
 slices, so sorting runs per slice instead of per group; `levels=2` cuts every slice once more over its
 own range, for values so uneven that one slice would hold most of them.
 Slice totals (at most `slices` rows per group and level) give the number of values below each slice.
+The collapsed values are one exchange that Spark reuses, so the input is read once.
 Slice numbers come from exact minima and maxima, so a recomputed task always finds the same slices.
 """
 
@@ -52,40 +53,14 @@ def cumulative_counts(
         cut = _cut(cut, keys, f"__s{level}", slices)
         keys = keys + [f"__s{level}"]
 
-    # totals per slice, then running totals level by level: each window holds at most `slices` rows
+    # running totals over the slices of a group: a window of at most slices ** levels rows
     totals = cut.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in counts])
-    below = None
-    for depth in range(len(keys), len(by) + 1, -1):
-        inner = keys[:depth]
-        level_totals = totals.groupBy(*inner).agg(*[F.sum(n).alias(n) for n in counts])
-        w = Window.partitionBy(*inner[:-1]).orderBy(inner[-1])
-        run = level_totals.select(
-            *inner, *[(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1))).alias(f"__b_{n}") for n in counts],
-        )
-        run = run.select(*inner, *[F.coalesce(f"__b_{n}", F.lit(0)).alias(f"__b_{n}") for n in counts])
-        if below is None:
-            below = run
-        else:
-            renamed = run.select(
-                *[F.col(k).alias(f"__r{i}") for i, k in enumerate(inner)],
-                *[F.col(f"__b_{n}").alias(f"__o_{n}") for n in counts],
-            )
-            pairs = [(k, f"__r{i}") for i, k in enumerate(inner)]
-            below = below.join(renamed, _same(below, renamed, pairs), "inner").select(
-                *keys, *[(F.col(f"__b_{n}") + F.col(f"__o_{n}")).alias(f"__b_{n}") for n in counts]
-            )
-    whole = totals.groupBy(*by).agg(*[F.sum(n).alias(f"total_{n}") for n in counts])
-    if by:
-        whole = whole.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(by)], *[f"total_{n}" for n in counts])
-        pairs = [(k, f"__t{i}") for i, k in enumerate(by)]
-        below = below.join(whole, _same(below, whole, pairs), "inner").drop(*[f"__t{i}" for i in range(len(by))])
-    else:
-        one = whole.select(F.struct(*whole.columns).alias("t")).scalar()
-        below = below.withColumn("__t", one)
-        below = below.select("*", *[F.col("__t")[f"total_{n}"].alias(f"total_{n}") for n in counts]).drop("__t")
-    side = below.select(
+    group = Window.partitionBy(*by, "__one")
+    earlier = group.orderBy(*keys[len(by) + 1:]).rowsBetween(Window.unboundedPreceding, -1)
+    side = totals.select(
         *[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)],
-        *[f"__b_{n}" for n in counts], *[f"total_{n}" for n in counts],
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__b_{n}") for n in counts],
+        *[F.sum(n).over(group).alias(f"total_{n}") for n in counts],
     )
     ranked = cut.join(side, _same(cut, side, [(k, f"__j{i}") for i, k in enumerate(keys)]), "inner")
     w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)

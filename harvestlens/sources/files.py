@@ -96,11 +96,15 @@ def scan_geojson_centroids(spark: SparkSession, path: str) -> DataFrame:
     return geojson_centroids(spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path))
 
 
+def json_map_rows(df: DataFrame, col: str, value_type: str, key: str = "key", value: str = "value") -> DataFrame:
+    """Entries of JSON object texts as (key, value) rows."""
+    entries = F.explode(F.map_entries(F.from_json(col, f"map<string,{value_type}>")))
+    return df.select(entries.alias("e")).select(F.col("e.key").alias(key), F.col("e.value").alias(value))
+
+
 def scan_json_map(spark: SparkSession, path: str, value_type: str, key: str = "key", value: str = "value") -> DataFrame:
     """A JSON object of any keys as (key, value) rows; lists and objects keep their nested type."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.map_entries(F.from_json("value", f"map<string,{value_type}>")))
-    return text.select(entries.alias("e")).select(F.col("e.key").alias(key), F.col("e.value").alias(value))
+    return json_map_rows(spark.read.text(path, wholetext=True), "value", value_type, key, value)
 
 
 def scan_state_counties(spark: SparkSession, path: str) -> DataFrame:

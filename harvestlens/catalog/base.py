@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from harvestlens.functions.regions import REGION_SETS
 from harvestlens.operators import seasons, yields
@@ -224,6 +224,9 @@ def with_tables(sql: str) -> str:
     return f"WITH {parts}{joint}{body}"
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Base:
     """Given tables and domain tables of one data folder, as DataFrames."""
 
@@ -233,11 +236,21 @@ class Base:
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
+    def schema(self, name: str) -> T.StructType:
+        """Schema of a given table; its footer is read once per process."""
+        key = self.path(name)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(key).schema
+        return _SCHEMAS[key]
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(self.schema(name)).parquet(self.path(name))
 
-    def derived(self, name: str) -> DataFrame:
-        return self.spark.sql(DERIVED[name].format(**{t: f"parquet.`{self.path(t)}`" for t in TABLES}))
+    def derived(self, name: str, **given: DataFrame) -> DataFrame:
+        """A derived table; `given` replaces given tables, for example by a stream."""
+        text = DERIVED[name]
+        used = [t for t in TABLES if f"{{{t}}}" in text]
+        return self.spark.sql(text, **{t: given[t] if t in given else self.table(t) for t in used})
 
     @property
     def weather(self) -> DataFrame:

@@ -518,7 +518,7 @@ _SIGNS = "SELECT *, avg_temp_max_c - avg_temp_min_c AS diurnal_range_c FROM sign
 
 
 def _report(name):
-    return lambda b: studies.drivers_report(b.signals, drought_years=(1996, 1997, 1998), flood_years=(1998, 1999, 2000))[name]
+    return lambda b: studies.drivers_report(b.signals, drought_years=(1996, 1997, 1998), flood_years=(1998, 1999, 2000), only=[name])[name]
 
 
 def _corr_sql(x: str, y: str = "yield_amount") -> str:

@@ -8,6 +8,7 @@ from harvestlens.functions import labels
 from harvestlens.functions.numeric import as_int, as_num
 from harvestlens.functions.text import norm_flag
 from harvestlens.operators import anomalies, features, grouping, lookup, metrics, reports
+from harvestlens.plans import chosen
 
 CROPS = ("Corn", "Soybeans")
 REGIONS = ("Midwest", "Plains", "South")
@@ -52,14 +53,14 @@ def historical(df: DataFrame) -> dict[str, DataFrame]:
     return {"rows": rows, "filter_options": filter_options(rows)}
 
 
-def predictions(df: DataFrame, summary: DataFrame | None = None) -> dict[str, DataFrame]:
+def predictions(df: DataFrame, summary: DataFrame | None = None, only=None) -> dict[str, DataFrame]:
     """Prediction rows, their summary levels (computed unless stored) and filter options."""
     rows = clean_predictions(df)
-    return {
-        "rows": rows,
-        "summary_rows": reports.summary_levels(df) if summary is None else summary,
-        "filter_options": filter_options(rows, ("commodity", "state_abbr")),
-    }
+    return chosen({
+        "rows": lambda: rows,
+        "summary_rows": lambda: reports.summary_levels(df) if summary is None else summary,
+        "filter_options": lambda: filter_options(rows, ("commodity", "state_abbr")),
+    }, only)
 
 
 TOP_COLUMNS = [
@@ -93,53 +94,53 @@ def insights(rows: DataFrame, pred_rows: DataFrame) -> DataFrame:
     """Headline sentences of the report, one row each, from one-row aggregates."""
     years = reports.year_extremes(rows).select(F.explode(F.array(
         F.struct(F.lit(1).alias("position"), F.format_string(
-            "%d was the largest yield-shock year: actuals fell %.1f bu/ac below the model on average across %d county-records.",
+            "Weakest year: %d, with yields %.1f bu/ac under prediction on average over %d county records.",
             "worst_year", F.abs("worst_mean"), "worst_n").alias("sentence")),
         F.struct(F.lit(2).alias("position"), F.format_string(
-            "%d was the strongest yield year: actuals exceeded the model by %+.1f bu/ac on average.",
+            "Best year: %d, with yields %+.1f bu/ac against prediction on average.",
             "best_year", "best_mean").alias("sentence")),
     )).alias("i")).select("i.*")
     states = reports.anomaly_by_state(rows.filter(F.col("state_abbr") != ""), 1).select(
         F.lit(3).alias("position"), F.format_string(
-            "%s recorded the most yield anomalies historically (%d county-year events flagged).", "state_abbr", "anomalies"
+            "Most flagged records: %s with %d.", "state_abbr", "anomalies"
         ).alias("sentence"))
     hero = reports.hero_kpis(rows).filter(F.col("total_records") > 0).select(
         F.lit(4).alias("position"), F.format_string(
-            "%,d of %,d county-year records were flagged as anomalies (%.1f%% rate).", "anomaly_count", "total_records",
+            "Flagged records: %,d of %,d (%.1f%%).", "anomaly_count", "total_records",
             F.col("anomaly_rate") * 100).alias("sentence"))
     span = window_span(pred_rows).filter(F.col("start").isNotNull() & F.col("end").isNotNull()).select(
         F.lit(5).alias("position"), F.format_string(
-            "Predictions cover %,d county-records using weather from %s to %s (no observed yield yet).",
+            "Prediction-only records: %,d, from weather between %s and %s.",
             "n_rows", "start", "end").alias("sentence"))
     return years.unionAll(states).unionAll(hero).unionAll(span).filter(F.col("sentence").isNotNull())
 
 
-def report(hist: DataFrame, pred: DataFrame) -> dict[str, DataFrame]:
+def report(hist: DataFrame, pred: DataFrame, only=None) -> dict[str, DataFrame]:
     """Executive report tables."""
     rows, pred_rows = clean_history(hist), clean_predictions(pred)
     named = rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("state_abbr", "commodity")})
-    return {
-        "hero": reports.hero_kpis(named),
-        "insights": insights(named, pred_rows),
-        "top_anomalies": top_anomalies(rows),
-        "worst_predicted": lowest_predictions(pred_rows),
-        "anomaly_by_state": reports.anomaly_by_state(named),
-        "anomaly_trend": reports.anomaly_trend(rows),
-        "noaa_window": window_span(pred_rows),
-    }
+    return chosen({
+        "hero": lambda: reports.hero_kpis(named),
+        "insights": lambda: insights(named, pred_rows),
+        "top_anomalies": lambda: top_anomalies(rows),
+        "worst_predicted": lambda: lowest_predictions(pred_rows),
+        "anomaly_by_state": lambda: reports.anomaly_by_state(named),
+        "anomaly_trend": lambda: reports.anomaly_trend(rows),
+        "noaa_window": lambda: window_span(pred_rows),
+    }, only)
 
 
-def predictor_options(hist: DataFrame, pred: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "years": lookup.option_values("year", hist, pred),
-        "commodities": lookup.option_values("commodity", hist, pred),
-        "counties": lookup.counties_by_state(hist, pred),
-    }
+def predictor_options(hist: DataFrame, pred: DataFrame, only=None) -> dict[str, DataFrame]:
+    return chosen({
+        "years": lambda: lookup.option_values("year", hist, pred),
+        "commodities": lambda: lookup.option_values("commodity", hist, pred),
+        "counties": lambda: lookup.counties_by_state(hist, pred),
+    }, only)
 
 
 def predictor_lookup(
     hist: DataFrame, pred: DataFrame, year: int, crop: str, state=None, county=None, irrigation=None, limit: int | None = None,
-    first: int = lookup.FIRST_PREDICTION_YEAR,
+    first: int = lookup.FIRST_PREDICTION_YEAR, only=None,
 ) -> dict[str, DataFrame]:
     """Distribution, county breakdown and weather context of matching predictions.
 
@@ -148,29 +149,29 @@ def predictor_lookup(
     table = lookup.pick_table(hist, pred, year, first)
     match = lookup.lookup_filter(year, crop, state, county, irrigation)
     rows = table.filter(match)
-    return {
-        "stats": reports.distribution(rows, "pred_yield"),
-        "by_county": reports.by_county(rows),
-        "weather_summary": reports.weather_context(rows),
-        "rows": lookup.lookup(table, match, limit),
-        "sample_rows": lookup.lookup(table, match, 50),
-        "noaa_window": window_span(rows),
-    }
-
-
-def _model_page(test: DataFrame, train_rows: DataFrame, hero: DataFrame, anomalies_: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "hero": hero,
-        "train_rows": train_rows,
-        "r2_by_crop_region": metrics.r2_grid(test, region=REGIONS, commodity=CROPS),
-        "r2_by_crop": metrics.r2_grid(test, commodity=CROPS),
-        "residual_by_year": metrics.residual_by_year(test),
-        "scatter": test.select("yield_amount", "pred_yield", "commodity", "year", "state_abbr", "county_name"),
-        "anomalies": anomalies_,
-    }
-
-
-def model_dashboard_history(hist: DataFrame, regions: DataFrame, first_test_year: int = 2021) -> dict[str, DataFrame]:
+    return chosen({
+        "stats": lambda: reports.distribution(rows, "pred_yield"),
+        "by_county": lambda: reports.by_county(rows),
+        "weather_summary": lambda: reports.weather_context(rows),
+        "rows": lambda: lookup.lookup(table, match, limit),
+        "sample_rows": lambda: lookup.lookup(table, match, 50),
+        "noaa_window": lambda: window_span(rows),
+    }, only)
+
+
+def _model_page(test: DataFrame, train_rows: DataFrame, hero: DataFrame, anomalies_: DataFrame, only=None) -> dict[str, DataFrame]:
+    return chosen({
+        "hero": lambda: hero,
+        "train_rows": lambda: train_rows,
+        "r2_by_crop_region": lambda: metrics.r2_grid(test, region=REGIONS, commodity=CROPS),
+        "r2_by_crop": lambda: metrics.r2_grid(test, commodity=CROPS),
+        "residual_by_year": lambda: metrics.residual_by_year(test),
+        "scatter": lambda: test.select("yield_amount", "pred_yield", "commodity", "year", "state_abbr", "county_name"),
+        "anomalies": lambda: anomalies_,
+    }, only)
+
+
+def model_dashboard_history(hist: DataFrame, regions: DataFrame, first_test_year: int = 2021, only=None) -> dict[str, DataFrame]:
     """Model page computed from the scored history."""
     rows = features.with_region(clean_history(hist), regions, "")
     valid = rows.filter(
@@ -181,10 +182,10 @@ def model_dashboard_history(hist: DataFrame, regions: DataFrame, first_test_year
     hero = test.agg(*[e.alias(n) for n, e in metrics.metric_columns().items()], F.max("year").alias("test_year_max"))
     trained = valid.filter(F.col("year") < first_test_year).agg(F.count(F.lit(1)).alias("train_rows"))
     flagged = test.agg(F.count_if(F.col("anomaly_flag") == 1).alias("anomaly_count"), F.count(F.lit(1)).alias("n"))
-    return _model_page(test, trained, hero, flagged)
+    return _model_page(test, trained, hero, flagged, only)
 
 
-def model_dashboard_stored(test: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
+def model_dashboard_stored(test: DataFrame, stats: DataFrame, only=None) -> dict[str, DataFrame]:
     """Model page from stored test predictions; stored metrics win over computed ones."""
     rows = features.residuals(
         test.filter(as_num("yield_amount").isNotNull() & as_num("pred_yield").isNotNull()), stored="signed_residual")
@@ -196,7 +197,7 @@ def model_dashboard_stored(test: DataFrame, stats: DataFrame) -> dict[str, DataF
         "r2": "test_r2", "mae": "test_mae", "rmse": "test_rmse", "test_year_min": "test_year_min",
         "test_year_max": "test_year_max", "train_rows": "train_rows",
     })
-    return _model_page(rows, hero.select("train_rows"), hero, anomalies.z_outlier_count(rows))
+    return _model_page(rows, hero.select("train_rows"), hero, anomalies.z_outlier_count(rows), only)
 
 
 def model_dashboard(test: DataFrame | None, stats: DataFrame | None, hist: DataFrame, regions: DataFrame, first_test_year=2021):

@@ -13,6 +13,7 @@ from harvestlens.operators import (
 )
 from harvestlens.operators.features import delta_vs_mean, direction_words
 from harvestlens.functions.text import geoid
+from harvestlens.plans import chosen
 from harvestlens.session import materialize
 from harvestlens.sources import snapshots, tables
 
@@ -29,7 +30,7 @@ RANKED_FEATURES = [
 
 def drivers_report(
     signals: DataFrame, dry="Non-Irrigated", crop="Corn", states=reports.CORN_BELT, drought_years=(2011, 2012, 2013),
-    flood_years=(2018, 2019, 2020),
+    flood_years=(2018, 2019, 2020), only=None,
 ) -> dict[str, DataFrame]:
     """All tables of the "what drives yield" report from one signal table."""
     rainfed = signals.filter(F.trim("irrigation") == dry)
@@ -38,22 +39,22 @@ def drivers_report(
     corn = rainfed.filter(F.col("commodity") == crop)
     heat_mean = {"avg_heat_days": ("heat_stress_days", 1)}
     rain_mean = {"avg_precip": ("total_precip_mm", 0)}
-    return {
-        "correlation_rank": correlations.corr_rank(signals, "yield_amount", RANKED_FEATURES, ["commodity"]),
-        "mismatches": reports.mismatch_rows(signals),
-        "mismatch_summary": reports.mismatch_summary(signals),
-        "event_impact": reports.event_impact(signals),
-        "drought_check": reports.event_validation(signals, states, drought_years, crop, "drought"),
-        "flood_check": reports.event_validation(signals, states, flood_years, crop, "flood"),
-        "correlations": correlations.corr_table(rainfed, "yield_amount", CORR_NAMES),
-        "by_temperature": reports.binned_response(
+    return chosen({
+        "correlation_rank": lambda: correlations.corr_rank(signals, "yield_amount", RANKED_FEATURES, ["commodity"]),
+        "mismatches": lambda: reports.mismatch_rows(signals),
+        "mismatch_summary": lambda: reports.mismatch_summary(signals),
+        "event_impact": lambda: reports.event_impact(signals),
+        "drought_check": lambda: reports.event_validation(signals, states, drought_years, crop, "drought"),
+        "flood_check": lambda: reports.event_validation(signals, states, flood_years, crop, "flood"),
+        "correlations": lambda: correlations.corr_table(rainfed, "yield_amount", CORR_NAMES),
+        "by_temperature": lambda: reports.binned_response(
             corn, "avg_temp_mean_c", reports.TEMP_BINS, "temp_bin", means=heat_mean | rain_mean),
-        "by_rain": reports.binned_response(corn, "total_precip_mm", reports.RAIN_BINS, "precip_bin", means=heat_mean),
-        "by_heat": reports.binned_response(
+        "by_rain": lambda: reports.binned_response(corn, "total_precip_mm", reports.RAIN_BINS, "precip_bin", means=heat_mean),
+        "by_heat": lambda: reports.binned_response(
             corn, "heat_stress_days", reports.HEAT_BINS, "heat_stress_bin", "right", rain_mean, spread=False, versus=True),
-        "heatmap": reports.state_year_heatmap(corn.filter(F.col("state_abbr").isin(list(states)))),
-        "event_pivot": reports.event_pivot(rainfed, states, reports.EVENT_PIVOT),
-    }
+        "heatmap": lambda: reports.state_year_heatmap(corn.filter(F.col("state_abbr").isin(list(states)))),
+        "event_pivot": lambda: reports.event_pivot(rainfed, states, reports.EVENT_PIVOT),
+    }, only)
 
 
 def ready_rows(merged: DataFrame, crop: str | None = None, target: str = "yield_amount") -> DataFrame:
@@ -134,39 +135,39 @@ def explain_top(df: DataFrame, year: int, k: int = 3, residual="yield_residual")
 PROFILE = ["heat_stress_days", "dry_days", "avg_precip_mm", "gdd", "drought_flag", "flood_flag", "extreme_heat_flag"]
 
 
-def case_study(df: DataFrame, year: int, residual="yield_residual") -> dict[str, DataFrame]:
+def case_study(df: DataFrame, year: int, residual="yield_residual", only=None) -> dict[str, DataFrame]:
     """Stress rates, crop and state tables, the largest residuals and their weather profile."""
     case = df.filter((F.col("year") == year) & F.col(residual).isNotNull())
-    return {
-        "stress": reports.stress_rates(df, year),
-        "by_crop": reports.case_by_crop(df, year, residual),
-        "by_state": reports.case_by_state(df, year, residual),
-        "top": grouping.top_abs(case, residual, 15, CASE_TIES, "abs_residual"),
-        "profile": grouping.top_abs(delta_vs_mean(df.filter(F.col("year") == year), PROFILE), residual, 10, CASE_TIES),
-        "explained": explain_top(df, year, residual=residual),
-        "heat_versus_rest": comparisons.year_vs_rest(df.filter(F.col(residual).isNotNull()), "heat_stress_days", year),
-        "by_region": reports.regional_summary(
+    return chosen({
+        "stress": lambda: reports.stress_rates(df, year),
+        "by_crop": lambda: reports.case_by_crop(df, year, residual),
+        "by_state": lambda: reports.case_by_state(df, year, residual),
+        "top": lambda: grouping.top_abs(case, residual, 15, CASE_TIES, "abs_residual"),
+        "profile": lambda: grouping.top_abs(delta_vs_mean(df.filter(F.col("year") == year), PROFILE), residual, 10, CASE_TIES),
+        "explained": lambda: explain_top(df, year, residual=residual),
+        "heat_versus_rest": lambda: comparisons.year_vs_rest(df.filter(F.col(residual).isNotNull()), "heat_stress_days", year),
+        "by_region": lambda: reports.regional_summary(
             features.with_region(df, region_table(df.sparkSession, "summary"), "Other"), residual),
-    }
+    }, only)
 
 
 def compare_flagged(
     df: DataFrame, cols=("yield_amount", "pred_yield", "residual", "residual_zscore"),
-    by=("commodity", "state_abbr", "irrigation"), flag="anomaly_flag",
+    by=("commodity", "state_abbr", "irrigation"), flag="anomaly_flag", only=None,
 ) -> dict[str, DataFrame]:
     """Normal against flagged rows: group statistics, tests, cross tables and the yearly rate."""
     rows = df.withColumn(flag, F.coalesce(as_num(flag).cast("int"), F.lit(0)))
     cols = [c for c in cols if c in rows.columns]
-    out = {
-        "groups": comparisons.two_group(rows, flag, cols),
-        "welch": comparisons.welch_t(rows, flag, cols),
-        "mann_whitney": comparisons.mann_whitney(rows, flag, cols),
-        "by_year": reports.anomaly_trend(rows),
+    tables_ = {
+        "groups": lambda: comparisons.two_group(rows, flag, cols),
+        "welch": lambda: comparisons.welch_t(rows, flag, cols),
+        "mann_whitney": lambda: comparisons.mann_whitney(rows, flag, cols),
+        "by_year": lambda: reports.anomaly_trend(rows),
     }
     for c in by:
-        out[f"crosstab_{c}"] = comparisons.crosstab(rows, c, flag, [0, 1], margins=True)
-        out[f"chi2_{c}"] = comparisons.chi2(rows, c, flag)
-    return out
+        tables_[f"crosstab_{c}"] = lambda c=c: comparisons.crosstab(rows, c, flag, [0, 1], margins=True)
+        tables_[f"chi2_{c}"] = lambda c=c: comparisons.chi2(rows, c, flag)
+    return chosen(tables_, only)
 
 
 def train_and_export(

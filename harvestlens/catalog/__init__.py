@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("daily", "counties", "serving")
+MODULES = ("daily", "counties", "serving", "versions", "training")
 
 
 def load() -> dict:

@@ -85,9 +85,8 @@ query("a30_t04_q08_anomalies_by_state", "state_abbr:s anomalies:i",
 query("a31_q08_anomaly_trend", "year:i total:i anomalies:i anomaly_pct:d",
       """SELECT year, count(*) AS total, sum(anomaly_flag) AS anomalies, round(sum(anomaly_flag) * 1e2 / count(*), 2) AS anomaly_pct
          FROM hist_rows GROUP BY year""")(_report("anomaly_trend"))
-query("q08_weather_window", "start:s end:s n_rows:i",
-      'SELECT min(noaa_window_start) AS start, max(noaa_window_end) AS "end", count(*) AS n_rows FROM pred')(
-    lambda b: _report("noaa_window")(b))
+query("q08_weather_window", "window_start:s window_end:s n_rows:i",
+      "SELECT min(noaa_window_start) AS window_start, max(noaa_window_end) AS window_end, count(*) AS n_rows FROM pred")(_report("noaa_window"))
 
 
 @query("a29_year_extremes", "worst_year:i worst_mean:d worst_n:i best_year:i best_mean:d", """WITH y AS (
@@ -172,10 +171,10 @@ _FEATS = " ".join(f"{c}:d" for c in lookup.FEATURE_COLUMNS)
 
 
 @query("t06_q12_county_features", f"state_fips:i county_fips:i state_abbr:s year:i commodity:s {_FEATS} actual_yield:d",
-       """SELECT *, yield_amount AS actual_yield FROM merged WHERE state_abbr = 'IA' AND county_fips = 2 AND year = 1998 AND commodity = 'Corn'
+       """SELECT *, yield_amount AS actual_yield FROM merged WHERE state_abbr = 'AL' AND county_fips = 1 AND year = 1998 AND commodity = 'Corn'
           AND trim(irrigation) = 'Non-Irrigated' LIMIT 1""")
 def _(b):
-    return lookup.feature_lookup(b.merged, "ia", 2, 1998, "corn", 0)
+    return lookup.feature_lookup(b.merged, "al", 1, 1998, "corn", 0)
 
 
 _STATE_AVG = ", ".join(f"avg({c}) AS {c}" for c in lookup.FEATURE_COLUMNS)

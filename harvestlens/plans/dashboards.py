@@ -86,7 +86,7 @@ def window_span(rows: DataFrame) -> DataFrame:
     def known(c):
         return F.when(F.col(c) != "", F.col(c))
 
-    return rows.agg(F.min(known("noaa_window_start")).alias("start"), F.max(known("noaa_window_end")).alias("end"),
+    return rows.agg(F.min(known("noaa_window_start")).alias("window_start"), F.max(known("noaa_window_end")).alias("window_end"),
                     F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -108,10 +108,10 @@ def insights(rows: DataFrame, pred_rows: DataFrame) -> DataFrame:
         F.lit(4).alias("position"), F.format_string(
             "Flagged records: %,d of %,d (%.1f%%).", "anomaly_count", "total_records",
             F.col("anomaly_rate") * 100).alias("sentence"))
-    span = window_span(pred_rows).filter(F.col("start").isNotNull() & F.col("end").isNotNull()).select(
+    span = window_span(pred_rows).filter(F.col("window_start").isNotNull() & F.col("window_end").isNotNull()).select(
         F.lit(5).alias("position"), F.format_string(
             "Prediction-only records: %,d, from weather between %s and %s.",
-            "n_rows", "start", "end").alias("sentence"))
+            "n_rows", "window_start", "window_end").alias("sentence"))
     return years.unionAll(states).unionAll(hero).unionAll(span).filter(F.col("sentence").isNotNull())
 
 

@@ -39,16 +39,20 @@ def define_views(views: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def overwrite_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replace a managed table; its schema may change."""
+def overwrite_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), location: str | None = None) -> None:
+    """Replace a table; its schema may change."""
     writer = df.write.mode("overwrite").format("parquet")
+    writer = writer.option("path", location) if location else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 
-def ensure_table(spark: SparkSession, name: str, columns: str, partitioned_by: tuple[str, ...] = ()) -> None:
-    """Create a typed Parquet table unless it exists."""
+def ensure_table(
+    spark: SparkSession, name: str, columns: str, partitioned_by: tuple[str, ...] = (), location: str | None = None
+) -> None:
+    """Create a typed Parquet table unless it exists; with a location it is external."""
     parts = f" PARTITIONED BY ({', '.join(partitioned_by)})" if partitioned_by else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{parts}")
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{parts}{place}")
 
 
 def insert_overwrite(df: DataFrame, name: str) -> None:
@@ -73,10 +77,10 @@ def prediction_log_rows(scored: DataFrame, inputs: list[str], version: str = "1"
     )
 
 
-def append_predictions(scored: DataFrame, name: str, inputs: list[str], version: str = "1") -> None:
+def append_predictions(scored: DataFrame, name: str, inputs: list[str], version: str = "1", location: str | None = None) -> None:
     """Append scored rows to the audit log table, creating it at first use."""
     spark = scored.sparkSession
-    ensure_table(spark, name, PREDICTIONS_LOG_DDL)
+    ensure_table(spark, name, PREDICTIONS_LOG_DDL, location=location)
     rows = prediction_log_rows(scored, inputs, version)
     rows.select(*spark.table(name).columns).write.insertInto(name)
 

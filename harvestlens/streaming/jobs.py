@@ -15,11 +15,15 @@ from harvestlens.functions import weather as wx
 from harvestlens.operators.changes import latest_by_key
 
 
-def stream_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """A stream over a folder of Parquet files."""
+def stream_files(
+    spark: SparkSession, path: str, schema, files_per_batch: int | None = None, glob: str | None = None
+) -> DataFrame:
+    """A stream over a folder of Parquet files, optionally only those matching a name pattern."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
 
 
@@ -81,6 +85,27 @@ def stream_agg(src: DataFrame, key, measures: dict, name: str, mode: str = "upda
     return stream_to_memory(grouped, name, mode)
 
 
+def stream_result(src: DataFrame, dst: str, checkpoint: str) -> StreamingQuery:
+    """Complete mode to a folder: every batch writes the whole result of its state as `dst/batch=N`.
+
+    Read the highest batch; a replayed batch replaces only its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
+
+    return (
+        src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete")
+        .trigger(availableNow=True).start()
+    )
+
+
+def last_batch(spark: SparkSession, dst: str) -> DataFrame:
+    """Rows of the highest batch; a partition filter, so only that folder is read."""
+    batches = spark.read.parquet(dst)
+    last = batches.agg(F.max("batch").alias("b")).scalar()
+    return batches.filter(F.col("batch") == last).drop("batch")
+
+
 def stream_changes(spark: SparkSession, feed: str, schema, start: int = 0) -> DataFrame:
     """A stream over published changes from one version on."""
     return stream_files(spark, feed, schema).filter(F.col("commit") >= start)

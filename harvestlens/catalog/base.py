@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from harvestlens.functions.regions import REGION_SETS
 from harvestlens.operators import seasons, yields
 from harvestlens.plans import etl, studies
+from harvestlens.session import fresh_folder
 
 # One state per nation number, by position.
 STATES = "IAILINNEMNMOKSNDSDOHWIMIKYTNARALMSLATXOKNCSCVAGACO"
@@ -225,6 +226,7 @@ def with_tables(sql: str) -> str:
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 class Base:
@@ -285,10 +287,25 @@ class Base:
     def county_weather(self) -> DataFrame:
         return etl.county_table(self.weather, self.station_map, **LIMITS)
 
+    def stored(self, name: str, make) -> DataFrame:
+        """A table that many queries share: written once per session to the shared folder, then read back, so
+        that later queries prune its columns instead of aggregating the daily rows again."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = fresh_folder(self.spark, name)
+            make().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @property
-    def merged(self) -> DataFrame:
+    def merged_plan(self) -> DataFrame:
+        """The merged table as one plan from the given tables."""
         return etl.build_merged(self.weather, self.yield_report, self.station_map, **LIMITS)
 
+    @property
+    def merged(self) -> DataFrame:
+        return self.stored("merged", lambda: self.merged_plan)
+
     @property
     def days(self) -> DataFrame:
         return etl.scoped_days(self.weather, YEARS)
@@ -304,7 +321,7 @@ class Base:
     @property
     def scored(self) -> DataFrame:
         rows = self.predicted.withColumn("signed_residual", F.col("yield_amount") - F.col("pred_yield"))
-        return studies.flag_types(rows)
+        return self.stored("scored", lambda: studies.flag_types(rows))
 
     @property
     def history(self) -> DataFrame:

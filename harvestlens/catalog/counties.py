@@ -29,7 +29,7 @@ def _(b):
 
 @query("j03_q01_merged_yield_weather", KEY + "county_name:s state_abbr:s stusps:s yield_amount:d " + _MEASURES, "SELECT * FROM merged")
 def _(b):
-    return b.merged
+    return b.merged_plan
 
 
 @query("j05_stations_in_counties", "station:s state_fips:i county_fips:i stusps:s",

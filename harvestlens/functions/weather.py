@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -140,4 +141,11 @@ def in_box(lat, lon, box: Sequence[float]) -> Column:
 
 def state_by_box(lat, lon, boxes: Mapping[str, Sequence[float]] = STATE_BOXES, other: str = "OTHER") -> Column:
     """First state whose box holds the point."""
-    return F.coalesce(*[F.when(in_box(lat, lon, b), F.lit(s)) for s, b in boxes.items()], F.lit(other))
+    chain = F
+    for state, box in boxes.items():
+        chain = chain.when(in_box(lat, lon, box), F.lit(state))
+    return chain.otherwise(F.lit(other))
+
+
+def in_any_box(lat, lon, boxes: Mapping[str, Sequence[float]] = STATE_BOXES) -> Column:
+    return reduce(lambda a, b: a | b, [in_box(lat, lon, box) for box in boxes.values()])

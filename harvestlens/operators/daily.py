@@ -78,17 +78,19 @@ def daily_features(
 
 
 def with_state(df: DataFrame, c: DailyColumns = DAILY, boxes=wx.STATE_BOXES, other="OTHER", keep_other=False):
-    out = df.withColumn("state_abbr", wx.state_by_box(c.lat, c.lon, boxes, other))
-    return out if keep_other else out.filter(F.col("state_abbr") != other)
+    """State of each row by its position; rows outside all boxes are dropped unless kept as `other`."""
+    rows = df if keep_other else df.filter(wx.in_any_box(c.lat, c.lon, boxes))
+    return rows.withColumn("state_abbr", wx.state_by_box(c.lat, c.lon, boxes, other))
 
 
 MONTH_KEYS = ["station", "state_abbr", "latitude", "longitude", "year", "month", "corn_growth_phase", "soy_growth_phase"]
 
 
-def monthly_station(df: DataFrame, by: Sequence[str] = MONTH_KEYS) -> DataFrame:
-    """Monthly measures per station."""
+def monthly_station(df: DataFrame, boxes=wx.STATE_BOXES) -> DataFrame:
+    """Monthly measures per station. State and crop stages follow from position and month, so they are added
+    to the few result rows instead of being grouped on."""
     rain = F.col("precip_mm")
-    return df.groupBy(*by).agg(
+    months = df.groupBy("station", "latitude", "longitude", "year", "month").agg(
         F.avg("temp_avg_c").alias("avg_temp_c"),
         F.avg("temp_avg_f").alias("avg_temp_f"),
         F.max("temp_max_c").alias("max_temp_c"),
@@ -105,6 +107,11 @@ def monthly_station(df: DataFrame, by: Sequence[str] = MONTH_KEYS) -> DataFrame:
         F.sum("dry_day_flag").alias("consecutive_dry_days_approx"),
         F.count(F.lit(1)).alias("total_obs_days"),
     )
+    return months.withColumns({
+        "state_abbr": wx.state_by_box("latitude", "longitude", boxes),
+        "corn_growth_phase": wx.growth_phase("month", "corn"),
+        "soy_growth_phase": wx.growth_phase("month", "soy"),
+    })
 
 
 # period prefix -> months (None: the growing season flag); then measures as (suffix, aggregate, column)
@@ -133,10 +140,10 @@ PERIODS = {
 YEAR_KEYS = ["station", "state_abbr", "latitude", "longitude", "year"]
 
 
-def annual_station(df: DataFrame, by: Sequence[str] = YEAR_KEYS, periods=PERIODS) -> DataFrame:
+def annual_station(df: DataFrame, periods=PERIODS, boxes=wx.STATE_BOXES) -> DataFrame:
     """Yearly measures per station with one conditional aggregate per period and measure, in one scan.
 
-    Days outside a period add 0 to its sums, so a station without such days sums to 0 instead of NULL.
+    The state follows from the position and is added to the result rows. Days outside a period add 0 to its sums, so a station without such days sums to 0 instead of NULL.
     """
     measures = []
     for prefix, (months, items) in periods.items():
@@ -146,7 +153,7 @@ def annual_station(df: DataFrame, by: Sequence[str] = YEAR_KEYS, periods=PERIODS
             if how == "sum":
                 value = F.when(~inside, F.lit(0)).otherwise(F.col(col))
             measures.append(getattr(F, how)(value).alias(f"{prefix}_{suffix}"))
-    return df.groupBy(*by).agg(
+    return df.groupBy("station", "latitude", "longitude", "year").agg(
         *measures,
         F.sum("precip_mm").alias("annual_total_precip_mm"),
         F.avg("temp_avg_c").alias("annual_avg_temp_c"),
@@ -154,7 +161,7 @@ def annual_station(df: DataFrame, by: Sequence[str] = YEAR_KEYS, periods=PERIODS
         F.count(F.lit(1)).alias("total_obs_days"),
         F.count("temp_avg_c").alias("days_with_temp"),
         F.count("precip_mm").alias("days_with_precip"),
-    )
+    ).withColumn("state_abbr", wx.state_by_box("latitude", "longitude", boxes))
 
 
 # state measure -> (aggregate, station measure, final name, decimals)

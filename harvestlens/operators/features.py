@@ -53,10 +53,11 @@ def impute(
     same = [df[k].eqNullSafe(side[a]) for k, a in keys.items()]
     joined = df.join(side, same, "left").drop(*keys.values())
     fills: dict[str, Column] = {c: F.coalesce(c, f"{c}__gm") for c in group_cols}
-    for c in overall_cols:
-        fills[c] = F.coalesce(c, percentiles(df, [], c, {"m": 0.5}).scalar())
+    overall = median_by(df, [], overall_cols)
+    joined = joined.withColumn("__om", overall.select(F.struct(*overall_cols).alias("s")).scalar())
+    fills |= {c: F.coalesce(F.col(c), F.col("__om")[c]) for c in overall_cols}
     fills |= {c: F.coalesce(F.col(c), F.lit(0.0)) for c in zero_cols}
-    return joined.withColumns(fills).drop(*[f"{c}__gm" for c in group_cols])
+    return joined.withColumns(fills).drop("__om", *[f"{c}__gm" for c in group_cols])
 
 
 def extreme_events(include_flood: bool) -> Column:

@@ -3,13 +3,16 @@ and metric is a distributed job."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window
 
 from harvestlens.functions import labels
 from harvestlens.functions.numeric import blend
@@ -44,9 +47,14 @@ class BoostSettings:
     tolerance: float = 0.01
 
 
+def _texts(df: DataFrame, features: Sequence[str]) -> list[str]:
+    return [c for c in features if not isinstance(df.schema[c].dataType, T.NumericType)]
+
+
 def prepare(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Feature columns as doubles, rows with a label only; other columns ride along."""
-    return df.filter(F.col(label).isNotNull()).withColumns({c: F.col(c).try_cast("double") for c in features})
+    """Numeric feature columns, rows with a label only; other columns ride along."""
+    rows, texts = df.filter(F.col(label).isNotNull()), _texts(df, features)
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in texts}) if texts else rows
 
 
 def _stages(features: Sequence[str]) -> list:
@@ -82,11 +90,12 @@ def fit_gbt(
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str) -> DataFrame:
     """Predictions under a given name; input columns keep their types."""
-    casted = df.withColumns({f"__in_{c}": F.col(c) for c in features}).withColumns(
-        {c: F.col(c).try_cast("double") for c in features}
-    )
-    out = model.transform(casted)
-    return out.select(*[F.col(f"__in_{c}").alias(c) if c in features else F.col(c) for c in df.columns],
+    texts = _texts(df, features)
+    if not texts:
+        return model.transform(df).select(*df.columns, F.col("prediction").alias(name))
+    kept = df.withColumns({f"__in_{c}": F.col(c) for c in texts})
+    out = model.transform(kept.withColumns({c: F.col(c).try_cast("double") for c in texts}))
+    return out.select(*[F.col(f"__in_{c}").alias(c) if c in texts else F.col(c) for c in df.columns],
                       F.col("prediction").alias(name))
 
 
@@ -166,9 +175,17 @@ def _cell(df: DataFrame, crop: str, region: str) -> DataFrame:
     return df.filter((F.col("commodity") == crop) & (F.col("region") == region))
 
 
+def side_by_side(tasks: Sequence[Callable], parallelism: int) -> list:
+    """Run a few independent job sequences at once, so that small fits do not leave the cluster idle."""
+    if not tasks:
+        return []
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(lambda f: inheritable_thread_target(f)(), tasks)
+
+
 def fit_by_group(
     train: DataFrame, test: DataFrame, crops: Sequence[str], regions: Sequence[str], features=None,
-    min_rows: int = MIN_TRAIN_ROWS, forest=ForestSettings(), boost=BoostSettings(),
+    min_rows: int = MIN_TRAIN_ROWS, forest=ForestSettings(), boost=BoostSettings(), parallelism: int = 4,
 ) -> tuple[GroupModels, DataFrame]:
     """One blended model per crop × region with enough training rows; returns the models and the test predictions.
 
@@ -178,16 +195,16 @@ def fit_by_group(
     used = features + feats.BASELINE_FEATURES
     counts = group_counts(train, crops, regions)
     found, scored = GroupModels({}, used, {}), None
-    for crop in crops:
-        for region in regions:
-            n = counts.get((crop, region), 0)
-            if n < min_rows:
-                continue
-            rows = _cell(train, crop, region)
-            fitted = fit_ensemble(feats.with_baselines(rows, rows), used, forest=forest, boost=boost)
-            found.models[(crop, region)], found.train_rows[(crop, region)] = fitted, n
-            part = predict_blend(fitted, feats.with_baselines(_cell(test, crop, region), rows), used)
-            scored = part if scored is None else scored.unionByName(part)
+    cells = [(c, r) for c in crops for r in regions if counts.get((c, r), 0) >= min_rows]
+
+    def fit(cell):
+        rows = _cell(train, *cell)
+        return fit_ensemble(feats.with_baselines(rows, rows), used, forest=forest, boost=boost)
+
+    for cell, fitted in zip(cells, side_by_side([partial(fit, c) for c in cells], parallelism)):
+        found.models[cell], found.train_rows[cell] = fitted, counts[cell]
+        part = predict_blend(fitted, feats.with_baselines(_cell(test, *cell), _cell(train, *cell)), used)
+        scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         scored = test.limit(0).withColumns({**{c: F.lit(None).cast("double") for c in feats.BASELINE_FEATURES},
                                             "pred_yield": F.lit(None).cast("double")})
@@ -217,12 +234,12 @@ def attach_predictions(df: DataFrame, preds: DataFrame, key: Sequence[str], name
 
 
 def oof_predictions(df: DataFrame, features, k: int = 5, keys=splits.COUNTY_KEY, label="yield_amount", number=None,
-                    forest=ForestSettings()) -> DataFrame:
+                    forest=ForestSettings(), parallelism: int = 4) -> DataFrame:
     """Each row predicted by a model that saw no row of its county."""
     folded = materialize(splits.group_kfold(df.filter(F.col(label).isNotNull()), keys, k, number))
+    fits = [partial(fit_rf, folded.filter(F.col("fold") != f), features, label, forest) for f in range(k)]
     out = None
-    for fold in range(k):
-        model = fit_rf(folded.filter(F.col("fold") != fold), features, label, forest)
+    for fold, model in enumerate(side_by_side(fits, parallelism)):
         part = predict(model, folded.filter(F.col("fold") == fold), features, "yield_predicted")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("yield_residual", F.col(label) - F.col("yield_predicted"))

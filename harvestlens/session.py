@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Wide aggregates over computed columns generate methods above the JVM's default limit for compiling them.
+JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
 
 
 def build_session(app: str = "harvestlens", master: str | None = None, shuffle_partitions: int | None = None):
@@ -20,6 +22,8 @@ def build_session(app: str = "harvestlens", master: str | None = None, shuffle_p
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
+        .config("spark.executor.extraJavaOptions", JVM_OPTIONS)
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

@@ -26,6 +26,7 @@ MIN_GROUP_ROWS = 30
 BLEND = {"gbt": 0.6, "rf": 0.4}
 VALIDATION_SHARE = 0.15
 SEED = 42
+ROWS_PER_BUCKET = 100_000
 
 
 @dataclass(frozen=True)
@@ -175,12 +176,12 @@ def _cell(df: DataFrame, crop: str, region: str) -> DataFrame:
     return df.filter((F.col("commodity") == crop) & (F.col("region") == region))
 
 
-def side_by_side(tasks: Sequence[Callable], parallelism: int) -> list:
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable], parallelism: int) -> list:
     """Run a few independent job sequences at once, so that small fits do not leave the cluster idle."""
     if not tasks:
         return []
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(lambda f: inheritable_thread_target(f)(), tasks)
+        return pool.map(lambda f: inheritable_thread_target(spark)(f)(), tasks)
 
 
 def fit_by_group(
@@ -201,7 +202,7 @@ def fit_by_group(
         rows = _cell(train, *cell)
         return fit_ensemble(feats.with_baselines(rows, rows), used, forest=forest, boost=boost)
 
-    for cell, fitted in zip(cells, side_by_side([partial(fit, c) for c in cells], parallelism)):
+    for cell, fitted in zip(cells, side_by_side(train.sparkSession, [partial(fit, c) for c in cells], parallelism)):
         found.models[cell], found.train_rows[cell] = fitted, counts[cell]
         part = predict_blend(fitted, feats.with_baselines(_cell(test, *cell), _cell(train, *cell)), used)
         scored = part if scored is None else scored.unionByName(part)
@@ -239,7 +240,7 @@ def oof_predictions(df: DataFrame, features, k: int = 5, keys=splits.COUNTY_KEY,
     folded = materialize(splits.group_kfold(df.filter(F.col(label).isNotNull()), keys, k, number))
     fits = [partial(fit_rf, folded.filter(F.col("fold") != f), features, label, forest) for f in range(k)]
     out = None
-    for fold, model in enumerate(side_by_side(fits, parallelism)):
+    for fold, model in enumerate(side_by_side(df.sparkSession, fits, parallelism)):
         part = predict(model, folded.filter(F.col("fold") == fold), features, "yield_predicted")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("yield_residual", F.col(label) - F.col("yield_predicted"))
@@ -282,9 +283,14 @@ def last_fold_prediction(preds: DataFrame, key: Sequence[str], name: str = "pred
     return preds.groupBy(*key).agg(F.max_by(name, "fold").alias(name))
 
 
-def permute(df: DataFrame, col: str, row_key: Sequence[str], seed: int = SEED, buckets: int = 64) -> DataFrame:
+def shuffle_buckets(df: DataFrame) -> int:
+    """Buckets for `permute`, so that each holds about ROWS_PER_BUCKET rows."""
+    return max(1, -(-df.count() // ROWS_PER_BUCKET))
+
+
+def permute(df: DataFrame, col: str, row_key: Sequence[str], buckets: int, seed: int = SEED) -> DataFrame:
     """Shuffle one column among rows. Rows are dealt into random buckets and shuffled within them, so no single
-    task orders the whole table; raise `buckets` with the number of rows."""
+    task orders the whole table."""
     placed = df.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), *row_key), F.lit(buckets)))
 
     def order(i):
@@ -295,9 +301,10 @@ def permute(df: DataFrame, col: str, row_key: Sequence[str], seed: int = SEED, b
     return takers.join(givers, ["__b", "__n"]).select(*df.columns)
 
 
-def permutation_importance(model, df: DataFrame, features, row_key, label="yield_amount", seed=SEED, buckets=64):
+def permutation_importance(model, df: DataFrame, features, row_key, label="yield_amount", seed=SEED, buckets=None):
     """Rise of the mean squared error when a feature is shuffled, one row per feature."""
     base = materialize(df)
+    buckets = buckets or shuffle_buckets(base)
 
     def mse(rows, feature):
         p = predict(model, rows, features, "__p")
@@ -307,7 +314,7 @@ def permutation_importance(model, df: DataFrame, features, row_key, label="yield
     whole = mse(base, "").select("mse").scalar()
     out = None
     for f in features:
-        part = mse(permute(base, f, row_key, seed, buckets), f)
+        part = mse(permute(base, f, row_key, buckets, seed), f)
         out = part if out is None else out.unionAll(part)
     return out.select("feature", (F.col("mse") - whole).alias("importance"))
 

@@ -26,14 +26,17 @@ def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -
 
 def _cut(df: DataFrame, keys: Sequence[str], name: str, slices: int) -> DataFrame:
     """Number the equal-width slice of each value within the value range of its keys."""
-    aliases = [f"__g{i}" for i in range(len(keys))]
-    span = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, aliases)]).agg(
-        F.min("value").alias("__lo"), F.max("value").alias("__hi")
-    )
-    joined = df.join(span, _same(df, span, list(zip(keys, aliases))), "inner")
+    ends = F.min("value").alias("__lo"), F.max("value").alias("__hi")
+    if keys:
+        aliases = [f"__g{i}" for i in range(len(keys))]
+        span = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, aliases)]).agg(*ends)
+        joined = df.join(span, _same(df, span, list(zip(keys, aliases))), "inner").drop(*aliases)
+    else:
+        joined = df.withColumn("__ends", df.agg(F.struct(*ends).alias("s")).scalar())
+        joined = joined.select(*df.columns, "__ends.__lo", "__ends.__hi")
     place = F.floor((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(float(slices)))
     number = F.when(F.col("__hi") > F.col("__lo"), F.least(place, F.lit(slices - 1))).otherwise(F.lit(0))
-    return joined.withColumn(name, number.cast("int")).drop("__lo", "__hi", *aliases)
+    return joined.withColumn(name, number.cast("int")).drop("__lo", "__hi")
 
 
 def cumulative_counts(
@@ -48,15 +51,15 @@ def cumulative_counts(
     number = F.col(value).cast("double")
     rows = df.filter(number.isNotNull() & ~F.isnan(number))
     base = rows.groupBy(*by, number.alias("value")).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in counts.items()])
-    keys, cut = list(by) + ["__one"], base.withColumn("__one", F.lit(0))
+    keys, cut = list(by), base
     for level in range(levels):
         cut = _cut(cut, keys, f"__s{level}", slices)
         keys = keys + [f"__s{level}"]
 
     # running totals over the slices of a group: a window of at most slices ** levels rows
     totals = cut.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in counts])
-    group = Window.partitionBy(*by, "__one")
-    earlier = group.orderBy(*keys[len(by) + 1:]).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(*keys[len(by):]).rowsBetween(Window.unboundedPreceding, -1)
     side = totals.select(
         *[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)],
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__b_{n}") for n in counts],

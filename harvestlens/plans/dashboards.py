@@ -92,7 +92,7 @@ def window_span(rows: DataFrame) -> DataFrame:
 
 def insights(rows: DataFrame, pred_rows: DataFrame) -> DataFrame:
     """Headline sentences of the report, one row each, from one-row aggregates."""
-    years = reports.year_extremes(rows).select(F.explode(F.array(
+    years = reports.year_extremes(rows).filter(F.col("worst_year").isNotNull()).select(F.explode(F.array(
         F.struct(F.lit(1).alias("position"), F.format_string(
             "Weakest year: %d, with yields %.1f bu/ac under prediction on average over %d county records.",
             "worst_year", F.abs("worst_mean"), "worst_n").alias("sentence")),

@@ -39,19 +39,12 @@ def _cut(df: DataFrame, keys: Sequence[str], name: str, slices: int) -> DataFram
     return joined.withColumn(name, number.cast("int")).drop("__lo", "__hi")
 
 
-def cumulative_counts(
-    df: DataFrame, by: Sequence[str], value: str, counts: Mapping[str, Column] | None = None, slices: int = SLICES,
-    levels: int = 1,
-) -> DataFrame:
-    """One row per (group, value) with each count and the same count over all smaller values (`below_…`).
-
-    Also carries the group total of every count (`total_…`). NULL and NaN values are left out.
-    """
-    counts = counts or {"n": F.lit(1)}
+def _sliced(df: DataFrame, by: Sequence[str], value: str, counts: Mapping[str, Column], slices: int, levels: int):
+    """(rows per group and value with their slice, slices with the counts below them, slice key columns)"""
     number = F.col(value).cast("double")
     rows = df.filter(number.isNotNull() & ~F.isnan(number))
-    base = rows.groupBy(*by, number.alias("value")).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in counts.items()])
-    keys, cut = list(by), base
+    cut = rows.groupBy(*by, number.alias("value")).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in counts.items()])
+    keys = list(by)
     for level in range(levels):
         cut = _cut(cut, keys, f"__s{level}", slices)
         keys = keys + [f"__s{level}"]
@@ -62,34 +55,60 @@ def cumulative_counts(
     earlier = group.orderBy(*keys[len(by):]).rowsBetween(Window.unboundedPreceding, -1)
     side = totals.select(
         *[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)],
+        *[F.col(n).alias(f"__n_{n}") for n in counts],
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__b_{n}") for n in counts],
         *[F.sum(n).over(group).alias(f"total_{n}") for n in counts],
     )
-    ranked = cut.join(side, _same(cut, side, [(k, f"__j{i}") for i, k in enumerate(keys)]), "inner")
+    return cut, side, keys
+
+
+def _ranked(cut: DataFrame, side: DataFrame, by: Sequence[str], keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Exact counts below each value of the slices in `side`, sorting within slices only."""
+    rows = cut.join(side, _same(cut, side, [(k, f"__j{i}") for i, k in enumerate(keys)]), "inner")
     w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return ranked.select(
+    return rows.select(
         *by, "value", *counts,
         *[(F.col(f"__b_{n}") + F.coalesce(F.sum(n).over(w), F.lit(0))).alias(f"below_{n}") for n in counts],
         *[f"total_{n}" for n in counts],
     )
 
 
+def cumulative_counts(
+    df: DataFrame, by: Sequence[str], value: str, counts: Mapping[str, Column] | None = None, slices: int = SLICES,
+    levels: int = 1,
+) -> DataFrame:
+    """One row per (group, value) with each count and the same count over all smaller values (`below_…`).
+
+    Also carries the group total of every count (`total_…`). NULL and NaN values are left out.
+    """
+    counts = counts or {"n": F.lit(1)}
+    cut, side, keys = _sliced(df, by, value, counts, slices, levels)
+    return _ranked(cut, side, by, keys, list(counts))
+
+
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float], slices: int = SLICES
+    df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float], slices: int = SLICES, levels: int = 1
 ) -> DataFrame:
-    """Exact percentiles per group, linear between neighbours; groups without values give no row."""
-    ranked = cumulative_counts(df, by, value, slices=slices)
-    first, last = F.col("below_n"), F.col("below_n") + F.col("n") - 1
+    """Exact percentiles per group, linear between neighbours; groups without values give no row.
+
+    Only the slices that hold a wanted rank are sorted.
+    """
+    cut, side, keys = _sliced(df, by, value, {"n": F.lit(1)}, slices, levels)
+    last = F.col("total_n") - 1
+    spots = {name: last * F.lit(float(p)) for name, p in points.items()}
+    ranks = {name: (F.floor(s), F.least(F.floor(s) + 1, last)) for name, s in spots.items()}
+
+    def covers(first: Column, size: Column) -> Column:
+        return reduce(lambda a, b: a | b, [(first <= r) & (r < first + size) for pair in ranks.values() for r in pair])
+
+    wanted = side.filter(covers(F.col("__b_n"), F.col("__n_n")))
+    ranked = _ranked(cut, wanted, by, keys, ["n"])
     picks = []
-    for name, p in points.items():
-        spot = (F.col("total_n") - 1) * F.lit(float(p))
-        low = F.floor(spot)
-        high = F.least(low + 1, F.col("total_n") - 1)
-        picks += [
-            F.max(F.when((first <= low) & (low <= last), F.col("value"))).alias(f"__lo_{name}"),
-            F.max(F.when((first <= high) & (high <= last), F.col("value"))).alias(f"__hi_{name}"),
-            F.max(spot - low).alias(f"__f_{name}"),
-        ]
+    for name, (low, high) in ranks.items():
+        for end, r in (("lo", low), ("hi", high)):
+            here = (F.col("below_n") <= r) & (r < F.col("below_n") + F.col("n"))
+            picks.append(F.max(F.when(here, F.col("value"))).alias(f"__{end}_{name}"))
+        picks.append(F.max(spots[name] - low).alias(f"__f_{name}"))
     found = ranked.groupBy(*by).agg(*picks)
 
     def between(name):

@@ -82,9 +82,6 @@ DERIVED = {
     "region_of_state": f"""
         SELECT {STATE.format(k='n_nationkey')} AS state_abbr, r_name AS region
         FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey""",
-    # user events by day, for streams and key-value tables
-    "ev": """
-        SELECT event_id, cast(ts AS timestamp) AS ts, user_id, event_type, value, props FROM {events}""",
 }
 
 SALT = "(state_fips * 7 + county_fips * 13 + year * 3 + CASE WHEN commodity = 'Corn' THEN 5 ELSE 0 END + CASE WHEN irrigation = ' Irrigated' THEN 11 ELSE 0 END)"

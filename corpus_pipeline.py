@@ -4,17 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestlens.llm import simhash
+from harvestlens.llm import byte_cnn, mixing, passages, simhash, tiling
 from harvestlens.llm.shared import stored, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return byte_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs stay in one document."""
+    return passages.keep_rest(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return tiling.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document gets the rate at which the domains meet their target weights; all stay, a rate of zero says never."""
+    return mixing.mix(docs, mixing.labelled_languages(docs, table(spark, sf_dir, "labels")))
+
+
 STAGES = [
+    ("quality classifier", quality_classifier),
     ("simhash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing to target weights", mixing_to_targets),
 ]
 # The stages fit models, solve for rates and follow links through components, which SQL cannot express.
 ORACLE_SQL = None

@@ -1 +1,8 @@
 """Operators for large text and embedding corpora. Nothing outside this folder imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this folder travel to the executors by value, so that it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -66,3 +66,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         last = tuple(int(c[-1]) for c in cols)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal rows to as many partitions as a shuffle has, for work that makes far more of a row than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestlens.llm import buckets, golay
 from harvestlens.llm.components import components
-from harvestlens.llm.shared import groups, stored, table, texts_of
+from harvestlens.llm.shared import groups, spread, stored, table, texts_of
 
 SHINGLE = 3
 SEED = 42
@@ -121,7 +121,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that join all fingerprints at three or fewer differing bits into the same components; `prints` has
     each fingerprint once. A bucket gives one link a member and part, not all pairs."""
-    rows = prints.select("fp").mapInArrow(_keyed, "key long, fp long")
+    rows = spread(prints.select("fp"), "fp").mapInArrow(_keyed, "key long, fp long")
     colliding = buckets.chunked(buckets.members(rows, "key", "fp"), "fp")
     return buckets.bucket_order(colliding.select("key", "p", "q", "fp"), "key").mapInArrow(_bucket_links, "a long, b long")
 

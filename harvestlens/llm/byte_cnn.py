@@ -42,12 +42,13 @@ class Network:
 
 
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after another, each padded by zeros to whole segments (at least WIDTH zeros); segments of each."""
+    """The texts one after another, each behind WIDTH zeros and padded by zeros to whole segments, so that no window reaches
+    from a text into the next; segments of each."""
     counts = np.array([-(-(len(t) + WIDTH) // SEGMENT) if t else 0 for t in texts], np.int64)
     raw = np.zeros(int(counts.sum()) * SEGMENT + SEGMENT, np.uint8)
     at = 0
     for t, n in zip(texts, counts):
-        raw[at : at + len(t)] = np.frombuffer(t, np.uint8)
+        raw[at + WIDTH : at + WIDTH + len(t)] = np.frombuffer(t, np.uint8)
         at += int(n) * SEGMENT
     return raw, counts
 

@@ -1,9 +1,9 @@
 """Near-duplicate vectors by spherical-cap filters from random product codes.
 
-A vector is cut into blocks; each block has a random code of unit directions, and a filter is one codeword of each block. A vector belongs to
-all filters whose direction it meets at an inner product above a threshold; they are listed block by block, dropping what cannot reach the threshold any
-more, without looking at all filters. Vectors that share a filter meet, and their cosine decides. The threshold is such that a random vector belongs to
-FILTERS_EACH filters on average.
+A vector is turned at random and cut into blocks; each block has a random code of unit directions, and a filter is one codeword of each block. A vector
+belongs to all filters whose direction it meets at an inner product above a threshold; they are listed block by block, dropping what cannot reach the
+threshold any more, without looking at all filters. Several such codes with turns of their own keep the lists of a vector from standing or falling together.
+Vectors that share a filter meet, and their cosine decides. The thresholds are such that a random vector belongs to `each` filters of a code on average.
 """
 
 from __future__ import annotations
@@ -13,34 +13,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType
 
 from harvestlens.llm import buckets
 from harvestlens.llm.components import components
-from harvestlens.llm.shared import groups, stored, table
+from harvestlens.llm.shared import groups, spread, stored, table
 
 COSINE = 0.9
-FILTERS_EACH = 28
 SEED = 31
 
 
+def _shape(size: int) -> tuple[int, int, int, int]:
+    """(codes, blocks, codewords of a block, filters each) for vectors of `size` components: more than nine in ten of the pairs
+    at the threshold share a filter (tests)."""
+    return (8, 2, 128, 5) if size >= 24 else (10, 2, 64, 6) if size >= 8 else (4, 1, 256, 24)
+
+
 class ProductCode:
-    """The filters for vectors of `size` components: fixed by size and seed."""
+    """The filters of one code: fixed by size, number and seed."""
 
-    def __init__(self, size: int, seed: int = SEED):
-        rng = np.random.default_rng([seed, size])
-        self.blocks = 3 if size >= 24 else 2 if size >= 8 else 1
-        self.words = {3: 64, 2: 64, 1: 256}[self.blocks]
+    def __init__(self, size: int, number: int, seed: int = SEED):
+        _, self.blocks, self.words, each = _shape(size)
+        rng = np.random.default_rng([seed, size, number])
         self.turn = np.linalg.qr(rng.normal(size=(size, size)))[0]
         self.cuts = [len(x) for x in np.array_split(np.arange(size), self.blocks)]
         self.codes = []
         for n in self.cuts:
             code = rng.normal(size=(self.words, n))
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True))
-        trial = rng.normal(size=(1024, size))
+        trial = rng.normal(size=(512, size))
         scores = self._scores(trial / np.linalg.norm(trial, axis=1, keepdims=True))
-        picks = [s[np.arange(1024)[:, None], rng.integers(0, self.words, (1024, 512))] for s in scores]
-        self.least = float(np.quantile(sum(picks), 1 - FILTERS_EACH / self.words**self.blocks, method="higher"))
+        total = scores[0]
+        for s in scores[1:]:
+            total = (total[:, :, None] + s[:, None, :]).reshape(len(trial), -1)
+        self.least = float(np.quantile(total, 1 - each / self.words**self.blocks))
 
     def _scores(self, unit: np.ndarray) -> list[np.ndarray]:
         parts = np.split(unit @ self.turn, np.cumsum(self.cuts)[:-1], axis=1)
@@ -60,6 +66,25 @@ class ProductCode:
         return row, key
 
 
+_CODES: dict[int, list[ProductCode]] = {}
+
+
+def filters(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) over all codes; keys of vectors of other sizes differ."""
+    size = unit.shape[1]
+    if size not in _CODES:
+        _CODES[size] = [ProductCode(size, k) for k in range(_shape(size)[0])]
+    rows, keys = [], []
+    for at in range(0, len(unit), 256):
+        for k, code in enumerate(_CODES[size]):
+            row, key = code.filters(unit[at : at + 256])
+            rows.append(row + at)
+            keys.append(key | (np.int64(k) << 24) | (np.int64(size) << 32))
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((key, row))
+    return row[order], key[order]
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """Rows at length one, in double precision; scaled first, so that no square overflows."""
     x = np.asarray(vectors, np.float64)
@@ -68,29 +93,19 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes: dict[int, ProductCode] = {}
+    """(key, node) of every filter of every class."""
     for batch in batches:
+        node = batch.column(batch.schema.get_field_index("node")).to_numpy()
         lists = batch.column(batch.schema.get_field_index("embedding"))
         size = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy()
         start = np.cumsum(size) - size
-        keys: list[np.ndarray] = [np.zeros(0, np.int64)] * len(size)
         for n in np.unique(size):
-            if int(n) not in codes:
-                codes[int(n)] = ProductCode(int(n))
-            code = codes[int(n)]
             own = np.flatnonzero(size == n)
-            for at in range(0, len(own), 256):
-                some = own[at : at + 256]
-                row, key = code.filters(unit_rows(flat[start[some][:, None] + np.arange(n)]))
-                # vectors of different sizes never meet
-                key = key | (np.int64(n) << 32)
-                edge = np.searchsorted(row, np.arange(len(some) + 1))
-                for i, r in enumerate(some):
-                    keys[r] = np.sort(key[edge[i] : edge[i + 1]])
-        edge = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-        found = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "keys"])
+            for at in range(0, len(own), 1024):
+                some = own[at : at + 1024]
+                row, key = filters(unit_rows(flat[start[some][:, None] + np.arange(n)]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[some][row])], names=["key", "node"])
 
 
 def _column(group: pa.Table, name: str) -> np.ndarray:
@@ -115,12 +130,13 @@ def _compared(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.R
             continue
         own, key = _column(group, "own"), group.column("key")[0].as_py()
         p, q, chunks = (group.column(n)[0].as_py() for n in ("p", "q", "chunks"))
-        # a pair counts in the smallest of the filters it shares
-        filters, each = _ragged(group, "keys")
-        earlier = filters < key
-        places, index = np.unique(filters[earlier], return_inverse=True)
+        # a pair counts in the smallest of the filters it shares; those of the linked members are listed again
+        linked = np.flatnonzero(near.any(axis=1))
+        row, found = filters(unit[linked])
+        row, found = row[found < key], found[found < key]
+        places, index = np.unique(found, return_inverse=True)
         belongs = np.zeros((len(node), len(places)), np.float32)
-        belongs[np.repeat(np.arange(len(node)), each)[earlier], index] = 1
+        belongs[linked[row], index] = 1
         counted = near & (belongs @ belongs.T == 0)
         # and, of the parts in which a chunk meets itself, in the one it shares with the chunk after it
         partner = np.where(own == p, q, p)
@@ -153,15 +169,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sound = F.coalesce(F.exists("embedding", lambda x: x != 0) & ~odd, F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("embedding", F.when(sound, F.col("embedding")))
     classes = rows.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    shape = StructType([*classes.schema.fields, StructField("keys", ArrayType(LongType()))])
-    listed = stored(classes.mapInArrow(_listed, shape), "filters")
-    met = buckets.members(listed.select("node", F.explode("keys").alias("key")), "key", "node")
-    parts = buckets.chunked(met, "node").withColumn("chunks", F.ceil(F.col("size") / buckets.CHUNK).cast("int")).drop("size").join(listed, "node")
+    classes = stored(classes, "vectors")
+    listed = stored(spread(classes.select("node", "embedding"), "node").mapInArrow(_listed, "key long, node long"), "filters")
+    met = buckets.members(listed, "key", "node")
+    parts = buckets.chunked(met, "node").withColumn("chunks", F.ceil(F.col("size") / buckets.CHUNK).cast("int")).drop("size").join(classes, "node")
     dealt = buckets.bucket_order(parts, "key")
     compared = stored(dealt.mapInArrow(lambda x: _compared(x, cosine), "node long, links long, root long"), "compared")
     counts = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    rooted = components(compared.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "component_id")
-    named = listed.select("embedding", "node", "n").join(counts, "node", "left").join(rooted, "node", "left")
+    rooted = components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")).withColumnRenamed("root", "component_id")
+    named = classes.join(counts, "node", "left").join(rooted, "node", "left")
     named = named.select(
         "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id")
     )

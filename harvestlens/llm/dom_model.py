@@ -144,14 +144,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
     return nodes, runs
 
 
-# Features by name; tags that are not listed share one.
-TAGS = ["page", "html", "head", "title", "body", "div", "section", "article", "main", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "span"]
-NAMES = ["away", "here", "links", "linked", "long", "short", "empty", *(f"tag {t}" for t in TAGS), "tag other"]
+# Features by name. Only the frame of a page is told by its tag: what a list or a table is for, its surroundings say.
+FRAME = ["page", "html", "head", "title", "body"]
+NAMES = ["away", "here", "links", "linked", "long", "short", "empty", *(f"tag {t}" for t in FRAME)]
 INDEX = {n: i for i, n in enumerate(NAMES)}
 
 
 def _features(node: Node) -> list[int]:
-    out = [INDEX.get(f"tag {node.tag}", INDEX["tag other"])]
+    out = [INDEX[f"tag {node.tag}"]] if node.tag in FRAME else []
     if node.away:
         out.append(INDEX["away"])
     if node.here:
@@ -178,7 +178,7 @@ def prior() -> Model:
     own[INDEX["away"]], own[INDEX["here"]], own[INDEX["links"]] = -8.0, 4.0, -1.0
     own[INDEX["tag head"]] = own[INDEX["tag title"]] = -8.0
     own[INDEX["tag page"]] = own[INDEX["tag html"]] = own[INDEX["tag body"]] = 1.0
-    return Model(own, np.array([[4.0, -4.0], [0.0, 1.0]]))
+    return Model(own, np.log(np.array([[0.995, 0.005], [0.2, 0.8]])))
 
 
 def marginals(nodes: list[Node], model: Model) -> tuple[list[float], np.ndarray]:

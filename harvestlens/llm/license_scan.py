@@ -133,9 +133,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_sql() -> str:
     """The same by brute force: every line against every template."""
-    words = lambda x: f"list_filter(regexp_split_to_array({x}, '{SEPARATORS}'), w -> w <> '')"
+    words = lambda x: f"list_filter(regexp_split_to_array({x}, '{SEPARATORS}'), lambda w: w <> '')"
     places = [
-        "list_filter(range(len(words)), i -> " + " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split())) + ")" for p, _ in PHRASES
+        "list_filter(range(len(words)), lambda i: " + " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split())) + ")" for p, _ in PHRASES
     ]
     templates = ", ".join(f"({n}, [{', '.join(repr(w) for w in sorted(set(t.split())))}], '{label}')" for n, (t, label) in enumerate(TEMPLATES))
     base = ", ".join(f"CASE WHEN len(at{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))
@@ -144,7 +144,7 @@ def scan_sql() -> str:
     split AS (SELECT rid, doc_id, {words('low')} AS words FROM docs),
     found AS (SELECT rid, doc_id, words, {', '.join(f'{p} AS at{k}' for k, p in enumerate(places))} FROM split),
     based AS (SELECT rid, doc_id, len(words) AS n_words, {' || '.join(f'at{k}' for k in range(len(PHRASES)))} AS places,
-              list_filter([{base}], x -> x IS NOT NULL) AS base FROM found),
+              list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM found),
     templates(n, template, label) AS (VALUES {templates}),
     lines AS (SELECT rid, list_distinct({words('line')}) AS block FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM docs)),
     met AS (SELECT rid, label, len(list_intersect(block, template)) / len(template) AS share FROM lines, templates

@@ -5,7 +5,7 @@ from harvestlens.llm.components import components
 
 def test_random_graphs(spark):
     rng = random.Random(1)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000), (5, None)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000), (5, None), (None, 9000), (1003, 1003), (1003, 1003)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     root = {}
 
@@ -15,8 +15,10 @@ def test_random_graphs(spark):
             x = root[x]
         return x
 
+    rows = components(spark.createDataFrame(links, "a long, b long"))
+    assert rows.count() == len(got)
     for a, b in links:
-        if b is not None:
+        if a is not None and b is not None:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root}

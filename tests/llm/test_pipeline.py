@@ -38,7 +38,7 @@ def test_each_stage_on_what_the_one_before_kept(spark, sf):
             assert {r["doc_id"]: r["text"] for r in rows} == {i: t for i, t in want.items() if t.strip() or i in same}
         else:
             assert ids == {r["doc_id"] for r in was} - {r["doc_id"] for r in tiling.leaks(before, bench).collect()}
-    assert kept["quality_classifier"] < 200 and kept["mixing_to_targets"] > 100
+    assert kept["simhash_near_dedup"] < kept["quality_classifier"] and kept["mixing_to_targets"] > 100
     assert pipeline.run(spark, sf).count() == kept["mixing_to_targets"]
 
 

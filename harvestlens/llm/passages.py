@@ -150,13 +150,19 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def paragraph_classes(found: DataFrame) -> DataFrame:
+    """(para, at, n, b0, …): each different paragraph with its first place and how often it stands. Combined on the map side, so that a
+    paragraph of many documents is one row a task."""
+    bands = [F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)]
+    return found.groupBy("para").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), *bands)
+
+
+def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that join paragraphs at `similarity` or more into components, one a member and bucket at most."""
-    first = found.groupBy("para").agg(*[F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
     keys = F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("key")
-    colliding = stored(buckets.members(first.select("para", keys), "key", "para"), "colliding")
+    colliding = stored(buckets.members(classes.select("para", keys), "key", "para"), "colliding")
     # the text of one place of each colliding paragraph
-    place = found.join(colliding.select("para").distinct(), "para", "left_semi").groupBy("para").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    place = classes.select("para", "at").join(colliding.select("para").distinct(), "para", "left_semi")
     asked = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line").alias("lines"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     sets = stored(texts.join(asked, "doc_id").select("text", "lines").mapInArrow(_shingle_sets, "para long, shingles array<long>"), "shingles")
@@ -171,10 +177,10 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of all places of a component the one with the smallest (doc_id, line) stays, the others go, also those in the keeper itself."""
     found = stored(paragraphs(docs), "paragraphs")
-    classes = found.groupBy("para").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
-    rooted = components(links(docs, found, similarity)).select(F.col("node").alias("para"), F.col("root").alias("group"))
+    classes = stored(paragraph_classes(found), "paragraph-classes")
+    rooted = components(links(docs, classes, similarity)).select(F.col("node").alias("para"), F.col("root").alias("group"))
     # without a link and a second place there is nothing to remove
-    several = classes.join(rooted, "para", "left").filter("group IS NOT NULL OR n > 1").withColumn("group", F.coalesce("group", "para"))
+    several = classes.select("para", "at", "n").join(rooted, "para", "left").filter("group IS NOT NULL OR n > 1").withColumn("group", F.coalesce("group", "para"))
     stays = several.groupBy("group").agg(F.min("at").alias("stays"))
     named = stored(several.select("para", "group").join(stays, "group"), "passages")
     gone = found.select("doc_id", "line", "para").join(named, "para")

@@ -11,14 +11,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from harvestlens.functions.regions import REGION_SETS
-from harvestlens.operators import seasons, yields
+from harvestlens.operators import anomalies, seasons, yields
 from harvestlens.plans import etl, studies
-from harvestlens.session import fresh_folder
+from harvestlens.session import file_state, fresh_folder
 
 # One state per nation number, by position.
 STATES = "IAILINNEMNMOKSNDSDOHWIMIKYTNARALMSLATXOKNCSCVAGACO"
 COUNTIES = 4
-YEARS = (1996, 2000)
+# Wider than any data: the daily chain reads every year.
+YEARS = (1900, 2100)
 TEST_FROM = 1999
 PREDICT_FROM = 2000
 LIMITS = {"drought_mm": 800, "drought_heat": 15, "flood_days": 12, "heat_limit": 19}
@@ -90,10 +91,7 @@ PREDICTED = f"""CASE WHEN {SALT} % 29 = 0 THEN NULL ELSE yield_amount
   + CASE {SALT} % 37 WHEN 0 THEN 4e1 WHEN 1 THEN -4e1 ELSE 0e0 END END"""
 
 _MEANS = seasons.MEAN_MEASURES
-WATCHED = (
-    "avg_precip_mm heat_stress_days drought_flag flood_flag extreme_heat_flag gdd frost_days dry_days heavy_rain_days "
-    "avg_temp_mean_c peak_temp_max_c"
-).split()
+WATCHED = anomalies.WATCHED
 
 
 def _region_case(name: str) -> str:
@@ -222,8 +220,9 @@ def with_tables(sql: str) -> str:
     return f"WITH {parts}{joint}{body}"
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-_STORED: dict[tuple[str, str, str], str] = {}
+# Tables that several queries share, by session, folder, name and state of the given files.
+_STORED: dict[tuple, str] = {}
+SOURCES = ("lineitem", "supplier", "orders", "customer")
 
 
 class Base:
@@ -231,16 +230,16 @@ class Base:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._schemas: dict[str, T.StructType] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
     def schema(self, name: str) -> T.StructType:
-        """Schema of a given table; its footer is read once per process."""
-        key = self.path(name)
-        if key not in _SCHEMAS:
-            _SCHEMAS[key] = self.spark.read.parquet(key).schema
-        return _SCHEMAS[key]
+        """Schema of a given table; its footer is read once per query."""
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(self.path(name)).schema
+        return self._schemas[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schema(name)).parquet(self.path(name))
@@ -286,9 +285,11 @@ class Base:
 
     def stored(self, name: str, make) -> DataFrame:
         """A table that many queries share: written once per session to the shared folder, then read back, so
-        that later queries prune its columns instead of aggregating the daily rows again."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _STORED:
+        that later queries prune its columns instead of aggregating the daily rows again. It is written anew when the
+        given files have changed or the written table is gone."""
+        state = tuple(file_state(self.spark, self.path(t)) for t in SOURCES)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, state)
+        if key not in _STORED or file_state(self.spark, f"{_STORED[key]}/_SUCCESS") is None:
             path = fresh_folder(self.spark, name)
             make().write.parquet(path)
             _STORED[key] = path

@@ -331,7 +331,7 @@ def _(b):
 
 @query("a37_region_insights", "region:s mean_residual:d n_counties:i reading:s", f"""SELECT *, CASE WHEN mean_residual > 1 THEN 'underestimation' WHEN mean_residual < -1 THEN 'negative'
   ELSE 'mixed' END AS reading FROM (SELECT {region_sql('map')} AS region, avg(r) AS mean_residual, count(*) AS n_counties FROM (
-  SELECT state_fips, county_fips, state_abbr, avg(yield_residual) AS r FROM study GROUP BY 1, 2, 3) c WHERE r IS NOT NULL GROUP BY 1) q WHERE n_counties >= 3""")
+  SELECT state_fips, county_fips, state_abbr, avg(yield_residual) AS r FROM study GROUP BY 1, 2, 3) c WHERE r IS NOT NULL GROUP BY 1) q""")
 def _(b):
     county = reports.map_agg(b.study, ["state_fips", "county_fips", "state_abbr"])
     return reports.region_insights(features.with_region(county, region_table(b.spark, "map"), "Other US"))
@@ -372,7 +372,7 @@ query("a47_q16_year_versus_rest", "case_mean:d other_mean:d difference:d", """SE
 
 @query("a39_extreme_years", "year:i n_counties:i avg_yield:d drought_pct:d flood_pct:d extreme_heat_pct:d", """SELECT year, count(*) AS n_counties,
   round(avg(yield_amount), 2) AS avg_yield, round(100 * avg(drought_flag), 1) AS drought_pct, round(100 * avg(flood_flag), 1) AS flood_pct,
-  round(100 * avg(extreme_heat_flag), 1) AS extreme_heat_pct FROM merged WHERE year IN (1996, 1998, 2000) GROUP BY year HAVING count(*) >= 10""")
+  round(100 * avg(extreme_heat_flag), 1) AS extreme_heat_pct FROM merged WHERE year IN (1996, 1998, 2000) GROUP BY year""")
 def _(b):
     return reports.extreme_years(b.merged, [1996, 1998, 2000])
 

@@ -1,27 +1,31 @@
-"""Model queries. They have no SQL twin where a model is fitted; the deterministic parts around it do."""
+"""Model queries. A fitted number has no SQL twin; the twins hold what is certain about the result: its rows, splits, regions and counts,
+that every row has a prediction, that importances are shares of one, and that flags follow from their z-scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
-from harvestlens.catalog.base import TEST_FROM
-from harvestlens.catalog.counties import estimate_inputs
+from harvestlens.catalog.base import TEST_FROM, check_table, region_sql
+from harvestlens.catalog.counties import KEY, KEYS, estimate_inputs
 from harvestlens.catalog.registry import query
-from harvestlens.functions.regions import region_table
+from harvestlens.functions.regions import DRIVER_GROUPS, REGION_SETS, region_table
 from harvestlens.operators import features, models, reports, splits
 from harvestlens.plans import studies
 from harvestlens.session import fresh_folder, materialize
 from harvestlens.sources import artifacts
 
-# Small settings: the registered queries show the flow, callers choose their own sizes.
-FOREST = models.ForestSettings(trees=20, depth=6)
-BOOST = models.BoostSettings(rounds=20, depth=4, step=0.1)
 CROPS = ("Corn", "Soybeans")
-REGIONS = ("Midwest", "Plains", "South")
-MIN_ROWS = 50
+REGIONS = tuple(r for r in REGION_SETS["training"] if r != "default") + ("Other",)
 ROW = ["state_fips", "county_fips", "year", "commodity", "irrigation"]
 USED = features.WEATHER_FEATURES
 
+_REGION = region_sql("training")
+# the side of a county, from a whole number of its key as both engines compute it
+_SIDE = "CASE WHEN (state_fips * 10 + county_fips) * 37 % 1000 < 200 THEN 'test' ELSE 'train' END"
+check_table("regional", f"SELECT *, {_REGION} AS region FROM merged")
+check_table("cells", f"SELECT commodity, region, count(*) AS n FROM regional WHERE year < {TEST_FROM} GROUP BY commodity, region")
+_MODEL = f"CASE WHEN n >= {models.MIN_TRAIN_ROWS} THEN 'cell' ELSE 'pooled' END"
+
 
 def number():
     return (F.col("state_fips") * 10 + F.col("county_fips")) * 37
@@ -32,89 +36,122 @@ def rows(b):
     return features.with_region(features.features_core(clean), region_table(b.spark, "training"), "Other")
 
 
-def shown(df, *cols):
-    return df.select(*ROW, *cols)
+def known(name: str) -> Column:
+    """Whether a prediction is there and a finite number."""
+    c = F.col(name)
+    return (c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e9)).alias("known")
+
+
+def flag_holds(z: Column, flag: Column) -> Column:
+    """Whether a two-sided flag says what its z-score says."""
+    want = F.when(z > 2, "high_yield_vs_weather").when(z < -2, "low_yield_vs_weather").otherwise("")
+    return (F.coalesce(flag, F.lit("")) == want).alias("flag_holds")
+
+
+def shares(ranks, by: list[str] = ()):
+    """Each feature with whether its importance is a share, and the sum over all."""
+    total = ranks.groupBy(*by).agg(F.round(F.sum("importance"), 2).alias("total"))
+    joined = ranks.join(total, list(by)) if by else ranks.withColumn("total", total.scalar())
+    return joined.withColumn("is_share", F.col("importance").between(0, 1))
+
+
+def _values(names) -> str:
+    return ", ".join(f"('{n}')" for n in names)
 
 
-@query("m06_forest_importance_by_crop")
+_CROP_FEATURES = f"SELECT commodity, feature, true AS is_share, 1e0 AS total FROM (VALUES {_values(CROPS)}) c(commodity), (VALUES {{}}) f(feature)"
+
+
+@query("m06_forest_importance_by_crop", "commodity:s feature:s is_share:b total:d1", _CROP_FEATURES.format(_values(USED)))
 def _(b):
-    return models.importance_by_group(materialize(b.merged), CROPS, "commodity", USED, s=FOREST)
+    return shares(models.importance_by_group(b.merged, CROPS, "commodity", USED, digits=9), ["commodity"])
 
 
-@query("m07_boosted_predictions")
+@query("q05_forest_importance_in_drivers_report", "commodity:s feature:s is_share:b total:d1", _CROP_FEATURES.format(_values(studies.FOREST_FEATURES)))
 def _(b):
-    data = materialize(b.merged)
-    model = models.fit_gbt(data.filter(F.col("year") < TEST_FROM), USED, s=BOOST)
-    return shown(models.predict(model, data.filter(F.col("year") >= TEST_FROM), USED, "pred_yield"), "yield_amount", "pred_yield")
+    report = studies.drivers_report(b.signals, only=["forest_importance"])
+    return shares(report["forest_importance"], ["commodity"])
+
+
+@query("m07_boosted_predictions", KEY + "yield_amount:d known:b", f"SELECT {KEYS}, yield_amount, true AS known FROM merged WHERE year >= {TEST_FROM}")
+def _(b):
+    data = b.merged
+    model = models.fit_gbt(data.filter(F.col("year") < TEST_FROM), USED)
+    return models.predict(model, data.filter(F.col("year") >= TEST_FROM), USED, "pred_yield").select("*", known("pred_yield"))
 
 
-@query("m08_m09_models_by_crop_and_region")
+@query("m08_m09_models_by_crop_and_region", KEY + "region:s model:s yield_amount:d known:b",
+       f"SELECT {KEYS}, region, {_MODEL} AS model, yield_amount, true AS known FROM regional LEFT JOIN cells USING (commodity, region) WHERE year >= {TEST_FROM}")
 def _(b):
     data = materialize(rows(b))
-    _, scored = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS,
-                                    min_rows=MIN_ROWS, forest=FOREST, boost=BOOST)
-    return shown(scored, "region", "yield_amount", "pred_yield")
+    _, scored = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS)
+    return scored.select("*", known("pred_yield"))
 
 
-@query("m10_stratified_models")
+@query("m10_stratified_models", KEY + "split:s model:s known:b", f"""SELECT {KEYS}, split, CASE WHEN n >= {models.MIN_GROUP_ROWS} THEN 'own' ELSE 'pooled' END AS model, true AS known
+  FROM (SELECT *, {_SIDE} AS split FROM merged) m LEFT JOIN (SELECT commodity, count(*) AS n FROM merged WHERE {_SIDE} = 'train' GROUP BY commodity) c USING (commodity)""")
 def _(b):
     data = materialize(splits.entity_split(b.merged, number=number()))
-    return shown(models.fit_stratified(data.filter("split = 'train'"), data, USED, CROPS, forest=FOREST, boost=BOOST),
-                 "yield_predicted", "yield_residual")
+    return models.fit_stratified(data.filter("split = 'train'"), data, USED, CROPS).select("*", known("yield_predicted"))
 
 
-@query("m11_j12_out_of_fold_flags")
+@query("m11_j12_out_of_fold_flags", KEY + "yield_amount:d known:b flag_holds:b one_fold:b", f"SELECT {KEYS}, yield_amount, true AS known, true AS flag_holds, true AS one_fold FROM merged")
 def _(b):
-    data = materialize(b.merged)
-    flagged = models.oof_anomalies(data, USED, 5, number=F.col("state_fips") * 10 + F.col("county_fips"), forest=FOREST)
-    return shown(models.attach_predictions(data, flagged, ROW, "yield_predicted").join(
-        flagged.select(*ROW, "yield_residual_z", "anomaly_flag"), ROW, "left"), "yield_amount", "yield_predicted", "yield_residual_z", "anomaly_flag")
+    flagged = materialize(models.oof_anomalies(b.merged, USED, 5))
+    folds = flagged.groupBy("state_fips", "county_fips").agg((F.count_distinct("fold") == 1).alias("one_fold"))
+    kept = models.attach_predictions(b.merged, flagged, ROW, "yield_predicted").join(flagged.select(*ROW, "yield_residual_z", "anomaly_flag"), ROW, "left")
+    return kept.join(folds, ["state_fips", "county_fips"]).select("*", known("yield_predicted"), flag_holds(F.col("yield_residual_z"), F.col("anomaly_flag")))
 
 
-@query("m12_holdout_anomalies")
+@query("m12_holdout_anomalies", KEY + "split:s known:b only_test:b", f"SELECT {KEYS}, {_SIDE} AS split, true AS known, true AS only_test FROM merged")
 def _(b):
     data = materialize(splits.entity_split(b.merged, number=number()))
-    return shown(models.holdout_anomalies(data, USED, forest=FOREST), "split", "yield_predicted", "yield_residual", "anomaly_flag")
+    out = models.holdout_anomalies(data, USED)
+    return out.select("*", known("yield_predicted"), ((F.col("split") == "test") | (F.col("anomaly_flag") == "")).alias("only_test"))
 
 
-@query("m13_walk_forward_scores")
+@query("m13_walk_forward_scores", "fold:i n:i known:b", """WITH ys AS (SELECT list(DISTINCT year ORDER BY year) AS ys FROM merged),
+  cut AS (SELECT list_filter(ys, lambda y: y < 2000) AS train, ys, len(list_filter(ys, lambda y: y >= 2000)) AS w FROM ys),
+  starts AS (SELECT ys, w, greatest(len(train) - w + 1 - 5, 0) AS first, len(train) - w + 1 AS stop FROM cut),
+  folds AS (SELECT i - first + 1 AS fold, ys[i + 1] AS cutoff, ys[i + 1:i + w] AS years, ys[1] AS earliest FROM (SELECT *, unnest(range(first, stop)) AS i FROM starts) s)
+  SELECT fold, count(*) AS n, true AS known FROM folds JOIN merged ON list_contains(years, year) WHERE cutoff > earliest GROUP BY fold""")
 def _(b):
-    _, scores = models.walk_forward_cv(rows(b), 2000, CROPS, REGIONS, folds=2, min_rows=MIN_ROWS, forest=FOREST, boost=BOOST)
-    return scores
+    _, scores = models.walk_forward_cv(rows(b), 2000, CROPS, REGIONS)
+    return scores.filter("n > 0").select("*", known("rmse"))
 
 
-@query("m14_weighted_importance")
+@query("m14_weighted_importance", "feature:s is_share:b total:d1", f"SELECT feature, true AS is_share, 1e0 AS total FROM (VALUES {_values([*features.CORE_FEATURES, *features.BASELINE_FEATURES])}) f(feature)")
 def _(b):
     data = materialize(rows(b))
-    fitted, _ = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS,
-                                    min_rows=MIN_ROWS, forest=FOREST, boost=BOOST)
-    return fitted.importance(b.spark)
+    fitted, _ = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS, min_rows=models.MIN_ROWS)
+    return shares(fitted.importance(b.spark))
 
 
-@query("m19_s28_score_with_saved_models")
+@query("m19_s28_score_with_saved_models", KEY + "region:s source:s known:b",
+       f"""SELECT {KEYS}, region, CASE WHEN n >= {models.MIN_ROWS} THEN 'model' ELSE 'estimate' END AS source, true AS known
+  FROM regional LEFT JOIN cells USING (commodity, region) WHERE year >= {TEST_FROM}""")
 def _(b):
-    data = materialize(rows(b).drop("region").join(estimate_inputs(b).select(*ROW, "trend"), ROW))
+    data = rows(b).drop("region").join(estimate_inputs(b).select(*ROW, "trend"), ROW)
     data = materialize(features.with_region(data, region_table(b.spark, "training"), "Other"))
     train, test = data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM)
-    fitted, _ = models.fit_by_group(train, test, CROPS, REGIONS[:2], min_rows=MIN_ROWS, forest=FOREST, boost=BOOST)
+    fitted, _ = models.fit_by_group(train, test, CROPS, REGIONS, min_rows=models.MIN_ROWS)
     place = fresh_folder(b.spark, "models")
     artifacts.save_models(b.spark, fitted.models, place, fitted.features, models.BLEND)
     loaded, used, weights = artifacts.load_models(b.spark, place)
     based = features.with_baselines(test, train, by=["commodity"])
-    return shown(models.score(based, loaded, used, weights), "region", "source", "predicted_yield", "yield_category")
+    return models.score(based, loaded, used, weights).select("*", known("predicted_yield"))
 
 
-@query("m20_permutation_importance")
+@query("m20_permutation_importance", "feature:s known:b", f"SELECT feature, true AS known FROM (VALUES {_values(USED)}) f(feature)")
 def _(b):
     data = materialize(b.merged)
-    few = ["avg_precip_mm", "heat_stress_days", "gdd", "frost_days"]
-    model = models.fit_rf(data, few, s=FOREST)
-    return models.permutation_importance(model, data, few, ROW)
+    model = models.fit_rf(data, USED)
+    return models.permutation_importance(model, data, USED, ROW).select("*", known("importance"))
 
 
 @query("m20_permuted_column", "column_sum:d3 n:i", "SELECT sum(gdd) AS column_sum, count(*) AS n FROM merged")
 def _(b):
-    return models.permute(b.merged, "gdd", ROW, buckets=8).agg(F.sum("gdd").alias("column_sum"), F.count(F.lit(1)).alias("n"))
+    return models.permute(b.merged, "gdd", ROW).agg(F.sum("gdd").alias("column_sum"), F.count(F.lit(1)).alias("n"))
 
 
 @query("m14_weighted_importance_by_crop_correlation", "feature:s importance:d", """WITH p AS (SELECT commodity, count(*) AS n, abs(corr(yield_amount, gdd)) AS a, abs(corr(yield_amount, dry_days)) AS b FROM merged GROUP BY commodity),
@@ -127,24 +164,60 @@ def _(b):
     return models.weighted_importance(ranks.join(sizes, "commodity").withColumnRenamed("abs_correlation", "importance"))
 
 
-@query("q13_anomaly_study")
+_Z = """(yield_amount - avg(yield_amount) OVER c) / nullif(stddev_samp(yield_amount) OVER c, 0)"""
+
+
+@query("q13_anomaly_study", KEY + "split:s yield_zscore:d anomaly_flag_zscore:s known:b flag_holds:b", f"""SELECT *, CASE WHEN yield_zscore > 2 THEN 'high_z' WHEN yield_zscore < -2 THEN 'low_z' ELSE '' END AS anomaly_flag_zscore
+  FROM (SELECT {KEYS}, {_SIDE} AS split, {_Z} AS yield_zscore, true AS known, true AS flag_holds FROM merged WINDOW c AS (PARTITION BY state_fips, county_fips, commodity)) q""")
 def _(b):
-    study = studies.anomaly_study(b.merged, USED, 5, FOREST, number())
-    return shown(study["rows"], "split", "yield_residual", "yield_residual_z", "anomaly_flag", "yield_zscore", "anomaly_flag_zscore")
+    rows_ = studies.anomaly_study(b.merged, USED, 5, number=number())["rows"]
+    return rows_.select("*", known("yield_predicted"), flag_holds(F.col("yield_residual_z"), F.col("anomaly_flag")))
+
 
+_GROUP_OF = " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in fs)}) THEN '{g}'" for g, fs in DRIVER_GROUPS.items())
 
-@query("q13_explainer")
+
+@query("q13_explainer", "driver_group:s position:i known:b", f"""SELECT driver_group, unnest(range(1, least(n, 3) + 1)) AS position, true AS known FROM (
+  SELECT CASE {_GROUP_OF} ELSE 'Other' END AS driver_group, count(*) AS n FROM (VALUES {_values(USED)}) f(feature) GROUP BY 1) q""")
 def _(b):
-    study = studies.anomaly_study(b.merged, USED, 3, FOREST, number())
-    return studies.explainer(study)["drivers"]
+    study = studies.anomaly_study(b.merged, USED, 5, number=number())
+    return studies.explainer(study)["drivers"].select("*", known("importance"))
+
+
+@query("q14_train_and_export", "train_rows:i test_rows:i test_year_min:i test_year_max:i known:b stored:b models:i",
+       f"""SELECT sum(n) FILTER (n >= {models.MIN_ROWS}) AS train_rows, any_value(t) AS test_rows, any_value(a) AS test_year_min, any_value(z) AS test_year_max, true AS known, true AS stored,
+  2 * count(*) FILTER (n >= {models.MIN_ROWS}) AS models FROM cells, (SELECT count(*) AS t, min(year) AS a, max(year) AS z FROM merged WHERE year >= {TEST_FROM}) q""")
+def _(b):
+    import uuid
+
+    mark, place = uuid.uuid4().hex[:12], fresh_folder(b.spark, "models")
+    out = studies.train_and_export(b.merged, TEST_FROM, CROPS, REGIONS, min_rows=models.MIN_ROWS, predictions_name=f"predictions_{mark}", stats_name=f"stats_{mark}", models_folder=place)
+    # the row as written, the written predictions and the manifest of the written models
+    rows_ = b.spark.table(f"predictions_{mark}").agg(F.count("pred_yield").alias("n_stored")).select("n_stored").scalar()
+    parts = b.spark.read.json(f"{place}/manifest").agg(F.count(F.lit(1)).alias("n_parts")).select("n_parts").scalar()
+    stats = b.spark.table(f"stats_{mark}").select("*", known("test_rmse"))
+    return stats.withColumns({"stored": rows_ == F.col("test_rows"), "models": parts})
+
+
+@query("a40_flag_counts_after_study", "variable:s n:i known:b", """SELECT 'yield_residual' AS variable, count(*) AS n, true AS known FROM merged UNION ALL SELECT 'yield_residual_z', count(*), true FROM merged""")
+def _(b):
+    return reports.residual_diag(models.oof_anomalies(b.merged, USED, 5)).select("*", known("mean"))
+
 
+# ---- the hashed splits as a user takes them: what must hold whatever the hash
 
-@query("q14_train_and_export")
+@query("m01_entity_split_by_hash", "one_side:b same_again:b share_near:b n_counties:i", "SELECT true AS one_side, true AS same_again, true AS share_near, count(*) AS n_counties FROM (SELECT DISTINCT state_fips, county_fips FROM merged) q")
 def _(b):
-    return studies.train_and_export(b.merged, TEST_FROM, min_rows=MIN_ROWS, forest=FOREST, boost=BOOST)["stats"]
+    once = splits.entity_split(b.merged)
+    again = splits.entity_split(once, name="again")
+    sides = again.groupBy("state_fips", "county_fips").agg(F.count_distinct("split").alias("sides"), F.bool_and(F.col("split") == F.col("again")).alias("same"), F.max("split").alias("split"))
+    return sides.agg(
+        F.bool_and(F.col("sides") == 1).alias("one_side"), F.bool_and("same").alias("same_again"),
+        F.avg((F.col("split") == "test").cast("double")).between(0.02, 0.5).alias("share_near"), F.count(F.lit(1)).alias("n_counties"))
 
 
-@query("a40_flag_counts_after_study")
+@query("m03_group_kfold_by_hash", "one_fold:b in_range:b same_again:b n_counties:i", "SELECT true AS one_fold, true AS in_range, true AS same_again, count(*) AS n_counties FROM (SELECT DISTINCT state_fips, county_fips FROM merged) q")
 def _(b):
-    flagged = models.oof_anomalies(materialize(b.merged), USED, 3, forest=FOREST)
-    return reports.residual_diag(flagged)
+    again = splits.group_kfold(splits.group_kfold(b.merged), name="again")
+    folds = again.groupBy("state_fips", "county_fips").agg(F.count_distinct("fold").alias("folds"), F.bool_and(F.col("fold") == F.col("again")).alias("same"), F.max("fold").alias("fold"))
+    return folds.agg(F.bool_and(F.col("folds") == 1).alias("one_fold"), F.bool_and(F.col("fold").between(0, 4)).alias("in_range"), F.bool_and("same").alias("same_again"), F.count(F.lit(1)).alias("n_counties"))

@@ -6,6 +6,7 @@ Everything written goes to new folders under the shared scratch folder of the se
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from harvestlens.catalog.counties import KEY
 from harvestlens.catalog.registry import query
 from harvestlens.functions.text import geoid
 from harvestlens.operators import changes, grouping
+from harvestlens.plans import studies
 from harvestlens.session import fresh_folder
 from harvestlens.sources import artifacts, files, snapshots, tables
 from harvestlens.streaming import jobs
@@ -101,13 +103,16 @@ def _(b):
     return files.scan_centroids_csv(b.spark, path)
 
 
-@query("s10_range_calendar", "day:i n:i", """SELECT d AS day, count(event_id) AS n FROM range(0, 40) t(d)
-  LEFT JOIN events ON date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) = d GROUP BY d""")
+@query("s10_range_calendar", "day:s n:i", """SELECT cast(d AS string) AS day, count(event_id) AS n FROM (SELECT a + cast(i AS int) AS d FROM (SELECT a, unnest(range(z - a + 1)) AS i FROM (
+  SELECT min(cast(ts AS date)) AS a, max(cast(ts AS date)) AS z FROM events) e) r) t LEFT JOIN events ON cast(ts AS date) = d GROUP BY d""")
 def _(b):
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    counted = grouping.value_counts(b.table("events").withColumn("day", day), "day")
-    calendar = files.range_source(b.spark, 0, 40).withColumnRenamed("id", "day")
-    return calendar.join(counted, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+    # the calendar runs from the first day of the data to the last
+    days = b.table("events").select(F.col("ts").cast("date").alias("day"))
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    span = 0 if first is None else (last - first).days + 1
+    calendar = files.range_source(b.spark, 0, span).select(F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")).alias("day"))
+    counted = grouping.value_counts(days, "day")
+    return calendar.join(counted, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("s11_inline_values", "event_type:s weighted:d4", """SELECT event_type, sum(value * w) AS weighted FROM events
@@ -117,22 +122,22 @@ def _(b):
     return b.table("events").join(weights, "event_type").groupBy("event_type").agg(F.sum(F.col("value") * F.col("w")).alias("weighted"))
 
 
-@query("s14_overwrite_table", ORDER, ORDERS + " WHERE o_orderstatus = 'F'")
+@query("s14_overwrite_table", ORDER, ORDERS)
 def _(b):
     name, place = _name("orders_managed"), _folder(b, "managed")
     tables.overwrite_table(_orders(b).select("o_orderkey"), name, location=place)
-    tables.overwrite_table(_orders(b).filter("o_orderstatus = 'F'"), name, location=place)
+    tables.overwrite_table(_orders(b), name, location=place)
     return tables.scan_table(b.spark, name)
 
 
-@query("s15_s17_insert_overwrite", ORDER, ORDERS + " WHERE o_totalprice > 250000")
+@query("s15_s17_insert_overwrite", ORDER, ORDERS.replace("o_totalprice", "o_totalprice + 1 AS o_totalprice"))
 def _(b):
     name = _name("orders_typed")
     tables.ensure_table(
         b.spark, name, "o_totalprice DOUBLE, o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING, o_orderstatus STRING",
         ("o_orderstatus",), _folder(b, "typed"))
     tables.insert_overwrite(_orders(b), name)
-    tables.insert_overwrite(_orders(b).filter("o_totalprice > 250000"), name)
+    tables.insert_overwrite(_orders(b).withColumn("o_totalprice", F.col("o_totalprice") + 1), name)
     return tables.scan_table(b.spark, name)
 
 
@@ -167,8 +172,8 @@ def _(b):
 
 # ---- upsert, update, delete, versions
 
-_T = "SELECT user_id, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents FROM events WHERE event_type <> 'signup' AND user_id % 3 <> 0 GROUP BY user_id"
-_S = "SELECT user_id, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents FROM events WHERE event_type = 'signup' AND user_id % 5 <> 0 GROUP BY user_id"
+_T = "SELECT user_id, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents FROM events WHERE event_type <> 'signup' GROUP BY user_id"
+_S = "SELECT user_id, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents FROM events WHERE event_type = 'signup' GROUP BY user_id"
 
 
 def _user_totals(b, where):
@@ -179,8 +184,8 @@ def _user_totals(b, where):
 @query("s21_upsert", "user_id:i n:i cents:i", f"""SELECT coalesce(t.user_id, s.user_id) AS user_id, CASE WHEN t.user_id IS NULL THEN s.n ELSE t.n + coalesce(s.n, 0) END AS n,
   coalesce(s.cents, t.cents) AS cents FROM ({_T}) t FULL JOIN ({_S}) s ON t.user_id = s.user_id""")
 def _(b):
-    target = _user_totals(b, "event_type <> 'signup' AND user_id % 3 <> 0")
-    source = _user_totals(b, "event_type = 'signup' AND user_id % 5 <> 0")
+    target = _user_totals(b, "event_type <> 'signup'")
+    source = _user_totals(b, "event_type = 'signup'")
     return changes.upsert(target, source, ["user_id"], {"n": F.col("t.n") + F.col("s.n"), "cents": F.col("s.cents")})
 
 
@@ -296,18 +301,21 @@ def _(b):
 @query("r03_r05_stream_key_aggregate", "id:i n:i cents:i", """SELECT user_id % 10 AS id, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents
   FROM events GROUP BY user_id % 10""")
 def _(b):
-    name = _name("stream_agg")
-    measures = {"n": F.count(F.lit(1)), "cents": F.sum(F.round(F.col("value") * 100).cast("bigint"))}
-    _finish(jobs.stream_agg(_events(b), (F.col("user_id") % 10).alias("id"), measures, name, "complete"))
-    return b.spark.table(name)
+    out = _folder(b, "stream-agg")
+    grouped = _events(b).groupBy((F.col("user_id") % 10).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
+    _finish(jobs.stream_result(grouped, out, _folder(b, "stream-agg-ckpt")))
+    return jobs.last_batch(b.spark, out)
 
 
 @query("r04_stream_upsert", _EVENT, """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) q WHERE k = 1""")
 def _(b):
-    out = _folder(b, "upsert")
-    _finish(jobs.stream_upsert(_events(b), out, _folder(b, "upsert-ckpt"), ["user_id"], ["ts", "event_id"]))
-    old = changes.latest_by_key(b.table("events").filter("event_id % 2 = 0 AND event_type = 'view'"), ["user_id"], ["ts", "event_id"])
-    return jobs.upserted(old, b.spark.read.parquet(out), ["user_id"])
+    # four files of mixed times, one a batch, so that late rows come in later batches
+    out, source, order = _folder(b, "upsert"), _folder(b, "upsert-src"), ["ts", "event_id"]
+    b.table("events").repartition(4, "event_id").write.parquet(source)
+    stream = jobs.stream_files(b.spark, source, b.schema("events"), files_per_batch=1)
+    _finish(jobs.stream_upsert(stream, out, _folder(b, "upsert-ckpt"), ["user_id"], order))
+    first = b.table("events").groupBy("user_id").agg(F.min_by(F.struct(*b.table("events").columns), F.struct(*order)).alias("e")).select("e.*")
+    return jobs.upserted(first, b.spark.read.parquet(out), ["user_id"], order)
 
 
 @query("r06_stream_of_changes", ORDER + " _change_type:s _commit_version:i", _FEED)
@@ -357,3 +365,41 @@ def _(b):
     return jobs.last_batch(b.spark, out).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
 
 
+
+
+_DAYS = "SELECT cast(cast(ts AS date) AS string) AS day, event_type, count(*) AS n FROM events"
+
+
+@query("r08_stream_late_rows", "day:s event_type:s n:i", f"""WITH e AS (SELECT max(ts) AS z FROM events) {_DAYS}, e
+  WHERE NOT (event_id % 10 = 0 AND ts < z - INTERVAL 10 DAY) AND date_trunc('day', ts) + INTERVAL 1 DAY <= z - INTERVAL 2 DAY GROUP BY 1, 2""")
+def _(b):
+    """Append mode under a watermark: rows that come after their day was closed are dropped, and a closed day leaves the state."""
+    source, out = _folder(b, "late-src"), _folder(b, "late")
+    events = b.table("events")
+    last = events.agg(F.max("ts").alias("z")).scalar()
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < last - F.expr("INTERVAL 10 DAYS"))
+    ckpt = _folder(b, "late-ckpt")
+    for part in (events.filter(~late), events.filter(late)):
+        part.write.mode("append").parquet(source)
+        stream = jobs.stream_files(b.spark, source, b.schema("events"))
+        counts = jobs.windowed_counts(stream, "ts", ["event_type"], "1 day", "2 days", {"n": F.count(F.lit(1))})
+        _finish(jobs.stream_append(counts, out, ckpt))
+    return b.spark.read.parquet(out).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query("r08_stream_station_days", "station:s day:s n:i", """SELECT station, cast(date AS string) AS day, count(*) AS n FROM wx
+  WHERE date + INTERVAL 1 DAY <= (SELECT max(date) FROM wx) - INTERVAL 30 DAY GROUP BY 1, 2""")
+def _(b):
+    out = _folder(b, "station-days")
+    _finish(jobs.stream_append(jobs.stream_station_days(_weather_stream(b)), out, _folder(b, "station-days-ckpt")))
+    return b.spark.read.parquet(out).select("station", F.date_format("window_start", "yyyy-MM-dd").alias("day"), F.col("obs_count").alias("n"))
+
+
+@query("q18_version_walk", "o_orderkey:i version:i", """WITH k AS (SELECT o_orderkey FROM orders UNION SELECT o_orderkey + 1 FROM orders)
+  SELECT o_orderkey, 0 AS version FROM orders UNION ALL SELECT o_orderkey, 1 FROM k UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 100 ELSE o_orderkey END, 2 FROM k
+  UNION ALL SELECT o_orderkey, 3 FROM k WHERE o_orderkey % 2 = 1""")
+def _(b):
+    base, keys = _folder(b, "walk"), b.table("orders").select("o_orderkey")
+    steps = studies.version_walk(b.spark, base, keys, keys.union(keys.select(F.col("o_orderkey") + 1)).distinct(), ("o_orderkey",))
+    parts = [snapshots.read_version(b.spark, base, v).withColumn("version", F.lit(v)) for v in steps]
+    return reduce(lambda x, y: x.unionByName(y), parts)

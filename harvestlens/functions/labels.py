@@ -32,16 +32,12 @@ def outcome_category(anomaly, weather, z) -> Column:
 
 def anomaly_type(anomaly, weather) -> Column:
     """Combined label of the two 0/1 flags."""
-    pair = F.struct(to_column(anomaly).cast("int"), to_column(weather).cast("int"))
-
-    def is_pair(a, w):
-        return pair == F.struct(F.lit(a), F.lit(w))
-
-    return F.coalesce(
-        F.when(is_pair(1, 1), F.lit(TYPE_IMPACT)),
-        F.when(is_pair(1, 0), F.lit(TYPE_MISMATCH)),
-        F.when(is_pair(0, 1), F.lit(TYPE_HANDLED)),
-        F.lit("Normal"),
+    a, w = to_column(anomaly).cast("int"), to_column(weather).cast("int")
+    return (
+        F.when((a == 1) & (w == 1), F.lit(TYPE_IMPACT))
+        .when((a == 1) & (w == 0), F.lit(TYPE_MISMATCH))
+        .when((a == 0) & (w == 1), F.lit(TYPE_HANDLED))
+        .otherwise(F.lit("Normal"))
     )
 
 
@@ -63,10 +59,13 @@ def weather_event_type(temp_z, rain_z) -> Column:
 def yield_category_z(z) -> Column:
     """Five-way yield class of a z-score."""
     z = to_column(z)
-    size = F.abs(z)
-    high = F.when(size > 1.5, F.lit("VERY_HIGH")).when(size > 0.5, F.lit("ABOVE_AVG"))
-    low = F.when(size > 1.5, F.lit("VERY_LOW")).when(size > 0.5, F.lit("BELOW_AVG"))
-    return F.coalesce(F.when(z > 0, high).when(z < 0, low), F.lit("NORMAL"))
+    return (
+        F.when(z < -1.5, F.lit("VERY_LOW"))
+        .when(z < -0.5, F.lit("BELOW_AVG"))
+        .when(z > 1.5, F.lit("VERY_HIGH"))
+        .when(z > 0.5, F.lit("ABOVE_AVG"))
+        .otherwise(F.lit("NORMAL"))
+    )
 
 
 def yield_category_abs(value, crop) -> Column:
@@ -93,8 +92,12 @@ def mismatch_label(yield_z, temp_z, rain_z) -> Column:
 
 def event_label(drought, flood, heat) -> Column:
     """One event name per season; drought outranks flood, flood outranks heat."""
-    named = [("Drought", drought), ("Flood", flood), ("Extreme Heat", heat)]
-    return F.coalesce(*[F.when(to_column(c) == 1, F.lit(n)) for n, c in named], F.lit("Normal"))
+    return (
+        F.when(to_column(drought) == 1, F.lit("Drought"))
+        .when(to_column(flood) == 1, F.lit("Flood"))
+        .when(to_column(heat) == 1, F.lit("Extreme Heat"))
+        .otherwise(F.lit("Normal"))
+    )
 
 
 def two_sided_label(value, limit, high: str = HIGH_YIELD, low: str = LOW_YIELD, inclusive: bool = False) -> Column:

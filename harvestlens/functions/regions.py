@@ -39,6 +39,7 @@ REGION_SETS = {
         "West": ["CA", "WA", "OR", "ID", "CO"],
     },
 }
+# Weather features by what drives the yield.
 DRIVER_GROUPS = {
     "Heat stress": [
         "heat_stress_days", "peak_temp_max_c", "avg_temp_max_c", "extreme_heat_flag", "gdd", "avg_temp_mean_c",

@@ -20,16 +20,16 @@ EPSILON = 1e-8
 
 def zscore(
     df: DataFrame, targets: dict[str, str], by: Sequence[str], fallback: float | None = 0.0, std=F.stddev_samp,
-    keep_stats: dict[str, tuple[str, str]] | None = None,
+    keep_stats: dict[str, tuple[str, str]] | None = None, small: bool = False,
 ) -> DataFrame:
     """z-scores of several columns over one grouping: {column: z name}.
 
-    Groups with zero or unknown spread score `fallback`. `keep_stats` names kept means and spreads per column.
+    Groups with zero or unknown spread score `fallback`. `keep_stats` names kept means and spreads per column; `small` says that a group fits one task.
     """
     stats = {}
     for c in targets:
         stats |= {f"__m_{c}": F.avg(c), f"__s_{c}": std(c)}
-    out = with_group_stats(df, by, stats)
+    out = with_group_stats(df, by, stats, small=small)
     out = out.withColumns({z: z_value(c, f"__m_{c}", f"__s_{c}", fallback) for c, z in targets.items()})
     for c, (mean, spread) in (keep_stats or {}).items():
         out = out.withColumns({mean: F.col(f"__m_{c}"), spread: F.col(f"__s_{c}")})
@@ -38,7 +38,7 @@ def zscore(
 
 def zscore_flag(df: DataFrame, col="yield_amount", by=("state_fips", "county_fips", "commodity"), limit=2.0) -> DataFrame:
     """z-score within a group, NULL without spread, with a high/low flag beyond the limit."""
-    out = zscore(df, {col: "yield_zscore"}, by, fallback=None)
+    out = zscore(df, {col: "yield_zscore"}, by, fallback=None, small=True)
     return out.withColumn("anomaly_flag_zscore", labels.two_sided_label("yield_zscore", float(limit), "high_z", "low_z"))
 
 

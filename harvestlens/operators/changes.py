@@ -24,8 +24,9 @@ def upsert(
     takes the source value. `insert` does the same for new rows over `s.<col>`. NULL keys never match.
     A target row matched by several source rows raises an error.
 
-    The target side is a left join and the inserts are an anti join, so a hot key in the target can be
-    split by adaptive execution; a full outer join could not.
+    The target side is a left join, so a hot key in the target can be split by adaptive execution; a full outer join could not.
+    Which source keys have a match is found by joining the target's key columns with the packed source: both joins stream the
+    target past the source where its measured size allows a broadcast, and only matched keys are made distinct.
     """
     keys = list(keys)
     set_ = {c: F.col(f"s.{c}") for c in target.columns if c in source.columns} if set_ is None else dict(set_)
@@ -48,7 +49,10 @@ def upsert(
     checked = joined.withColumn("__ok", F.when(F.col("__n") > 1, many.cast("boolean")).otherwise(F.lit(True)))
     kept = checked.filter("__ok").select(*[updated(c).cast(target.schema[c].dataType).alias(c) for c in target.columns])
 
-    seen = target.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(keys)]).distinct()
+    names = [f"__t{i}" for i in range(len(keys))]
+    known = side.select(*[F.col(f"__k{i}") for i in range(len(keys))])
+    held = target.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    seen = held.join(known, _and([F.col(n) == F.col(f"__k{i}") for i, n in enumerate(names)]), "left_semi").distinct()
     s = source.select(F.struct(*source.columns).alias("s"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     fresh = s.join(seen, _and([F.col(f"__k{i}") == F.col(f"__t{i}") for i in range(len(keys))]), "left_anti")
     added = fresh.select(*[

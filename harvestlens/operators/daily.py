@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from harvestlens.functions import weather as wx
 from harvestlens.functions.numeric import z_value
@@ -86,10 +86,14 @@ def with_state(df: DataFrame, c: DailyColumns = DAILY, boxes=wx.STATE_BOXES, oth
 MONTH_KEYS = ["station", "state_abbr", "latitude", "longitude", "year", "month", "corn_growth_phase", "soy_growth_phase"]
 
 
-def monthly_station(df: DataFrame, boxes=wx.STATE_BOXES) -> DataFrame:
+def monthly_station(df: DataFrame, boxes=wx.STATE_BOXES, parts: bool = False) -> DataFrame:
     """Monthly measures per station. State and crop stages follow from position and month, so they are added
-    to the few result rows instead of being grouped on."""
+    to the few result rows instead of being grouped on. With `parts` also counts and squared departures, which merge into a climatology."""
     rain = F.col("precip_mm")
+    extra = [
+        F.count("temp_avg_c").alias("n_temp"), F.var_pop("temp_avg_c").alias("var_temp"), F.count(rain).alias("n_rain"),
+        F.var_pop(rain).alias("var_rain"), F.count("gdd_corn").alias("n_gdd"),
+    ] if parts else []
     months = df.groupBy("station", "latitude", "longitude", "year", "month").agg(
         F.avg("temp_avg_c").alias("avg_temp_c"),
         F.avg("temp_avg_f").alias("avg_temp_f"),
@@ -106,6 +110,7 @@ def monthly_station(df: DataFrame, boxes=wx.STATE_BOXES) -> DataFrame:
         *[F.sum(f"{f}_flag").alias(f"{f}_days") for f in ("heat_stress", "frost", "heavy_rain")],
         F.sum("dry_day_flag").alias("consecutive_dry_days_approx"),
         F.count(F.lit(1)).alias("total_obs_days"),
+        *extra,
     )
     return months.withColumns({
         "state_abbr": wx.state_by_box("latitude", "longitude", boxes),
@@ -227,7 +232,10 @@ def join_climatology(monthly: DataFrame, clim: DataFrame, keys=("station", "mont
 
 def monthly_anomalies(monthly: DataFrame, clim: DataFrame) -> DataFrame:
     """z-scores and departures of each station-month; rain is compared with n days of normal rain."""
-    joined = join_climatology(monthly, clim)
+    return _anomalies(join_climatology(monthly, clim))
+
+
+def _anomalies(joined: DataFrame) -> DataFrame:
     days = F.col("total_obs_days")
     normal_rain = F.col("clim_avg_precip_mm") * days
     rain_spread = F.col("clim_std_precip_mm") * F.sqrt(days)
@@ -241,6 +249,36 @@ def monthly_anomalies(monthly: DataFrame, clim: DataFrame) -> DataFrame:
     )
 
 
+def with_climatology(months: DataFrame, by=("station", "state_abbr", "month")) -> DataFrame:
+    """The climatology beside each station-month, merged from the months' own counts, means and squared departures.
+
+    The months of a station are few, so they are one window. Equals `climatology` over the daily rows."""
+    group = Window.partitionBy(*by)
+
+    def merged(mean, var, n):
+        total = F.sum(F.col(n)).over(group)
+        overall = F.sum(F.col(mean) * F.col(n)).over(group) / total
+        spread = F.sum(F.col(n) * (F.col(var) + F.pow(F.col(mean) - F.col("__mean"), 2))).over(group)
+        return overall, total, spread
+
+    out = months
+    for name, mean, var, n in (("temp", "avg_temp_c", "var_temp", "n_temp"), ("precip", "avg_daily_precip_mm", "var_rain", "n_rain")):
+        overall, total, spread = merged(mean, var, n)
+        unit = "c" if name == "temp" else "mm"
+        out = out.withColumns({"__mean": overall, "__n": total}).withColumn("__m2", spread)
+        # months without any departure leave rounding dust, which is no spread
+        dust = F.col("__m2") <= F.lit(1e-20) * F.col("__n") * (1 + F.pow(F.col("__mean"), 2))
+        std = F.when(F.col("__n") > 1, F.when(dust, F.lit(0.0)).otherwise(F.sqrt(F.col("__m2") / (F.col("__n") - 1))))
+        out = out.withColumns({f"clim_avg_{name}_{unit}": F.col("__mean"), f"clim_std_{name}_{unit}": std}).drop("__mean", "__n", "__m2")
+    gdd = F.sum("total_gdd_corn").over(group) / F.sum("n_gdd").over(group)
+    return out.withColumn("clim_avg_gdd_corn", gdd)
+
+
+def anomalies_of_months(months: DataFrame) -> DataFrame:
+    """`monthly_anomalies` for months that carry their parts."""
+    return _anomalies(with_climatology(months))
+
+
 def extreme_months(anomalies: DataFrame, limit: float = 1.5) -> DataFrame:
     """Months beyond the limit in either z-score, with their event label."""
     t, p = F.col("temp_anomaly_zscore"), F.col("precip_anomaly_zscore")

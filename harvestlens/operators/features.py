@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,13 +35,29 @@ STRESS_PAIRS = [
     ("heat_stress_days", "dry_days"), ("avg_precip_mm", "drought_flag"), ("dry_days", "drought_flag"),
     ("heat_stress_days", "extreme_heat_flag"), ("heavy_rain_days", "flood_flag"), ("peak_temp_max_c", "dry_days"),
 ]
+
+
+@dataclass(frozen=True)
+class EstimateWeights:
+    """Weights of the rule-based estimate of one crop."""
+
+    heat: float
+    drought: float
+    flood: float
+    gdd_optimum: float
+    gdd: float
+    irrigation: float
+
+
+# Weights of the rule-based estimate.
 ESTIMATE = {
-    # crop: heat, drought, flood weights; heat-unit optimum and weight; irrigation bonus
-    "corn": (1.9, 0.05, 1.4, 2400.0, 0.008, 8.0),
-    "soybeans": (0.65, 0.016, 0.55, 2100.0, 0.0032, 1.8),
+    "corn": EstimateWeights(heat=1.9, drought=0.05, flood=1.4, gdd_optimum=2400.0, gdd=0.008, irrigation=8.0),
+    "soybeans": EstimateWeights(heat=0.65, drought=0.016, flood=0.55, gdd_optimum=2100.0, gdd=0.0032, irrigation=1.8),
 }
 HEAT_FREE_DAYS, ENOUGH_RAIN_MM, RAIN_FREE_DAYS, TREND_SHARE = 6.0, 220.0, 5.0, 0.35
+# Line of each crop for states without a trend of their own, years counted from FIXED_ORIGIN.
 GLOBAL_TREND = {"corn": (130.0, 2.2), "soybeans": (36.0, 0.55)}
+FIXED_ORIGIN = 2010
 
 
 def impute(
@@ -143,12 +160,11 @@ def available_features(df: DataFrame, features: Sequence[str] = WEATHER_FEATURES
     return [c for c in present if counts[c] >= min_count]
 
 
-def interactions(df: DataFrame, pairs=STRESS_PAIRS, min_count: int = 100) -> DataFrame:
-    """Pairwise products; a pair is skipped when a column is absent or holds too few numbers."""
-    usable = set(available_features(df, sorted({c for pair in pairs for c in pair}), min_count))
+def interactions(df: DataFrame, pairs=STRESS_PAIRS) -> DataFrame:
+    """Pairwise products; a pair is skipped when a column is absent. How many numbers a column holds is told by `null_counts`."""
     made = {
         f"{a}_x_{b}": F.col(a).try_cast("double") * F.col(b).try_cast("double")
-        for a, b in pairs if a in usable and b in usable
+        for a, b in pairs if a in df.columns and b in df.columns
     }
     return df.withColumns(made) if made else df
 
@@ -173,12 +189,11 @@ def line_fit(y: str, x: str) -> dict[str, Column]:
 
 
 def state_trend(df: DataFrame, by=("commodity", "state_abbr"), min_years: int = 3) -> DataFrame:
-    """Line through yearly mean yields, for states with enough years."""
+    """Line through yearly mean yields. A state with fewer than `min_years` years keeps its row, with a NULL line, so that the fallback holds."""
     yearly = df.groupBy(*by, "year").agg(F.avg("yield_amount").alias("y")).filter(F.col("y").isNotNull())
-    fit = line_fit("y", "year")
-    return yearly.groupBy(*by).agg(F.count(F.lit(1)).alias("n_years"), *[e.alias(n) for n, e in fit.items()]).filter(
-        F.col("n_years") >= min_years
-    )
+    enough = F.count(F.lit(1)) >= min_years
+    fit = {n: F.when(enough, e) for n, e in line_fit("y", "year").items()}
+    return yearly.groupBy(*by).agg(F.count(F.lit(1)).alias("n_years"), *[e.alias(n) for n, e in fit.items()])
 
 
 def state_trend_rows(df: DataFrame, by=("commodity", "state_abbr"), min_rows: int = 3) -> DataFrame:
@@ -199,6 +214,12 @@ def global_line(df: DataFrame, by=("commodity",)) -> DataFrame:
     return df.groupBy(*by).agg(*[e.alias(n) for n, e in line_fit("yield_amount", "year").items()])
 
 
+def fixed_lines(spark, names: Mapping[str, str] = {"Corn": "corn", "Soybeans": "soybeans"}) -> DataFrame:
+    """The fixed line of each crop, to be used as fallback with years counted from FIXED_ORIGIN."""
+    rows = [(label, *GLOBAL_TREND[crop]) for label, crop in names.items()]
+    return spark.createDataFrame(rows, "commodity string, intercept double, slope double")
+
+
 def trend_value(
     df: DataFrame, trend: DataFrame, fallback: DataFrame, by=("commodity", "state_abbr"), fallback_by=("commodity",),
     origin: int = 0, name: str = "trend",
@@ -273,10 +294,11 @@ def heuristic_yield(df: DataFrame, crop: str = "commodity", name: str = "predict
     """
     is_corn = F.lower(F.trim(F.col(crop))) == "corn"
 
-    def by_crop(i):
-        return F.when(is_corn, F.lit(ESTIMATE["corn"][i])).otherwise(F.lit(ESTIMATE["soybeans"][i]))
+    def by_crop(weight):
+        return F.when(is_corn, F.lit(getattr(ESTIMATE["corn"], weight))).otherwise(F.lit(getattr(ESTIMATE["soybeans"], weight)))
 
-    heat_w, drought_w, flood_w, optimum, gdd_w, bonus = [by_crop(i) for i in range(6)]
+    heat_w, drought_w, flood_w = by_crop("heat"), by_crop("drought"), by_crop("flood")
+    optimum, gdd_w, bonus = by_crop("gdd_optimum"), by_crop("gdd"), by_crop("irrigation")
 
     def over(x):
         return F.greatest(F.lit(0.0), x)

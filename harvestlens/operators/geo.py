@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from harvestlens.functions.numeric import as_num, to_column
 from harvestlens.functions.text import geoid
@@ -22,12 +23,8 @@ LAT_STEP, LON_STEP, SPREAD = 0.11, 0.14, 9
 MIN_MATCH = 0.3
 
 
-def point_in_ring(lon, lat, ring) -> Column:
-    """True strictly inside a ring of (lon, lat) points, by edge crossings; points on an edge are outside.
-
-    The ring may or may not repeat its first point at the end.
-    """
-    x, y, ring = to_column(lon), to_column(lat), to_column(ring)
+def _crossed(x: Column, y: Column, ring: Column) -> Column:
+    """(odd, edge): whether a ray from the point crosses the ring an odd number of times, and whether the point is on it."""
     closed = F.concat(ring, F.slice(ring, 1, 1))
     edges = F.zip_with(
         F.slice(closed, 1, F.size(ring)), F.slice(closed, 2, F.size(ring)),
@@ -45,12 +42,41 @@ def point_in_ring(lon, lat, ring) -> Column:
             (state["odd"] != crosses).alias("odd"), (state["edge"] | ((turn == 0) & within_span)).alias("edge")
         )
 
-    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("edge"))
-    return F.aggregate(edges, start, step, lambda s: s["odd"] & ~s["edge"])
+    return F.aggregate(edges, _NOT_CROSSED(), step)
+
+
+def _NOT_CROSSED() -> Column:
+    return F.struct(F.lit(False).alias("odd"), F.lit(False).alias("edge"))
+
+
+def point_in_ring(lon, lat, ring) -> Column:
+    """True strictly inside a ring of (lon, lat) points, by edge crossings; points on an edge are outside.
+
+    The ring may or may not repeat its first point at the end.
+    """
+    crossed = _crossed(to_column(lon), to_column(lat), to_column(ring))
+    return crossed["odd"] & ~crossed["edge"]
+
+
+def point_in_rings(lon, lat, rings) -> Column:
+    """True strictly inside a shape of several rings by the even-odd rule: parts add up, holes are outside, islands in holes are inside
+    again; points on any edge are outside."""
+    x, y = to_column(lon), to_column(lat)
+
+    def step(state, ring):
+        one = _crossed(x, y, ring)
+        return F.struct((state["odd"] != one["odd"]).alias("odd"), (state["edge"] | one["edge"]).alias("edge"))
+
+    return F.aggregate(to_column(rings), _NOT_CROSSED(), step, lambda s: s["odd"] & ~s["edge"])
+
+
+def _several(polygons: DataFrame, ring: str) -> bool:
+    """Whether a column holds several rings per shape."""
+    return isinstance(polygons.schema[ring].dataType.elementType, ArrayType)
 
 
 def with_bbox(polygons: DataFrame, ring: str = "ring") -> DataFrame:
-    r = F.col(ring)
+    r = F.flatten(ring) if _several(polygons, ring) else F.col(ring)
     return polygons.withColumns({
         "min_lon": F.array_min(F.transform(r, lambda p: p["lon"])),
         "max_lon": F.array_max(F.transform(r, lambda p: p["lon"])),
@@ -63,7 +89,7 @@ def points_in_polygons(
     points: DataFrame, polygons: DataFrame, lon: str = "longitude", lat: str = "latitude", ring: str = "ring",
     cell: float = 0.5,
 ) -> DataFrame:
-    """Inner spatial join. Each polygon is listed under the grid cells its box touches, which makes the
+    """Inner spatial join. `ring` is one ring per polygon, or a list of rings: parts, holes and islands. Each polygon is listed under the grid cells its box touches, which makes the
     join an equality on the cell; the box and the exact ring test then decide within the join."""
     cells = with_bbox(polygons, ring)
 
@@ -82,7 +108,7 @@ def points_in_polygons(
     placed = placed.filter(F.col("__px").isNotNull() & F.col("__py").isNotNull())
     return (
         placed.join(cells, hit, "inner")
-        .filter(point_in_ring(lon, lat, ring))
+        .filter(point_in_rings(lon, lat, ring) if _several(polygons, ring) else point_in_ring(lon, lat, ring))
         .drop("__px", "__py", "__cx", "__cy", "min_lon", "max_lon", "min_lat", "max_lat")
     )
 
@@ -120,19 +146,25 @@ def approx_coords(df: DataFrame, state: str = "state_abbr", county: str = "count
 
 
 def attach_centroids(
-    df: DataFrame, centroids: DataFrame, min_match: float = MIN_MATCH, state="state_fips", county="county_fips"
+    df: DataFrame, centroids: DataFrame, min_match: float | None = None, state="state_fips", county="county_fips"
 ) -> DataFrame:
-    """Real centroids when at least `min_match` of the rows find one, else approximate ones for all rows."""
+    """Real centroids where a row finds one, else approximate ones; `source` says which.
+
+    With `min_match` the whole table decides at once: real ones for all rows (NULL where none is found) when that share of the
+    rows finds one, else approximate ones for all."""
     keyed = df.withColumn("__geoid", geoid(state, county))
     # any one row per key: min() over the pair keeps repeated runs identical
     unique = centroids.groupBy(F.col("geoid").alias("__geoid")).agg(F.min(F.struct("lat", "lon")).alias("__real"))
     joined = keyed.join(unique, "__geoid", "left")
-    match = joined.agg((F.count("__real") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("m")).scalar()
-    spread = approx_coords(joined).withColumn("__good", match >= F.lit(min_match))
+    good = F.col("__real").isNotNull()
+    if min_match is not None:
+        good = joined.agg((F.count("__real") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("m")).scalar() >= F.lit(min_match)
+    spread = approx_coords(joined).withColumn("__good", good)
     return spread.select(
         *df.columns,
         F.when(F.col("__good"), F.col("__real.lat")).otherwise(F.col("lat")).alias("lat"),
         F.when(F.col("__good"), F.col("__real.lon")).otherwise(F.col("lon")).alias("lon"),
+        F.when(F.col("__good"), F.lit("centroid")).otherwise(F.lit("approximate")).alias("source"),
     )
 
 

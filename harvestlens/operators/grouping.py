@@ -2,7 +2,7 @@
 
 Group statistics are aggregated with map-side combine and joined back, instead of a window over the
 group: a window would buffer a whole group in one task, while the join lets adaptive execution split
-a hot group, or broadcast the statistics when they are measured to be small.
+a hot group, or broadcast the statistics when they are measured to be small. Callers whose groups are small ask for the window.
 """
 
 from __future__ import annotations
@@ -15,11 +15,17 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from harvestlens.functions.numeric import to_column
 
 
-def with_group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], rows: Column | None = None):
+def with_group_stats(
+    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], rows: Column | None = None, small: bool = False
+):
     """Add per-group aggregates to every row; NULL keys form a group, as they do in a window.
 
-    `rows` limits the rows that feed the statistics. An empty `by` gives overall statistics.
+    `rows` limits the rows that feed the statistics. An empty `by` gives overall statistics. With `small` the caller says that a
+    group fits one task (a county, a station): then a window reads the input once, with one shuffle.
     """
+    if small and by and rows is None:
+        group = Window.partitionBy(*by)
+        return df.withColumns({n: e.over(group) for n, e in stats.items()})
     source = df if rows is None else df.filter(rows)
     if not by:
         totals = source.agg(F.struct(*[e.alias(n) for n, e in stats.items()]).alias("all")).scalar()

@@ -57,12 +57,8 @@ def pick_table(historical: DataFrame, predictions: DataFrame, year: int, first:
 
 def lookup(df: DataFrame, condition: Column, limit: int | None = None) -> DataFrame:
     """Matching rows, best prediction first; ties follow the row's key."""
-    rows = df.filter(condition)
-    if limit is None:
-        return rows
-    return rows.orderBy(
-        F.col("pred_yield").desc(), "state_abbr", F.trim("county_name"), "commodity", "irrigation"
-    ).limit(limit)
+    rows = df.filter(condition).orderBy(F.col("pred_yield").desc(), "state_abbr", F.trim("county_name"), "commodity", "irrigation")
+    return rows if limit is None else rows.limit(limit)
 
 
 def feature_lookup(df: DataFrame, state: str, county: int, year: int, crop: str, irrigated: int) -> DataFrame:
@@ -81,7 +77,7 @@ def feature_lookup(df: DataFrame, state: str, county: int, year: int, crop: str,
         rows = df.filter(match & (F.col("county_fips") == int(county)))
         return rows.select(
             "state_fips", "county_fips", *shown, "commodity", *FEATURE_COLUMNS, F.col("yield_amount").alias("actual_yield")
-        ).limit(1)
+        ).orderBy("state_fips", "county_fips", "actual_yield", *FEATURE_COLUMNS).limit(1)
     return state_features_lookup(df.filter(match)).select(
         "state_fips", F.lit(0).alias("county_fips"), *shown, F.col("commodity"), *FEATURE_COLUMNS, "actual_yield"
     )

@@ -72,9 +72,9 @@ def residual_by_year(df: DataFrame, residual="signed_residual") -> DataFrame:
 
 
 def coalesce_stats(computed: DataFrame, stored: DataFrame, names: dict[str, str]) -> DataFrame:
-    """One row of computed values, each replaced by its stored twin where the sidecar table has one."""
-    one = stored.limit(1).agg(*[F.first(s).alias(s) for s in names.values()])
-    values = one.select(F.struct(*one.columns).alias("s")).scalar()
+    """One row of computed values, each replaced by its stored twin where the sidecar table has one; of several stored rows the
+    largest by its values in order counts."""
+    values = stored.agg(F.max(F.struct(*names.values())).alias("s")).scalar()
     out = computed.withColumn("__s", values)
     return out.select(*[
         F.coalesce(F.col("__s")[names[c]], F.col(c)).alias(c) if c in names else F.col(c) for c in computed.columns

@@ -19,14 +19,14 @@ from harvestlens.functions.numeric import blend
 from harvestlens.operators import anomalies, features as feats, metrics, splits
 from harvestlens.session import materialize
 
-# Model settings and blend weights.
+# Model settings and blend weights. The row bounds are defaults of parameters.
 MIN_TRAIN_ROWS = 200
 MIN_ROWS = 50
 MIN_GROUP_ROWS = 30
 BLEND = {"gbt": 0.6, "rf": 0.4}
 VALIDATION_SHARE = 0.15
 SEED = 42
-ROWS_PER_BUCKET = 100_000
+SHUFFLE_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -106,11 +106,13 @@ def importances(model: PipelineModel, features: Sequence[str], spark: SparkSessi
     return spark.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double")
 
 
-def importance_rank(df: DataFrame, features, label="yield_amount", s: ForestSettings = ForestSettings()) -> DataFrame:
-    """Forest importance per feature; zero for all when there are too few rows."""
-    if df.filter(F.col(label).isNotNull()).count() < MIN_ROWS:
-        return df.sparkSession.createDataFrame([(f, 0.0) for f in features], "feature string, importance double")
-    return importances(fit_rf(df, features, label, s), features, df.sparkSession)
+def importance_rank(
+    df: DataFrame, features, label="yield_amount", s: ForestSettings = ForestSettings(), min_rows: int = MIN_ROWS
+) -> DataFrame:
+    """Forest importance per feature, and whether a forest was fitted: below `min_rows` labelled rows all are zero."""
+    if df.filter(F.col(label).isNotNull()).count() < min_rows:
+        return df.sparkSession.createDataFrame([(f, 0.0, False) for f in features], "feature string, importance double, fitted boolean")
+    return importances(fit_rf(df, features, label, s), features, df.sparkSession).withColumn("fitted", F.lit(True))
 
 
 def importance_by_group(df: DataFrame, groups: Sequence[str], by: str, features, label="yield_amount", digits=4, **kw):
@@ -188,14 +190,16 @@ def fit_by_group(
     train: DataFrame, test: DataFrame, crops: Sequence[str], regions: Sequence[str], features=None,
     min_rows: int = MIN_TRAIN_ROWS, forest=ForestSettings(), boost=BoostSettings(), parallelism: int = 4,
 ) -> tuple[GroupModels, DataFrame]:
-    """One blended model per crop × region with enough training rows; returns the models and the test predictions.
+    """One blended model per crop × region with `min_rows` training rows or more; returns the models and the test predictions.
 
-    Baselines are learned within each cell from its training rows.
+    Every test row is predicted: rows of other cells, crops and regions by one model of all training rows, or by none (NULL) where there
+    are no training rows; `model` says cell, pooled or none. Baselines are learned within each cell, or from all training rows.
     """
     features = list(features or feats.CORE_FEATURES)
     used = features + feats.BASELINE_FEATURES
     counts = group_counts(train, crops, regions)
     found, scored = GroupModels({}, used, {}), None
+    covered = F.lit(False)
     cells = [(c, r) for c in crops for r in regions if counts.get((c, r), 0) >= min_rows]
 
     def fit(cell):
@@ -204,28 +208,35 @@ def fit_by_group(
 
     for cell, fitted in zip(cells, side_by_side(train.sparkSession, [partial(fit, c) for c in cells], parallelism)):
         found.models[cell], found.train_rows[cell] = fitted, counts[cell]
-        part = predict_blend(fitted, feats.with_baselines(_cell(test, *cell), _cell(train, *cell)), used)
+        part = predict_blend(fitted, feats.with_baselines(_cell(test, *cell), _cell(train, *cell)), used).withColumn("model", F.lit("cell"))
         scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        scored = test.limit(0).withColumns({**{c: F.lit(None).cast("double") for c in feats.BASELINE_FEATURES},
-                                            "pred_yield": F.lit(None).cast("double")})
-    return found, scored
+        covered = covered | F.coalesce((F.col("commodity") == cell[0]) & (F.col("region") == cell[1]), F.lit(False))
+    rest = feats.with_baselines(test.filter(~covered), train)
+    if not rest.head(1):
+        rest = rest.withColumns({"pred_yield": F.lit(None).cast("double"), "model": F.lit("none")})
+    elif train.filter(F.col("yield_amount").isNotNull()).head(1):
+        pooled = fit_ensemble(feats.with_baselines(train, train), used, forest=forest, boost=boost)
+        rest = predict_blend(pooled, rest, used).withColumn("model", F.lit("pooled"))
+    else:
+        rest = rest.withColumns({"pred_yield": F.lit(None).cast("double"), "model": F.lit("none")})
+    return found, rest if scored is None else scored.unionByName(rest)
 
 
 def fit_stratified(
     train: DataFrame, df: DataFrame, features, groups: Sequence[str], by="commodity", label="yield_amount",
-    forest=ForestSettings(), boost=BoostSettings(rounds=100, depth=6, step=0.1),
+    forest=ForestSettings(), boost=BoostSettings(rounds=100, depth=6, step=0.1), min_rows: int = MIN_GROUP_ROWS,
 ) -> DataFrame:
-    """Mean of two models per group, with the pooled model for rows whose group is small or unseen."""
+    """Mean of two models per group, with the pooled model for rows whose group is unseen or has fewer than `min_rows` training rows;
+    `model` says own or pooled."""
     half = {"gbt": 0.5, "rf": 0.5}
     pooled = fit_ensemble(train, features, label, forest, boost)
     sizes = {r[by]: r["count"] for r in train.filter(F.col(by).isin(list(groups))).groupBy(by).count().collect()}
-    big = [g for g in groups if sizes.get(g, 0) >= MIN_GROUP_ROWS]
+    big = [g for g in groups if sizes.get(g, 0) >= min_rows]
     rest = df.filter(~F.coalesce(F.col(by).isin(big), F.lit(False))) if big else df
-    out = predict_blend(pooled, rest, features, "yield_predicted", half)
+    out = predict_blend(pooled, rest, features, "yield_predicted", half).withColumn("model", F.lit("pooled"))
     for g in big:
         own = fit_ensemble(train.filter(F.col(by) == g), features, label, forest, boost)
-        out = out.unionByName(predict_blend(own, df.filter(F.col(by) == g), features, "yield_predicted", half))
+        out = out.unionByName(predict_blend(own, df.filter(F.col(by) == g), features, "yield_predicted", half).withColumn("model", F.lit("own")))
     return out.withColumn("yield_residual", F.col(label) - F.col("yield_predicted"))
 
 
@@ -283,14 +294,9 @@ def last_fold_prediction(preds: DataFrame, key: Sequence[str], name: str = "pred
     return preds.groupBy(*key).agg(F.max_by(name, "fold").alias(name))
 
 
-def shuffle_buckets(df: DataFrame) -> int:
-    """Buckets for `permute`, so that each holds about ROWS_PER_BUCKET rows."""
-    return max(1, -(-df.count() // ROWS_PER_BUCKET))
-
-
-def permute(df: DataFrame, col: str, row_key: Sequence[str], buckets: int, seed: int = SEED) -> DataFrame:
+def permute(df: DataFrame, col: str, row_key: Sequence[str], buckets: int = SHUFFLE_BUCKETS, seed: int = SEED) -> DataFrame:
     """Shuffle one column among rows. Rows are dealt into random buckets and shuffled within them, so no single
-    task orders the whole table."""
+    task orders the whole table. Raise `buckets` with the table; another number gives another shuffle."""
     placed = df.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), *row_key), F.lit(buckets)))
 
     def order(i):
@@ -301,10 +307,9 @@ def permute(df: DataFrame, col: str, row_key: Sequence[str], buckets: int, seed:
     return takers.join(givers, ["__b", "__n"]).select(*df.columns)
 
 
-def permutation_importance(model, df: DataFrame, features, row_key, label="yield_amount", seed=SEED, buckets=None):
+def permutation_importance(model, df: DataFrame, features, row_key, label="yield_amount", seed=SEED, buckets: int = SHUFFLE_BUCKETS):
     """Rise of the mean squared error when a feature is shuffled, one row per feature."""
     base = materialize(df)
-    buckets = buckets or shuffle_buckets(base)
 
     def mse(rows, feature):
         p = predict(model, rows, features, "__p")
@@ -319,20 +324,26 @@ def permutation_importance(model, df: DataFrame, features, row_key, label="yield
     return out.select("feature", (F.col("mse") - whole).alias("importance"))
 
 
-def score(
-    df: DataFrame, models: Mapping, features: Sequence[str], weights: Mapping[str, float] = BLEND,
-) -> DataFrame:
+def _of(given, cell):
+    """What holds for a cell: an entry by cell, or one value for all."""
+    return given[cell] if isinstance(given, Mapping) and cell in given else given
+
+
+def score(df: DataFrame, models: Mapping, features, weights=BLEND) -> DataFrame:
     """Predicted yield and its class: the blended model of the row's crop and region, else the rule-based estimate.
 
-    Expects feature, baseline and trend columns.
+    `features` and `weights` hold for all models, or are given by (crop, region). Expects trend and baseline columns; absent feature
+    columns count as 0. The rows are written by crop and region once, so that each model reads its own part only.
     """
+    wanted = {f for cell in models for f in _of(features, cell)}
+    rows = materialize(df.withColumns({f: F.lit(0.0) for f in sorted(wanted - set(df.columns))}), ("commodity", "region"))
     out, covered = None, F.lit(False)
     for (crop, region), parts in models.items():
         mine = F.coalesce((F.col("commodity") == crop) & (F.col("region") == region), F.lit(False))
         covered = covered | mine
-        part = predict_blend(parts, df.filter(mine), features, "__raw", weights)
+        part = predict_blend(parts, _cell(rows, crop, region), _of(features, (crop, region)), "__raw", _of(weights, (crop, region)))
         part = part.withColumn("predicted_yield", F.bround("__raw", 1)).drop("__raw").withColumn("source", F.lit("model"))
         out = part if out is None else out.unionByName(part)
-    rest = feats.heuristic_yield(df.filter(~covered)).withColumn("source", F.lit("estimate"))
+    rest = feats.heuristic_yield(rows.filter(~covered)).withColumn("source", F.lit("estimate"))
     out = rest if out is None else out.unionByName(rest)
     return out.withColumn("yield_category", labels.yield_category_abs("predicted_yield", "commodity"))

@@ -1,9 +1,10 @@
 """Exact ranks and percentiles without gathering a group in one task.
 
 Values are first collapsed to (group, value, counts). Each group's value range is then cut into equal
-slices, so sorting runs per slice instead of per group; `levels=2` cuts every slice once more over its
-own range, for values so uneven that one slice would hold most of them.
-Slice totals (at most `slices` rows per group and level) give the number of values below each slice.
+slices, so sorting runs per slice instead of per group. A second level cuts every slice once more over its own
+range, into as many parts as its share of the group's values asks for: one far value or a long tail then leaves
+no slice with most of a group. More levels go on in the same way.
+Slice totals (at most about `slices` rows per group and level) give the number of values below each slice.
 The collapsed values are one exchange that Spark reuses, so the input is read once.
 Slice numbers come from exact minima and maxima, so a recomputed task always finds the same slices.
 """
@@ -16,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 SLICES = 512
+LEVELS = 2
 
 
 def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -24,19 +26,24 @@ def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -
     return reduce(lambda x, y: x & y, tests)
 
 
-def _cut(df: DataFrame, keys: Sequence[str], name: str, slices: int) -> DataFrame:
-    """Number the equal-width slice of each value within the value range of its keys."""
+def _cut(df: DataFrame, by: Sequence[str], keys: Sequence[str], name: str, slices: int) -> DataFrame:
+    """Number the equal-width slice of each value within the value range of its keys; a group gets `slices` of them in all, dealt
+    to its keys by how many values they hold."""
     ends = F.min("value").alias("__lo"), F.max("value").alias("__hi")
     if keys:
         aliases = [f"__g{i}" for i in range(len(keys))]
-        span = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, aliases)]).agg(*ends)
+        span = df.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, aliases)]).agg(*ends, F.count(F.lit(1)).alias("__c"))
+        # a window over the slices of a group, of which there are few
+        whole = F.sum("__c").over(Window.partitionBy(*aliases[: len(by)]))
+        share = F.ceil(F.col("__c") * F.lit(slices) / whole) if len(keys) > len(by) else F.lit(slices)
+        span = span.withColumn("__p", share.cast("double")).drop("__c")
         joined = df.join(span, _same(df, span, list(zip(keys, aliases))), "inner").drop(*aliases)
     else:
         joined = df.withColumn("__ends", df.agg(F.struct(*ends).alias("s")).scalar())
-        joined = joined.select(*df.columns, "__ends.__lo", "__ends.__hi")
-    place = F.floor((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(float(slices)))
-    number = F.when(F.col("__hi") > F.col("__lo"), F.least(place, F.lit(slices - 1))).otherwise(F.lit(0))
-    return joined.withColumn(name, number.cast("int")).drop("__lo", "__hi")
+        joined = joined.select(*df.columns, "__ends.__lo", "__ends.__hi", F.lit(float(slices)).alias("__p"))
+    place = F.floor((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__p"))
+    number = F.when(F.col("__hi") > F.col("__lo"), F.least(place, F.col("__p") - 1)).otherwise(F.lit(0))
+    return joined.withColumn(name, number.cast("int")).drop("__lo", "__hi", "__p")
 
 
 def _sliced(df: DataFrame, by: Sequence[str], value: str, counts: Mapping[str, Column], slices: int, levels: int):
@@ -46,10 +53,10 @@ def _sliced(df: DataFrame, by: Sequence[str], value: str, counts: Mapping[str, C
     cut = rows.groupBy(*by, number.alias("value")).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in counts.items()])
     keys = list(by)
     for level in range(levels):
-        cut = _cut(cut, keys, f"__s{level}", slices)
+        cut = _cut(cut, by, keys, f"__s{level}", slices)
         keys = keys + [f"__s{level}"]
 
-    # running totals over the slices of a group: a window of at most slices ** levels rows
+    # running totals over the slices of a group: a window of at most about slices * levels rows
     totals = cut.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in counts])
     group = Window.partitionBy(*by)
     earlier = group.orderBy(*keys[len(by):]).rowsBetween(Window.unboundedPreceding, -1)
@@ -75,7 +82,7 @@ def _ranked(cut: DataFrame, side: DataFrame, by: Sequence[str], keys: Sequence[s
 
 def cumulative_counts(
     df: DataFrame, by: Sequence[str], value: str, counts: Mapping[str, Column] | None = None, slices: int = SLICES,
-    levels: int = 1,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """One row per (group, value) with each count and the same count over all smaller values (`below_…`).
 
@@ -87,7 +94,7 @@ def cumulative_counts(
 
 
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float], slices: int = SLICES, levels: int = 1
+    df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float], slices: int = SLICES, levels: int = LEVELS
 ) -> DataFrame:
     """Exact percentiles per group, linear between neighbours; groups without values give no row.
 

@@ -255,8 +255,8 @@ def regional_summary(df: DataFrame, residual: str = "yield_residual") -> DataFra
     return stats.join(percentiles(known, ["region"], residual, {"median_residual": 0.5}), "region", "left")
 
 
-def region_insights(county_agg: DataFrame, min_units: int = 3, near: float = 1.0) -> DataFrame:
-    """Regions by mean county residual, with a word for its side."""
+def region_insights(county_agg: DataFrame, min_units: int = 1, near: float = 1.0) -> DataFrame:
+    """Regions by mean county residual, with a word for its side; regions of fewer than `min_units` counties are left out."""
     g = county_agg.filter(F.col("avg_residual").isNotNull() & F.col("state_abbr").isNotNull()).groupBy("region").agg(
         F.avg("avg_residual").alias("mean_residual"), F.count(F.lit(1)).alias("n_counties")
     )
@@ -288,8 +288,8 @@ def stress_rates(df: DataFrame, year: int, flags=("drought_flag", "flood_flag",
     return one.unpivot([], list(flags), "indicator", "value")
 
 
-def extreme_years(df: DataFrame, years: Sequence[int], min_rows: int = 10) -> DataFrame:
-    """Yield and stress shares of given years, where enough rows exist."""
+def extreme_years(df: DataFrame, years: Sequence[int], min_rows: int = 1) -> DataFrame:
+    """Yield and stress shares of given years; years of fewer than `min_rows` rows are left out."""
     def share(flag):
         return F.round(100 * F.avg(F.coalesce(F.col(flag), F.lit(0))), 1)
 

@@ -20,17 +20,19 @@ def county_table(weather: DataFrame, station_map: DataFrame, null_guard: bool =
 
 def build_merged(
     weather: DataFrame, yield_report: DataFrame, station_map: DataFrame | None = None, counties: DataFrame | None = None,
-    null_guard: bool = True, **limits,
+    null_guard: bool = True, country: str = "US", **limits,
 ) -> DataFrame:
     """Yields with the weather of their county and year.
 
-    Stations come with a county map, or with county polygons to be placed in.
+    Stations come with a county map, or with county polygons to be placed in. With polygons each station-year counts where
+    the station stood, so the daily rows are read once and a moved station is in one county at a time.
     """
     if station_map is None:
-        station_map = geo.stations_in_counties(weather, counties)
-    return yields.merge_yield_weather(
-        yields.clean_yields(yield_report), county_table(weather, station_map, null_guard, **limits)
-    )
+        seasons_ = station_weather(weather, null_guard, **limits).filter(F.col("station").startswith(country))
+        county = seasons.county_weather(geo.points_in_polygons(seasons_, counties))
+    else:
+        county = county_table(weather, station_map, null_guard, **limits)
+    return yields.merge_yield_weather(yields.clean_yields(yield_report), county)
 
 
 def scoped_days(weather: DataFrame, years: tuple[int, int], **kw) -> DataFrame:
@@ -66,8 +68,8 @@ def state_views(weather: DataFrame, years: tuple[int, int] = (2010, 2024)) -> di
 
 
 def station_month_anomalies(weather: DataFrame, years: tuple[int, int] = (2010, 2024)) -> DataFrame:
-    days = scoped_days(weather, years)
-    return daily.monthly_anomalies(daily.monthly_station(days), daily.climatology(days))
+    """Anomalies of each station-month against the station's own months, from one scan of the daily rows."""
+    return daily.anomalies_of_months(daily.monthly_station(scoped_days(weather, years), parts=True))
 
 
 def extreme_events(weather: DataFrame, years: tuple[int, int] = (2010, 2024)) -> DataFrame:
@@ -81,14 +83,15 @@ def signal_table(merged: DataFrame) -> DataFrame:
     if "total_precip_mm" not in rows.columns:
         rows = rows.withColumn("total_precip_mm", F.col("avg_precip_mm"))
     rows = features.season_ratios(rows) if "obs_count" in rows.columns else rows
-    rows = anomalies.zscore(
-        rows, {"yield_amount": "yield_zscore"}, ["commodity", "state_fips", "county_fips"],
-        keep_stats={"yield_amount": ("yield_mean", "yield_std")},
-    )
+    # a county's rows are few: two windows over one distribution by county
     rows = anomalies.zscore(
         rows, {"avg_temp_mean_c": "temp_anomaly_z", "total_precip_mm": "precip_anomaly_z"}, ["state_fips", "county_fips"],
         keep_stats={"avg_temp_mean_c": ("temp_clim_mean", "temp_clim_std"),
-                    "total_precip_mm": ("precip_clim_mean", "precip_clim_std")},
+                    "total_precip_mm": ("precip_clim_mean", "precip_clim_std")}, small=True,
+    )
+    rows = anomalies.zscore(
+        rows, {"yield_amount": "yield_zscore"}, ["state_fips", "county_fips", "commodity"],
+        keep_stats={"yield_amount": ("yield_mean", "yield_std")}, small=True,
     )
     return rows.withColumns({
         "yield_category": labels.yield_category_z("yield_zscore"),

@@ -15,8 +15,9 @@ from harvestlens.operators.features import delta_vs_mean, direction_words
 from harvestlens.functions.text import geoid
 from harvestlens.plans import chosen
 from harvestlens.session import materialize
-from harvestlens.sources import snapshots, tables
+from harvestlens.sources import artifacts, snapshots, tables
 
+# Report columns and the features they are about.
 CORR_NAMES = {
     "corr_heat_stress": "heat_stress_days", "corr_gdd": "gdd", "corr_precip": "total_precip_mm",
     "corr_dry_days": "dry_days", "corr_frost": "frost_days", "corr_avg_temp": "avg_temp_mean_c",
@@ -28,14 +29,25 @@ RANKED_FEATURES = [
 ]
 
 
+# Features of the forest importance table.
+FOREST_FEATURES = [
+    "total_precip_mm", "dry_days", "heavy_rain_days", "avg_temp_max_c", "avg_temp_min_c", "avg_temp_mean_c", "peak_temp_max_c",
+    "heat_stress_days", "gdd", "frost_days", "diurnal_range_c", "pct_dry_days",
+]
+
+
 def drivers_report(
     signals: DataFrame, dry="Non-Irrigated", crop="Corn", states=reports.CORN_BELT, drought_years=(2011, 2012, 2013),
-    flood_years=(2018, 2019, 2020), only=None,
+    flood_years=(2018, 2019, 2020), only=None, crops=("Corn", "Soybeans"), forest=models.ForestSettings(),
 ) -> dict[str, DataFrame]:
     """All tables of the "what drives yield" report from one signal table."""
     rainfed = signals.filter(F.trim("irrigation") == dry)
     if "diurnal_range_c" not in rainfed.columns:
         rainfed = rainfed.withColumn("diurnal_range_c", F.col("avg_temp_max_c") - F.col("avg_temp_min_c"))
+    if "pct_dry_days" not in rainfed.columns:
+        # without observed days the share is taken of the season's 183 days
+        days = F.col("obs_count") if "obs_count" in rainfed.columns else F.lit(183.0)
+        rainfed = rainfed.withColumn("pct_dry_days", F.try_divide(F.col("dry_days") * 100.0, days))
     corn = rainfed.filter(F.col("commodity") == crop)
     heat_mean = {"avg_heat_days": ("heat_stress_days", 1)}
     rain_mean = {"avg_precip": ("total_precip_mm", 0)}
@@ -53,6 +65,7 @@ def drivers_report(
         "by_heat": lambda: reports.binned_response(
             corn, "heat_stress_days", reports.HEAT_BINS, "heat_stress_bin", "right", rain_mean, spread=False, versus=True),
         "heatmap": lambda: reports.state_year_heatmap(corn.filter(F.col("state_abbr").isin(list(states)))),
+        "forest_importance": lambda: models.importance_by_group(materialize(rainfed), crops, "commodity", FOREST_FEATURES, s=forest),
         "event_pivot": lambda: reports.event_pivot(rainfed, states, reports.EVENT_PIVOT),
     }, only)
 
@@ -173,9 +186,10 @@ def compare_flagged(
 def train_and_export(
     merged: DataFrame, first_test_year: int, crops=("Corn", "Soybeans"), regions=("Midwest", "Plains", "South"),
     region_map: DataFrame | None = None, min_rows: int = models.MIN_TRAIN_ROWS, forest=models.ForestSettings(),
-    boost=models.BoostSettings(), predictions_name: str | None = None, stats_name: str | None = None,
+    boost=models.BoostSettings(), predictions_name: str | None = None, stats_name: str | None = None, models_folder: str | None = None,
 ) -> dict:
-    """Impute, build features, fit the crop × region models, score the test years and derive the stats row."""
+    """Impute, build features, fit the crop × region models, score the test years and derive the stats row; predictions, stats and
+    models are written where a name or a folder is given."""
     spark = merged.sparkSession
     region_map = region_table(spark, "training") if region_map is None else region_map
     clean = merged.withColumn("commodity", F.trim("commodity"))
@@ -184,7 +198,7 @@ def train_and_export(
     train, test = rows.filter(F.col("year") < first_test_year), rows.filter(F.col("year") >= first_test_year)
     fitted, scored = models.fit_by_group(train, test, crops, regions, min_rows=min_rows, forest=forest, boost=boost)
     scored = materialize(features.residuals(scored).select(
-        "state_abbr", "county_name", "year", "commodity", "region", "yield_amount", "pred_yield", "signed_residual", "abs_residual"))
+        "state_abbr", "county_name", "year", "commodity", "region", "yield_amount", "pred_yield", "signed_residual", "abs_residual", "model"))
     weighted = metrics.weighted_r2(scored).select("weighted_r2").scalar()
     stats = scored.agg(
         F.lit("Boosted trees + random forest (ensemble)").alias("model_name"),
@@ -198,6 +212,8 @@ def train_and_export(
         tables.overwrite_table(scored, predictions_name)
     if stats_name:
         tables.overwrite_table(stats, stats_name)
+    if models_folder:
+        artifacts.save_models(spark, fitted.models, models_folder, fitted.features, models.BLEND)
     return {"models": fitted, "predictions": scored, "stats": stats, "features": fitted.features}
 
 

@@ -22,10 +22,10 @@ def build_session(app: str = "harvestlens", master: str | None = None, shuffle_p
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
-        .config("spark.executor.extraJavaOptions", JVM_OPTIONS)
     )
     if master:
+        # on a cluster these come from spark-submit and are left alone
+        builder = builder.config("spark.driver.extraJavaOptions", JVM_OPTIONS).config("spark.executor.extraJavaOptions", JVM_OPTIONS)
         builder = builder.master(master).config("spark.ui.enabled", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("HARVESTLENS_DRIVER_MEMORY", "12g"))
     if shuffle_partitions:
@@ -45,14 +45,46 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) as the JVM sees them, for stores that only Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def file_state(spark: SparkSession, path: str) -> tuple | None:
+    """Names, sizes and times of a file or of the files of a folder; None if there is nothing."""
+    fs, place = _path(spark, path)
+    if not fs.exists(place):
+        return None
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(place)))
+
+
+# the folder of each application under its scratch root
+_OWN: dict[tuple[str, str], str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder under the scratch root. The driver's JVM removes it when it ends."""
+    root = scratch_root(spark)
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _OWN:
+        folder = f"{root}/harvestlens-{uuid.uuid4().hex}"
+        fs, place = _path(spark, folder)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _OWN[key] = folder
+    return _OWN[key]
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A new, unused folder path under the shared scratch root."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused folder path that all executors reach."""
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that a loop reads many times, by a checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_root(df.sparkSession))
-    return df.checkpoint()
+def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage of a table that a loop reads many times: Parquet in the shared folder, so that readers prune columns, and with
+    `partition_by` the folders of other values."""
+    path = fresh_folder(df.sparkSession, "table")
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

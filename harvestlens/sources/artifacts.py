@@ -11,8 +11,8 @@ from harvestlens.operators.features import baselines, state_trend
 
 
 def trend_artifact(df: DataFrame) -> DataFrame:
-    """One row per crop and state: [intercept, slope]."""
-    return state_trend(df).select("commodity", "state_abbr", F.array("intercept", "slope").alias("line"))
+    """One row per crop and state with a line: [intercept, slope]."""
+    return state_trend(df).filter(F.col("slope").isNotNull()).select("commodity", "state_abbr", F.array("intercept", "slope").alias("line"))
 
 
 def baseline_artifact(df: DataFrame) -> DataFrame:
@@ -41,24 +41,28 @@ def _model_path(directory: str, crop: str, region: str, part: str) -> str:
 
 def save_models(
     spark: SparkSession, models: Mapping[tuple[str, str], Mapping[str, PipelineModel]], directory: str,
-    features: list[str], weights: Mapping[str, float], metrics: Mapping[str, float] | None = None,
+    features, weights, metrics: Mapping[str, float] | None = None,
 ) -> None:
-    """Save each (crop, region) model set with a manifest of features and weights."""
+    """Save each (crop, region) model set with a manifest of features and weights, which hold for all or are given by (crop, region)."""
     rows = []
     for (crop, region), parts in models.items():
+        own_features = features[crop, region] if isinstance(features, Mapping) else features
+        own_weights = weights.get((crop, region), weights)
         for part, model in parts.items():
             model.write().save(_model_path(directory, crop, region, part))
-            rows.append((crop, region, part, float(weights[part]), list(features), dict(metrics or {})))
+            rows.append((crop, region, part, float(own_weights[part]), list(own_features), dict(metrics or {})))
     schema = "crop string, region string, part string, weight double, features array<string>, metrics map<string,double>"
     spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{directory}/manifest")
 
 
 def load_models(spark: SparkSession, directory: str):
-    """(models, features, weights) as saved."""
+    """(models, features, weights) as saved, each by (crop, region)."""
     schema = "crop string, region string, part string, weight double, features array<string>, metrics map<string,double>"
-    models, features, weights = {}, [], {}
+    models, features, weights = {}, {}, {}
     for r in spark.read.schema(schema).json(f"{directory}/manifest").collect():
         model = PipelineModel.load(_model_path(directory, r.crop, r.region, r.part))
-        models.setdefault((r.crop, r.region), {})[r.part] = model
-        features, weights[r.part] = list(r.features), r.weight
+        cell = (r.crop, r.region)
+        models.setdefault(cell, {})[r.part] = model
+        weights.setdefault(cell, {})[r.part] = r.weight
+        features[cell] = list(r.features)
     return models, features, weights

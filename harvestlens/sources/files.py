@@ -91,6 +91,26 @@ def geojson_centroids(features: DataFrame) -> DataFrame:
     return found.select("geoid", _ring_mean(F.col("ring")).alias("c")).select("geoid", "c.lat", "c.lon")
 
 
+def geojson_polygons(features: DataFrame) -> DataFrame:
+    """(state_fips, county_fips, stusps, rings) of each feature with a polygon: all rings of all its parts, outer ones and holes alike, for
+    the even-odd test of a point join. Features without usable coordinates are skipped."""
+    props, geometry = F.col("f.properties"), F.col("f.geometry")
+    polygon = F.from_json(geometry["coordinates"], T.ArrayType(T.ArrayType(_POINT)))
+    multi = F.from_json(geometry["coordinates"], T.ArrayType(T.ArrayType(T.ArrayType(_POINT))))
+    rings = F.when(geometry["type"] == "Polygon", polygon).when(geometry["type"] == "MultiPolygon", F.flatten(multi))
+    points = F.transform(F.filter(rings, lambda r: F.size(r) > 2), lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+    rows = features.select(F.explode("features").alias("f")).select(
+        F.try_element_at(props, F.lit("STATE")).try_cast("int").alias("state_fips"), F.try_element_at(props, F.lit("COUNTY")).try_cast("int").alias("county_fips"),
+        F.try_element_at(props, F.lit("STUSPS")).alias("stusps"), points.alias("rings"),
+    )
+    return rows.filter(F.col("rings").isNotNull() & (F.size("rings") > 0))
+
+
+def scan_geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """County shapes of a FeatureCollection. A document is one record, read by one task: split large collections into several files."""
+    return geojson_polygons(spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path))
+
+
 def scan_geojson_centroids(spark: SparkSession, path: str) -> DataFrame:
     """County centroids of a FeatureCollection file."""
     return geojson_centroids(spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path))
@@ -103,7 +123,7 @@ def json_map_rows(df: DataFrame, col: str, value_type: str, key: str = "key", va
 
 
 def scan_json_map(spark: SparkSession, path: str, value_type: str, key: str = "key", value: str = "value") -> DataFrame:
-    """A JSON object of any keys as (key, value) rows; lists and objects keep their nested type."""
+    """A JSON object of any keys as (key, value) rows; lists and objects keep their nested type. A file is one record, read by one task."""
     return json_map_rows(spark.read.text(path, wholetext=True), "value", value_type, key, value)
 
 

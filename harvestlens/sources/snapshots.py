@@ -58,11 +58,12 @@ def read_version(spark: SparkSession, base: str, version: int | None = None) ->
 
 def change_feed(spark: SparkSession, base: str, keys: Sequence[str], start: int, end: int | None = None) -> DataFrame:
     """Changes of every version from `start` on, each marked with its version; version 0 counts as inserts."""
-    end = latest_version(spark, base) if end is None else end
+    found = versions(spark, base)
+    end = max(found, default=-1) if end is None else end
     feed = None
-    for v in [v for v in versions(spark, base) if start <= v <= end]:
+    for v in [v for v in found if start <= v <= end]:
         new = read_version(spark, base, v)
-        earlier = [u for u in versions(spark, base) if u < v]
+        earlier = [u for u in found if u < v]
         old = read_version(spark, base, earlier[-1]) if earlier else new.limit(0)
         part = snapshot_diff(old, new, keys, v)
         feed = part if feed is None else feed.unionByName(part)

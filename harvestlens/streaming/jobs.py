@@ -48,6 +48,7 @@ def stream_to_memory(src: DataFrame, name: str, mode: str = "append") -> Streami
 
 
 def stream_to_console(src: DataFrame, rows: int = 1000, mode: str = "append") -> StreamingQuery:
+    """Show a stream on the driver's console, `rows` of each batch at most: a display, not a result."""
     return src.writeStream.format("console").option("numRows", rows).outputMode(mode).start()
 
 
@@ -71,10 +72,11 @@ def stream_upsert(src: DataFrame, changes: str, checkpoint: str, keys: Sequence[
     )
 
 
-def upserted(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table after all batches: per key the row of the newest batch, else the row of the base table."""
+def upserted(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The table after all batches: per key the last row by `order`, as within a batch, and by batch among equals; else the row of the
+    base table. A late row in a later batch does not replace a newer one."""
     cols = base.columns
-    newest = latest_by_key(changes.select("batch", *cols), keys, ["batch"]).select(*cols)
+    newest = latest_by_key(changes.select("batch", *cols), keys, [*order, "batch"]).select(*cols)
     touched = newest.select(*keys)
     return base.join(touched, list(keys), "left_anti").select(*cols).unionAll(newest)
 
@@ -137,7 +139,10 @@ def season_measures(rain="precipitation", tmax="temp_max", tmin="temp_min") -> d
 
 
 def stream_season(src: DataFrame, date="date", station="station", months=(4, 9), **cols) -> DataFrame:
-    """Running growing-season totals per station and year; one state row per station-year (update or complete mode)."""
+    """Running growing-season totals per station and year; one state row per station-year (update or complete mode).
+
+    The state grows with the station-years seen. For streams without end use `stream_station_days`, whose state the watermark bounds, and
+    `fold_seasons` over what it wrote."""
     rows = src.filter(wx.in_season(F.month(date), *months))
     return rows.groupBy(station, F.year(date).alias("year")).agg(
         *[e.alias(n) for n, e in season_measures(**cols).items()]
@@ -148,3 +153,9 @@ def stream_station_days(src: DataFrame, date="date", station="station", late="30
     """Daily totals per station in append mode: a day is emitted once the watermark passes it, its state is then
     dropped, and later rows for it are ignored. Season totals are sums over these rows."""
     return windowed_counts(src, date, [station], "1 day", late, season_measures(**cols))
+
+
+def fold_seasons(days: DataFrame, months=(4, 9), station="station") -> DataFrame:
+    """Season totals from the daily totals of `stream_station_days`."""
+    rows = days.filter(wx.in_season(F.month("window_start"), *months))
+    return rows.groupBy(station, F.year("window_start").alias("year")).agg(*[F.sum(n).alias(n) for n in season_measures()])

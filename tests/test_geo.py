@@ -67,10 +67,35 @@ def test_centroid_csv_headers(spark, folder, header, row, want):
 def test_centroids_fall_back_below_the_match_rate(spark):
     rows = spark.createDataFrame([(19, i, "IA") for i in range(10)], "state_fips int, county_fips int, state_abbr string")
     some = spark.createDataFrame([("19001", 1.0, 2.0), ("19001", 1.0, 3.0), ("19002", 1.0, 2.0), ("19003", 5.0, 6.0)], files.CENTROID_SCHEMA)
-    got = {r["county_fips"]: (r["lat"], r["lon"]) for r in geo.attach_centroids(rows, some).collect()}
+    got = {r["county_fips"]: (r["lat"], r["lon"]) for r in geo.attach_centroids(rows, some, geo.MIN_MATCH).collect()}
     assert got[1] == (1.0, 2.0) and got[9] == (None, None)
-    few = {r["county_fips"]: round(r["lat"], 6) for r in geo.attach_centroids(rows, some.filter("geoid = '19001'")).collect()}
+    one = some.filter("geoid = '19001'")
+    few = {r["county_fips"]: round(r["lat"], 6) for r in geo.attach_centroids(rows, one, geo.MIN_MATCH).collect()}
     assert few[1] == round(41.9 - 3 * 0.11, 6)
+    each = {r["county_fips"]: (round(r["lat"], 6), r["source"]) for r in geo.attach_centroids(rows, one).collect()}
+    assert each[1] == (1.0, "centroid") and each[2] == (round(41.9 - 2 * 0.11, 6), "approximate")
+
+
+def test_parts_holes_and_islands(spark, folder):
+    def box(west, south, east, north):
+        return [[west, south], [east, south], [east, north], [west, north], [west, south]]
+
+    def feature(kind, coordinates, county):
+        return {"type": "Feature", "properties": {"STATE": "01", "COUNTY": county, "STUSPS": "AL"}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+    doc = {"type": "FeatureCollection", "features": [
+        feature("MultiPolygon", [[box(0, 0, 10, 10), box(2, 2, 8, 8)], [box(4, 4, 6, 6)], [box(20, 0, 22, 2)]], "001"), feature("Polygon", [box(2, 2, 8, 8)], "002"),
+        feature("Point", [1, 1], "003"),
+    ]}
+    path = folder("shapes.json")
+    with open(path, "w") as f:
+        json.dump(doc, f)
+    shapes = files.scan_geojson_polygons(spark, path)
+    assert shapes.count() == 2
+    points = {"ring": (1.0, 1.0), "hole": (3.0, 3.0), "island": (5.0, 5.0), "part": (21.0, 1.0), "hole edge": (2.0, 5.0), "island edge": (4.0, 5.0), "away": (15.0, 1.0)}
+    df = spark.createDataFrame([(n, *p) for n, p in points.items()], "name string, longitude double, latitude double")
+    got = sorted((r["name"], r["county_fips"]) for r in geo.points_in_polygons(df, shapes, ring="rings").collect())
+    assert got == [("hole", 2), ("island", 1), ("island", 2), ("island edge", 2), ("part", 1), ("ring", 1)]
 
 
 def test_unknown_state_uses_country_centre(spark):

@@ -56,12 +56,29 @@ def test_train_and_export_skips_small_cells(spark, merged, folder):
     out = studies.train_and_export(few, 2018, min_rows=50, forest=FOREST, boost=BOOST)
     assert set(out["models"].models) == {("Corn", "Midwest"), ("Corn", "Plains"), ("Soybeans", "Midwest")}
     stats = out["stats"].first()
-    assert stats["train_rows"] == 3 * 12 * 8 and stats["test_rows"] == 3 * 12 * 2 and stats["test_year_max"] == 2019
+    assert stats["train_rows"] == 3 * 12 * 8 and stats["test_rows"] == 4 * 12 * 2 and stats["test_year_max"] == 2019
     importance = out["models"].importance(spark).agg(F.sum("importance")).first()[0]
     assert abs(importance - 1) < 1e-6
     artifacts.save_models(spark, out["models"].models, folder("models"), out["features"], models.BLEND)
     loaded, used, weights = artifacts.load_models(spark, folder("models"))
-    assert set(loaded) == set(out["models"].models) and used == out["features"] and weights == models.BLEND
+    cells = set(out["models"].models)
+    assert set(loaded) == cells and used == {c: out["features"] for c in cells} and weights == {c: models.BLEND for c in cells}
+    assert {r["model"]: r["n"] for r in out["predictions"].groupBy("model").agg(F.count("pred_yield").alias("n")).collect()} == {"cell": 72, "pooled": 24}
+
+
+def test_two_manifests_stay_apart(spark, merged, folder):
+    corn, beans = merged.filter("commodity = 'Corn'"), merged.filter("commodity = 'Soybeans'")
+    few = {("Corn", "Midwest"): ["heat_stress_days"], ("Soybeans", "Midwest"): ["gdd", "avg_precip_mm"]}
+    fitted = {k: {"rf": models.fit_rf(corn if k[0] == "Corn" else beans, f, s=FOREST)} for k, f in few.items()}
+    shares = {("Corn", "Midwest"): {"rf": 1.0}, ("Soybeans", "Midwest"): {"rf": 0.5}}
+    artifacts.save_models(spark, fitted, folder("two"), few, shares)
+    loaded, used, weights = artifacts.load_models(spark, folder("two"))
+    assert used == few and weights == shares
+    rows = features.features_core(merged, include_flood=False).withColumns(
+        {"region": F.lit("Midwest"), "trend": F.lit(100.0), "state_baseline": F.lit(90.0), "county_baseline": F.lit(90.0)}).drop("gdd")
+    got = models.score(rows.withColumn("gdd", F.lit(1.0)), loaded, used, weights)
+    assert got.filter("source = 'model'").count() == merged.count()
+    assert models.score(rows.drop("avg_precip_mm").withColumns({"gdd": F.lit(1.0), "avg_precip_mm": F.lit(0.0)}), loaded, used, weights).count() == merged.count()
 
 
 def test_scoring_falls_back_to_the_estimate(spark, merged):
@@ -113,4 +130,4 @@ def test_stratified_models_use_the_pooled_model_for_small_groups(merged):
 
 
 def test_importance_of_too_few_rows_is_zero(merged):
-    assert {r["importance"] for r in models.importance_rank(merged.limit(10), USED).collect()} == {0.0}
+    assert {(r["importance"], r["fitted"]) for r in models.importance_rank(merged.limit(10), USED).collect()} == {(0.0, False)}

@@ -42,6 +42,18 @@ def test_percentiles_match_linear_interpolation(spark):
         assert np.allclose([r["p10"], r["med"], r["p100"]], np.percentile(known(rows, r["g"]), [10, 50, 100]))
 
 
+@pytest.mark.parametrize("make", [lambda i: 1e9 if i == 7 else (i * 7919 % 40000) / 4e4, lambda i: math.exp(2 * (((i * 7919) % 40000) / 4e4 * 2 - 1) ** 3 * 4)])
+def test_no_slice_holds_most_of_a_group(spark, make):
+    """One far value, or a long tail: the largest slice stays near the mean."""
+    n = 40000
+    df = spark.createDataFrame([("g", float(make(i))) for i in range(n)], "g string, v double")
+    cut, _, keys = ranks._sliced(df, ["g"], "v", {"n": F.lit(1)}, ranks.SLICES, ranks.LEVELS)
+    sizes = [r["count"] for r in cut.groupBy(*keys).count().collect()]
+    assert max(sizes) <= 5 * n / ranks.SLICES
+    values = [make(i) for i in range(n)]
+    assert math.isclose(ranks.percentiles(df, ["g"], "v", {"m": 0.5}).first()["m"], float(np.median(values)), rel_tol=1e-12)
+
+
 def test_overall_percentile_and_empty_input(spark):
     rows, df = skewed(spark)
     every = sorted(v for g in ("hot", "a", "b", None) for v in known(rows, g))

@@ -119,7 +119,8 @@ def test_rule_based_estimate(spark, crop, irrigated):
               "heavy_rain_days double, gdd double, is_irrigated int")
     df = spark.createDataFrame([(crop, 0, 999.0, 150.0, 100.0, 8.0, 200.0, 6.0, 2300.0, irrigated)], schema)
     weights = features.ESTIMATE[crop]
-    value = 150 + 0.35 * (100 - 150) - 2 * weights[0] - 20 * weights[1] - weights[2] - abs(2300 - weights[3]) * weights[4] + (weights[5] if irrigated else 0)
+    value = 150 + 0.35 * (100 - 150) - 2 * weights.heat - 20 * weights.drought - weights.flood - abs(2300 - weights.gdd_optimum) * weights.gdd
+    value += weights.irrigation if irrigated else 0
     assert features.heuristic_yield(df).first()["predicted_yield"] == round(value, 1)
 
 
@@ -127,9 +128,10 @@ def test_estimate_is_at_least_one_and_rounds_half_to_even(spark):
     assert [r[0] for r in spark.createDataFrame([(0.25,), (0.35,)], "v double").select(F.bround("v", 1)).collect()] == [0.2, 0.4]
 
 
-def test_interactions_skip_sparse_columns(spark):
+def test_interactions_skip_absent_columns(spark):
     df = spark.createDataFrame([(1.0, None, 2.0)] * 3, "a double, b double, c double")
-    assert features.interactions(df, [("a", "b"), ("a", "c"), ("a", "zz")], 2).columns == ["a", "b", "c", "a_x_c"]
+    out = features.interactions(df, [("a", "b"), ("a", "c"), ("a", "zz")])
+    assert out.columns == ["a", "b", "c", "a_x_b", "a_x_c"] and out.first()["a_x_b"] is None
 
 
 def test_regions_default(spark):

@@ -100,7 +100,7 @@ def test_impute_uses_group_then_overall_values(spark):
 def test_trend_needs_three_years(spark):
     df = spark.createDataFrame([("Corn", s, y, v) for s, y, v in [("IA", 2010, 1.0), ("IA", 2011, 2.0), ("IA", 2012, 3.0), ("IL", 2010, 1.0), ("IL", 2011, 9.0)]],
                                "commodity string, state_abbr string, year int, yield_amount double")
-    assert [(r["state_abbr"], round(r["slope"], 9)) for r in features.state_trend(df).collect()] == [("IA", 1.0)]
+    assert {r["state_abbr"]: r["slope"] and round(r["slope"], 9) for r in features.state_trend(df).collect()} == {"IA": 1.0, "IL": None}
     flat = {r["state_abbr"]: (r["intercept"], r["slope"]) for r in features.state_trend_rows(df).collect()}
     assert flat["IL"] == (5.0, 0.0)
 

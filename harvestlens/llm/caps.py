@@ -41,7 +41,7 @@ class ProductCode:
         for n in self.cuts:
             code = rng.normal(size=(self.words, n))
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True))
-        trial = rng.normal(size=(512, size))
+        trial = rng.normal(size=(64, size))
         scores = self._scores(trial / np.linalg.norm(trial, axis=1, keepdims=True))
         total = scores[0]
         for s in scores[1:]:

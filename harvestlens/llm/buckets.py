@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Members of a bucket that meet in one task at most: two chunks of about this many.
-CHUNK = 512
+CHUNK = 256
 
 
 def members(rows: DataFrame, key: str, item: str) -> DataFrame:

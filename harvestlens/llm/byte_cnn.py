@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestlens.llm.shared import blocks, table, texts_of
+from harvestlens.llm.shared import in_small_batches, table, text_blocks
 
 WIDTH, FILTERS, DEPTH = 6, 24, 4
 SEGMENT = 128
@@ -104,12 +104,9 @@ class Scorer:
         self.pairs = [(by_byte[k][:, None, :] + by_byte[k + 1][None, :, :]).reshape(65536, FILTERS) for k in range(0, WIDTH, 2)]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.empty(len(texts))
-        for lo, hi in blocks(texts):
-            raw, counts = _laid_out(texts[lo:hi])
-            features = _pooled(_segment_maxima(raw, self.pairs, self.net.bias), counts)
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip((features * self.net.weight).sum(axis=1) + self.net.offset, -40, 40)))
-        return out
+        raw, counts = _laid_out(texts)
+        features = _pooled(_segment_maxima(raw, self.pairs, self.net.bias), counts)
+        return 1 / (1 + np.exp(-np.clip((features * self.net.weight).sum(axis=1) + self.net.offset, -40, 40)))
 
 
 def train(texts: list[bytes], marks: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 5) -> Network:
@@ -220,7 +217,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in batches:
-            score = scorer.scores(texts_of(batch, "_bytes"))
+            score = np.concatenate([scorer.scores(texts) for _, _, texts in text_blocks(batch, "_bytes")] or [np.zeros(0)])
             rest = batch.select([n for n in batch.schema.names if n != "_bytes"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], names=[*rest.schema.names, "score"])
 
@@ -228,7 +225,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     given = own.withColumn("_bytes", F.col("text").cast("string"))
     shape = own.withColumn("score", F.lit(0.0)).schema
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % FOLDS == 0, F.lit(True))
-    out = given.mapInArrow(scored, shape).withColumn("held_out", held)
+    out = in_small_batches(given).mapInArrow(scored, shape).withColumn("held_out", held)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -19,7 +19,7 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestlens.llm.shared import table
+from harvestlens.llm.shared import in_small_batches, table
 
 TURN, TEXT, END = "<turn>", "<text>", "</turn>"
 LEARNED_ROLE = "assistant"
@@ -112,7 +112,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     Each row is formatted by itself, so a long conversation is not gathered. Null roles, texts and part lists are empty; attachments without a reference
     keep their placeholder."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("parts").cast(PART_TYPE).alias("parts"))
-    return rows.mapInArrow(
+    return in_small_batches(rows).mapInArrow(
         _formatted, f"conv_id long, turn long, formatted string, loss array<struct<start:bigint,stop:bigint>>, attachments {ATTACHMENT_TYPE}, tokens long"
     )
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestlens.llm.shared import table
+from harvestlens.llm.shared import in_small_batches, table
 
 # The fit reads this many pages at most, none longer than TRAIN_CHARS (longer pages are extracted, not learned from).
 TRAIN_PAGES, TRAIN_CHARS = 160, 20000
@@ -291,7 +291,7 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_small_batches(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from harvestlens.llm.shared import blocks, stored, table, texts_of
+from harvestlens.llm.shared import in_small_batches, stored, table, text_blocks
 
 # Shares of the expected tokens that each domain is to have; domains are languages here.
 TARGETS = {"de": 0.2, "en": 0.5, "es": 0.1, "fr": 0.2}
@@ -68,11 +68,11 @@ def posteriors(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def _member(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _member(batch: pa.RecordBatch, name: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and posteriors of whole texts, block by block."""
-    words, share = np.zeros(len(texts), np.int64), np.zeros((len(texts), weights.shape[1]))
-    for lo, hi in blocks(texts):
-        x, words[lo:hi] = features(texts[lo:hi])
+    words, share = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, weights.shape[1]))
+    for lo, hi, texts in text_blocks(batch, name):
+        x, words[lo:hi] = features(texts)
         share[lo:hi] = posteriors(np.concatenate((x, np.ones((hi - lo, 1), np.float32)), axis=1), weights)
     return words, share
 
@@ -174,17 +174,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, share = _member(texts_of(batch, "text"), weights)
+            words, share = _member(batch, "text", weights)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words), pa.ListArray.from_arrays(pa.array(np.arange(0, share.size + 1, width, dtype=np.int32)), pa.array(share.ravel()))], names=["words", "share"]
             )
 
-    steps = fit_steps(stored(texts.mapInArrow(member, "words long, share array<double>"), "posteriors"), goal)
+    steps = fit_steps(stored(in_small_batches(texts).mapInArrow(member, "words long, share array<double>"), "posteriors"), goal)
     own = docs.drop("words", "posteriors", "rate")
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, share = _member(texts_of(batch, "_bytes"), weights)
+            words, share = _member(batch, "_bytes", weights)
             rest = batch.select([n for n in batch.schema.names if n != "_bytes"])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, share.size + 1, width, dtype=np.int32)), pa.array(share.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +193,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
     more = [StructField("words", LongType()), StructField("share", ArrayType(DoubleType())), StructField("rate", DoubleType())]
     shape = StructType([*own.schema.fields, *more])
-    out = own.withColumn("_bytes", F.col("text").cast("string")).mapInArrow(rated, shape)
+    out = own.withColumn("_bytes", F.col("text").cast("string"))
+    out = in_small_batches(out).mapInArrow(rated, shape)
     by_domain = F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), F.col("share")).alias("posteriors")
     return out.select(*own.columns, "words", by_domain, "rate")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestlens.llm import buckets
 from harvestlens.llm.components import components
-from harvestlens.llm.shared import blocks, groups, stored, table, texts_of
+from harvestlens.llm.shared import groups, in_small_batches, stored, table, text_blocks
 from harvestlens.llm.words import mixed, runs, split_words
 
 SHINGLE = 5
@@ -60,9 +60,8 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "line", "para", *(f"b{k}" for k in range(BANDS))]
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-        texts = texts_of(batch, "text")
-        for lo, hi in blocks(texts):
-            words = split_words(texts[lo:hi])
+        for lo, hi, texts in text_blocks(batch, "text"):
+            words = split_words(texts)
             if not len(words.hash):
                 continue
             used, starts, size = np.unique(words.line, return_index=True, return_counts=True)
@@ -91,16 +90,15 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, line, para, b0, b1, …): the paragraphs of MIN_WORDS words or more, a hash of the words, and a key for each band."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(_paragraphs, "doc_id long, line int, para long, " + ", ".join(f"b{k} long" for k in range(BANDS)))
+    return in_small_batches(rows).mapInArrow(_paragraphs, "doc_id long, line int, para long, " + ", ".join(f"b{k} long" for k in range(BANDS)))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of the wanted lines of each text."""
     for batch in batches:
         wanted = batch.column(batch.schema.get_field_index("lines")).to_pylist()
-        texts = texts_of(batch, "text")
-        for lo, hi in blocks(texts):
-            words = split_words(texts[lo:hi])
+        for lo, hi, texts in text_blocks(batch, "text"):
+            words = split_words(texts)
             if not len(words.hash):
                 continue
             lines = [words.first_line[i] + x for i, own in enumerate(wanted[lo:hi]) for x in own]

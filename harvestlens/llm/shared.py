@@ -1,4 +1,4 @@
-"""Tables in the shared scratch folder, text bytes from Arrow, and groups that arrive in sorted batches."""
+"""Tables in the shared scratch folder, text bytes from Arrow in blocks, and groups that arrive in sorted batches."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from harvestlens.session import fresh_folder
 
 BLOCK_BYTES = 1 << 20
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,22 +26,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null is empty."""
-    column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
-    return [x or b"" for x in column.to_pylist()]
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, for a Python function over whole texts: Arrow batches of BATCH_ROWS rows, unless the session was started with a size of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getConf().get(BATCH_KEY) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df
 
 
-def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `most` bytes each; a longer text is a range of its own."""
+def text_blocks(batch: pa.RecordBatch, name: str, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of about `most` bytes each and the UTF-8 bytes of a string column in them; null is empty. A longer text is a
+    range of its own."""
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > most:
-            yield start, i
+    for i, size in enumerate([*sizes, most + 1]):
+        if i > start and held + size > most or i == len(sizes) and start < i:
+            yield start, i, [x or b"" for x in column.slice(start, i - start).to_pylist()]
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

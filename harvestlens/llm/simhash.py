@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestlens.llm import buckets, golay
 from harvestlens.llm.components import components
-from harvestlens.llm.shared import groups, spread, stored, table, texts_of
+from harvestlens.llm.shared import groups, in_small_batches, spread, stored, table, text_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -46,7 +46,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t) for t in texts_of(batch, "text")]
+        prints = [fingerprint(t) for _, _, texts in text_blocks(batch, "text") for t in texts]
         kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
         names = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(prints, pa.int64())], names=[*names, "fp"])
@@ -55,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every row as a signed long."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return in_small_batches(rows).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

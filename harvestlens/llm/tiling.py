@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestlens.llm.shared import blocks, groups, stored, table, texts_of
+from harvestlens.llm.shared import groups, in_small_batches, stored, table, text_blocks
 from harvestlens.llm.words import runs, split_words
 
 SEED_WORDS = 5
@@ -27,9 +27,8 @@ SIEVE_BITS = 24
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items = batch.column(batch.schema.get_field_index("item")).to_numpy(zero_copy_only=False)
-        texts = texts_of(batch, "text")
-        for lo, hi in blocks(texts):
-            words = split_words(texts[lo:hi])
+        for lo, hi, texts in text_blocks(batch, "text"):
+            words = split_words(texts)
             count = np.bincount(words.text, minlength=hi - lo)
             seed = runs(words.hash, SEED_WORDS)
             whole = words.text[: len(seed)] == words.text[SEED_WORDS - 1 :] if len(seed) else np.zeros(0, bool)
@@ -66,9 +65,8 @@ def document_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         held = sent.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            texts = texts_of(batch, "text")
-            for lo, hi in blocks(texts):
-                words = split_words(texts[lo:hi])
+            for lo, hi, texts in text_blocks(batch, "text"):
+                words = split_words(texts)
                 seed = runs(words.hash, SEED_WORDS)
                 if not len(seed):
                     continue
@@ -93,7 +91,7 @@ def document_runs(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(found, "doc_id long, doc_pos int, seeds array<long>").withColumn("run", F.xxhash64("seeds"))
+    return in_small_batches(rows).mapInArrow(found, "doc_id long, doc_pos int, seeds array<long>").withColumn("run", F.xxhash64("seeds"))
 
 
 def tiles(places: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:

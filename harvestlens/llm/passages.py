@@ -3,6 +3,10 @@
 A paragraph is a line of a text. Equal paragraphs are one class from the start. Classes whose MinHash bands collide meet in buckets, where the exact
 Jaccard similarity of their word shingles decides; the components of these links are groups of which one paragraph, in the document with the smallest id,
 stays. Bands and rows are tuned for recall at the similarity asked for.
+
+A passage that is spliced into other text fills no paragraph. So in what the paragraphs leave, the hashes of word runs are thinned to the smallest of each
+window of neighbours (winnowing): two texts that share PASSAGE_WORDS words or more share such a mark, whatever stands around. Marks that meet are extended
+word by word against the first document that holds them, and runs of PASSAGE_WORDS words or more are cut from the others.
 """
 
 from __future__ import annotations
@@ -12,17 +16,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from harvestlens.llm import buckets
 from harvestlens.llm.components import components
 from harvestlens.llm.shared import groups, in_small_batches, stored, table, text_blocks
-from harvestlens.llm.words import mixed, runs, split_words
+from harvestlens.llm.words import LOWER, edges, mixed, runs, split_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.995
 # A paragraph of fewer words is no passage: short lines repeat by chance and stay.
 MIN_WORDS = 25
+# Shared runs of this many words are cut, wherever they stand; a mark is a run of MARK_WORDS words, the smallest by hash of WINDOW neighbours.
+PASSAGE_WORDS, MARK_WORDS = 50, 16
+WINDOW = PASSAGE_WORDS - MARK_WORDS + 1
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = RECALL, low: float = 0.2, stray: float = 0.02) -> tuple[int, int]:
@@ -89,8 +97,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, line, para, b0, b1, …): the paragraphs of MIN_WORDS words or more, a hash of the words, and a key for each band."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return in_small_batches(rows).mapInArrow(_paragraphs, "doc_id long, line int, para long, " + ", ".join(f"b{k} long" for k in range(BANDS)))
+    return _texts(docs).mapInArrow(_paragraphs, "doc_id long, line int, para long, " + ", ".join(f"b{k} long" for k in range(BANDS)))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,14 +169,115 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -
     # the text of one place of each colliding paragraph
     place = classes.select("para", "at").join(colliding.select("para").distinct(), "para", "left_semi")
     asked = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line").alias("lines"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    sets = stored(texts.join(asked, "doc_id").select("text", "lines").mapInArrow(_shingle_sets, "para long, shingles array<long>"), "shingles")
+    sets = stored(_texts(docs).join(asked, "doc_id").select("text", "lines").mapInArrow(_shingle_sets, "para long, shingles array<long>"), "shingles")
     # rows that repeat a doc_id may give a paragraph twice
     sets = sets.groupBy("para").agg(F.first("shingles").alias("shingles"))
     parts = buckets.chunked(colliding, "para").select("key", "p", "q", "para").join(sets, "para")
     return buckets.bucket_order(parts.select("key", "p", "q", "para", "shingles"), "key").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+        for lo, hi, texts in text_blocks(batch, "text"):
+            words = split_words(texts)
+            run = runs(words.hash, MARK_WORDS)
+            if len(run) < WINDOW:
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(run, WINDOW)
+            whole = np.flatnonzero(words.text[: len(windows)] == words.text[PASSAGE_WORDS - 1 :])
+            spot = np.zeros(len(run), bool)
+            for at in range(0, len(whole), 16384):
+                some = whole[at : at + 16384]
+                spot[some + windows[some].argmin(axis=1)] = True
+            # of a stretch of equal runs one mark a window is enough: any of them meets any other
+            same = np.concatenate(([False], run[1:] == run[:-1]))
+            starts = np.flatnonzero(~same)
+            offset = np.arange(len(run)) - starts[np.cumsum(~same) - 1]
+            at = np.flatnonzero(spot & (offset % WINDOW == 0))
+            text = words.text[at]
+            first = np.searchsorted(words.text, np.arange(hi - lo))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[lo:hi][text]), pa.array((at - first[text]).astype(np.int32)), pa.array(run[at].view(np.int64)),
+                    pa.array((words.line[at] - words.first_line[text]).astype(np.int32)), pa.array((words.line[at + MARK_WORDS - 1] - words.first_line[text]).astype(np.int32)),
+                ],
+                names=["doc_id", "pos", "mark", "line", "last_line"],
+            )
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each wanted mark the words before it, backwards, and those after it, as WINDOW hashes each; 0 where the text ends and in lines
+    that go. Marks that reach into such lines are left out."""
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
+        wanted, gone = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("marks", "lines"))
+        for lo, hi, texts in text_blocks(batch, "text"):
+            words = split_words(texts)
+            value = (words.hash >> np.uint64(33)).astype(np.int32) | 1
+            value[np.isin(words.line, [words.first_line[i] + x for i, own in enumerate(gone[lo:hi]) for x in own or []])] = 0
+            blank = np.concatenate(([0], np.cumsum(value == 0)))
+            bound = np.searchsorted(words.text, np.arange(hi - lo + 1))
+            own = [(i, m["pos"], m["mark"]) for i, ms in enumerate(wanted[lo:hi]) for m in ms]
+            text = np.array([o[0] for o in own], np.int64)
+            pos = np.array([o[1] for o in own], np.int64)
+            low, high = bound[text], bound[text + 1]
+            step = np.arange(WINDOW)
+            back = (low + pos - 1)[:, None] - step
+            ahead = (low + pos + MARK_WORDS)[:, None] + step
+            padded = np.append(value, np.int32(0))
+            here = np.concatenate(
+                (np.where(back >= low[:, None], padded[np.clip(back, 0, len(value))], 0), np.where(ahead < high[:, None], padded[np.clip(ahead, 0, len(value))], 0)), axis=1,
+            ).astype(np.int32)
+            # a row whose text is not the one the marks were taken from (a repeated doc_id) has fewer words
+            sound = low + pos + MARK_WORDS <= high
+            sound[sound] = blank[(low + pos + MARK_WORDS)[sound]] == blank[(low + pos)[sound]]
+            here, pos = here[sound], pos[sound]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[lo:hi][text[sound]]), pa.array(pos.astype(np.int32)), pa.array(np.array([o[2] for o in own], np.int64)[sound]),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, here.size + 1, 2 * WINDOW, dtype=np.int32)), pa.array(here.ravel())),
+                ],
+                names=["doc_id", "pos", "mark", "around"],
+            )
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far a mark's surroundings equal those of the keeper's: words from and to."""
+    for batch in batches:
+        pos = batch.column(batch.schema.get_field_index("pos")).to_numpy().astype(np.int64)
+        own, kept = (batch.column(batch.schema.get_field_index(n)).flatten().to_numpy().reshape(-1, 2 * WINDOW) for n in ("around", "kept"))
+        same = (own == kept) & (own != 0)
+        before, after = (np.cumprod(same[:, k : k + WINDOW], axis=1).sum(axis=1) for k in (0, WINDOW))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(batch.schema.get_field_index("doc_id")), pa.array((pos - before).astype(np.int32)), pa.array((pos + MARK_WORDS + after).astype(np.int32)), batch.column(batch.schema.get_field_index("keeper"))],
+            names=["doc_id", "start", "stop", "keeper"],
+        )
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return in_small_batches(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL"))
+
+
+def spliced(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, keeper): runs of words, not across paragraphs that go, that equal a run of the keeper around a mark. The keeper of a
+    mark is the first place of all that are left. Documents that share a mark are found by groupings that combine on the map side."""
+    marks = stored(_texts(docs).mapInArrow(_marks, "doc_id long, pos int, mark long, line int, last_line int"), "marks")
+    across = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark")
+    met = marks.join(across, "mark", "left_semi")
+    lines = gone.select("doc_id", "line").distinct()
+    left = stored(met.join(lines, ["doc_id", "line"], "left_anti").join(lines.withColumnRenamed("line", "last_line"), ["doc_id", "last_line"], "left_anti").select("doc_id", "pos", "mark"), "marks")
+    held = left.join(left.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark"), "mark", "left_semi")
+    asked = held.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mark")).alias("marks"))
+    asked = asked.join(lines.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "doc_id", "left")
+    around = stored(_texts(docs).join(asked, "doc_id").mapInArrow(_around, "doc_id long, pos int, mark long, around array<int>"), "around")
+    first = around.groupBy("mark").agg(F.min(F.struct("doc_id", "pos", "around")).alias("first"))
+    kept = first.select("mark", F.col("first.around").alias("kept"), F.col("first.doc_id").alias("keeper"))
+    pairs = around.join(kept, "mark").filter("doc_id <> keeper").select("doc_id", "pos", "around", "kept", "keeper")
+    return pairs.mapInArrow(_extended, "doc_id long, start int, stop int, keeper long")
+
+
 def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line, group, keeper): the paragraphs that go. group is the smallest hash of the component, keeper the document in which it stays.
 
@@ -185,30 +293,98 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return gone.filter("doc_id <> stays.doc_id OR line <> stays.line").select("doc_id", "line", "group", F.col("stays.doc_id").alias("keeper"))
 
 
+def cut(text: bytes, lines: list[int], spans: list[tuple[int, int]], least: int = PASSAGE_WORDS) -> tuple[bytes, int]:
+    """The text without the lines and without the spans of words, and how many spans went: overlapping spans are one, and one of fewer than `least`
+    words stays. A span goes up to the white space after it."""
+    begin, end = edges(LOWER[np.frombuffer(text, np.uint8)])
+    holes = []
+    merged: list[list[int]] = []
+    for start, stop in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], stop)
+        else:
+            merged.append([start, stop])
+    whole = [(a, b) for a, b in merged if b - a >= least]
+    for a, b in whole:
+        stop = int(end[b - 1])
+        while stop < len(text) and text[stop] not in b" \t\n\r\x0b\x0c":
+            stop += 1
+        start = int(begin[a])
+        # of the two blanks around a hole one is enough
+        if stop < len(text) and text[stop] == 32 and (start == 0 or text[start - 1] in b" \n"):
+            stop += 1
+        holes.append((start, stop))
+    if lines:
+        feeds = [-1, *[i for i, c in enumerate(text) if c == 10], len(text)]
+        last = len(feeds) - 2
+        # a line goes with the line feed after it; trailing lines with the one before
+        holes += [(feeds[n] + 1, feeds[n + 1] + 1) for n in lines if n < last]
+        tail = last
+        while tail >= 0 and tail in set(lines):
+            tail -= 1
+        if tail < last:
+            holes.append((max(feeds[tail + 1], 0), len(text)))
+    out, at = [], 0
+    for start, stop in sorted(holes):
+        if start > at:
+            out.append(text[at:start])
+        at = max(at, stop)
+    out.append(text[at:])
+    return b"".join(out), len(whole)
+
+
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.schema.names
+        column = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
+        texts, counts = [], []
+        for text, lines, spans in zip(column("text"), column("removed"), column("_spans")):
+            if text is None or not (lines or spans):
+                texts.append(text)
+                counts.append(0)
+            else:
+                left, n = cut(text.encode(), lines or [], [(s["start"], s["stop"]) for s in spans or []])
+                texts.append(left.decode())
+                counts.append(n)
+        kept = [n for n in names if n not in ("text", "_spans")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=[*kept, "text", "cuts"])
+
+
 def cleaned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All columns of `docs`, the text without its repeated paragraphs, with `removed` (their line numbers from 0) and `keepers` (the documents that keep them).
-
-    Rows without doc_id, null and empty texts stay as they are, with empty lists. Rows that repeat a doc_id are one document: what goes from it goes from each.
-    Columns named `removed` or `keepers` are replaced."""
-    gone = repeated(docs, similarity).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set("keeper")).alias("keepers"))
-    own = docs.drop("removed", "keepers")
-    both = own.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    both = both.withColumn("text", F.when(F.col("removed").isNull(), F.col("text").cast("string")).otherwise(left))
-    return both.withColumn("removed", F.coalesce("removed", F.expr("CAST(array() AS array<int>)"))).withColumn(
-        "keepers", F.coalesce("keepers", F.expr("CAST(array() AS array<bigint>)"))
+    """All columns of `docs`, the text without its repeated paragraphs and passages, with `removed` (line numbers of the paragraphs, from 0), `cuts` (how many
+    passages were cut within other lines) and `keepers` (the documents that keep what went).
+
+    Rows without doc_id, null and empty texts stay as they are, with empty lists. Rows that repeat a doc_id are one document: paragraphs that go from it go from each.
+    Columns named `removed`, `cuts` or `keepers` are replaced."""
+    gone = stored(repeated(docs, similarity), "gone")
+    spans = stored(spliced(docs, gone), "spans")
+    by_line = gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_set("keeper").alias("a"))
+    by_span = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"), F.collect_set("keeper").alias("b"))
+    marks = by_line.join(by_span, "doc_id", "full").withColumnRenamed("doc_id", "_id")
+    none = "CAST(array() AS array<{}>)"
+    own = docs.drop("removed", "cuts", "keepers").withColumn("text", F.col("text").cast("string"))
+    both = own.join(marks, F.col("doc_id").cast("long") == F.col("_id"), "left").select(
+        *[F.col(c) for c in own.columns], F.sort_array(F.coalesce("lines", F.expr(none.format("int")))).alias("removed"), "_spans",
+        F.sort_array(F.array_union(F.coalesce("a", F.expr(none.format("bigint"))), F.coalesce("b", F.expr(none.format("bigint"))))).alias("keepers"),
     )
+    others = [f for f in both.schema.fields if f.name not in ("text", "_spans")]
+    shape = StructType([*others, StructField("text", StringType()), StructField("cuts", IntegerType())])
+    out = in_small_batches(both).mapInArrow(_cut_rows, shape)
+    # short shared runs name keepers without a cut
+    kept = F.when((F.size("removed") > 0) | (F.col("cuts") > 0), F.col("keepers")).otherwise(F.expr(none.format("bigint")))
+    return out.select(*own.columns, "removed", "cuts", kept.alias("keepers"))
 
 
 def keep_rest(docs: DataFrame) -> DataFrame:
     """Documents with what is left of their texts and n_chars counted anew; those of which nothing but white space is left go."""
-    left = cleaned(docs).filter((F.size("removed") == 0) | F.col("text").rlike(r"\S"))
+    touched = (F.size("removed") > 0) | (F.col("cuts") > 0)
+    left = cleaned(docs).filter(~touched | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        count = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        count = F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         left = left.withColumn("n_chars", count)
     return left.select(docs.columns)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cleaned(docs).select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), "removed", "keepers")
+    return cleaned(docs).select("doc_id", "text", (F.size("removed") + F.col("cuts")).cast("long").alias("n_removed"), "removed", "cuts", "keepers")

@@ -43,6 +43,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in lower-cased bytes."""
+    inside = IN_WORD[raw]
+    flips = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    return flips[::2], flips[1::2]
+
+
 @dataclass
 class Words:
     """hash: a 64-bit hash of each word; text and line: the text and the line (over all texts) that each stands in;
@@ -60,9 +67,7 @@ def split_words(texts: list[bytes]) -> Words:
     raw = LOWER[np.frombuffer(joined, np.uint8)]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     ends = np.cumsum(sizes)
-    inside = IN_WORD[raw]
-    flips = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-    begin, end = flips[::2], flips[1::2]
+    begin, end = edges(raw)
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_VALUE[raw] * up[:-1], out=total[1:])

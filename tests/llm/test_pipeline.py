@@ -3,7 +3,7 @@ import pytest
 from harvestlens.llm import byte_cnn, mixing, passages, queries, simhash, tiling
 from harvestlens.llm.shared import stored
 
-from tests.llm.test_passages import brute as brute_passages
+from tests.llm.test_passages import check_against_brute_force
 from tests.llm.test_simhash import brute_components, brute_print
 
 
@@ -33,9 +33,10 @@ def test_each_stage_on_what_the_one_before_kept(spark, sf):
             root = brute_components({r["doc_id"]: brute_print(r["text"]) for r in was})
             assert ids == set(root.values())
         elif stage is pipeline.substring_dedup:
-            want = brute_passages([(r["doc_id"], r["text"]) for r in was])
-            same = {r["doc_id"] for r in was if want[r["doc_id"]] == r["text"]}
-            assert {r["doc_id"]: r["text"] for r in rows} == {i: t for i, t in want.items() if t.strip() or i in same}
+            left = passages.cleaned(before).collect()
+            check_against_brute_force([(r["doc_id"], r["text"]) for r in was], left)
+            same = {r["doc_id"] for r in left if not r["removed"] and not r["cuts"]}
+            assert {r["doc_id"]: r["text"] for r in rows} == {r["doc_id"]: r["text"] for r in left if r["text"].strip() or r["doc_id"] in same}
         else:
             assert ids == {r["doc_id"] for r in was} - {r["doc_id"] for r in tiling.leaks(before, bench).collect()}
     assert kept["simhash_near_dedup"] < kept["quality_classifier"] and kept["mixing_to_targets"] > 100

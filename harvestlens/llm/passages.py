@@ -28,8 +28,8 @@ SIMILARITY = 0.8
 RECALL = 0.995
 # A paragraph of fewer words is no passage: short lines repeat by chance and stay.
 MIN_WORDS = 25
-# Shared runs of this many words are cut, wherever they stand; a mark is a run of MARK_WORDS words, the smallest by hash of WINDOW neighbours.
-PASSAGE_WORDS, MARK_WORDS = 50, 16
+# Shared runs of over 50 words are cut, wherever they stand; a mark is a run of MARK_WORDS words, the smallest by hash of WINDOW neighbours.
+PASSAGE_WORDS, MARK_WORDS = 51, 14
 WINDOW = PASSAGE_WORDS - MARK_WORDS + 1
 
 
@@ -190,11 +190,12 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(whole), 16384):
                 some = whole[at : at + 16384]
                 spot[some + windows[some].argmin(axis=1)] = True
-            # of a stretch of equal runs one mark a window is enough: any of them meets any other
-            same = np.concatenate(([False], run[1:] == run[:-1]))
-            starts = np.flatnonzero(~same)
-            offset = np.arange(len(run)) - starts[np.cumsum(~same) - 1]
-            at = np.flatnonzero(spot & (offset % WINDOW == 0))
+            at = np.flatnonzero(spot)
+            # where words repeat over and over the same mark returns; one a window is enough, as any of them meets any other
+            again = (run[at[1:]] == run[at[:-1]]) & (np.diff(at) < WINDOW) & (words.text[at[1:]] == words.text[at[:-1]])
+            fresh = np.concatenate(([True], ~again))[: len(at)]
+            since = (at - at[fresh][np.cumsum(fresh) - 1]) // WINDOW
+            at = at[fresh | np.concatenate(([False], np.diff(since) > 0))[: len(at)]]
             text = words.text[at]
             first = np.searchsorted(words.text, np.arange(hi - lo))
             yield pa.RecordBatch.from_arrays(
@@ -243,15 +244,18 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far a mark's surroundings equal those of the keeper's: words from and to."""
+    """How far a mark's surroundings equal those of the keeper's: words from and to. WINDOW words on either side tell of a shared run whether it is long
+    enough; shorter ones are left out."""
     for batch in batches:
         pos = batch.column(batch.schema.get_field_index("pos")).to_numpy().astype(np.int64)
         own, kept = (batch.column(batch.schema.get_field_index(n)).flatten().to_numpy().reshape(-1, 2 * WINDOW) for n in ("around", "kept"))
         same = (own == kept) & (own != 0)
         before, after = (np.cumprod(same[:, k : k + WINDOW], axis=1).sum(axis=1) for k in (0, WINDOW))
+        long = before + MARK_WORDS + after >= PASSAGE_WORDS
+        doc, keeper = (batch.column(batch.schema.get_field_index(n)).to_numpy()[long] for n in ("doc_id", "keeper"))
+        start, stop = (pos - before)[long], (pos + MARK_WORDS + after)[long]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), pa.array((pos - before).astype(np.int32)), pa.array((pos + MARK_WORDS + after).astype(np.int32)), batch.column(batch.schema.get_field_index("keeper"))],
-            names=["doc_id", "start", "stop", "keeper"],
+            [pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(keeper)], names=["doc_id", "start", "stop", "keeper"]
         )
 
 
@@ -370,9 +374,7 @@ def cleaned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     others = [f for f in both.schema.fields if f.name not in ("text", "_spans")]
     shape = StructType([*others, StructField("text", StringType()), StructField("cuts", IntegerType())])
     out = in_small_batches(both).mapInArrow(_cut_rows, shape)
-    # short shared runs name keepers without a cut
-    kept = F.when((F.size("removed") > 0) | (F.col("cuts") > 0), F.col("keepers")).otherwise(F.expr(none.format("bigint")))
-    return out.select(*own.columns, "removed", "cuts", kept.alias("keepers"))
+    return out.select(*own.columns, "removed", "cuts", "keepers")
 
 
 def keep_rest(docs: DataFrame) -> DataFrame:

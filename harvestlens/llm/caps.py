@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from harvestlens.llm import buckets
+from harvestlens.llm.buckets import CHUNK, bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
 from harvestlens.llm.shared import groups, spread, stored, table
 
@@ -143,7 +143,7 @@ def _compared(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.R
         here = (chunks == 1) | (partner == (own + 1) % chunks)
         counted &= (own[:, None] != own[None, :]) | here[:, None]
         links = counted @ _column(group, "n").astype(np.float64)
-        label = buckets.forest(len(node), lambda i: np.flatnonzero(near[i]))
+        label = forest(len(node), lambda i: np.flatnonzero(near[i]))
         root = np.full(len(node), np.iinfo(np.int64).max)
         np.minimum.at(root, label, node)
         some = near.any(axis=1)
@@ -171,9 +171,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = rows.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     classes = stored(classes, "vectors")
     listed = stored(spread(classes.select("node", "embedding"), "node").mapInArrow(_listed, "key long, node long"), "filters")
-    met = buckets.members(listed, "key", "node")
-    parts = buckets.chunked(met, "node").withColumn("chunks", F.ceil(F.col("size") / buckets.CHUNK).cast("int")).drop("size").join(classes, "node")
-    dealt = buckets.bucket_order(parts, "key")
+    met = members(listed, "key", "node")
+    parts = chunked(met, "node").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).drop("size").join(classes, "node")
+    dealt = bucket_order(parts, "key")
     compared = stored(dealt.mapInArrow(lambda x: _compared(x, cosine), "node long, links long, root long"), "compared")
     counts = compared.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")).withColumnRenamed("root", "component_id")

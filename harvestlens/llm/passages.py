@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from harvestlens.llm import buckets
+from harvestlens.llm.buckets import bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
 from harvestlens.llm.shared import groups, in_small_batches, stored, table, text_blocks
 from harvestlens.llm.words import LOWER, edges, mixed, runs, split_words
@@ -142,7 +142,7 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             shared = np.bincount(owner[spots], minlength=len(para))
             return np.flatnonzero((shared > 0) & (shared >= similarity * (size + size[i] - shared)))
 
-        label = buckets.forest(len(para), linked)
+        label = forest(len(para), linked)
         first = np.unique(label, return_index=True)[1]
         root = np.zeros(len(para), np.int64)
         root[label[first]] = para[first]
@@ -165,15 +165,15 @@ def paragraph_classes(found: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that join paragraphs at `similarity` or more into components, one a member and bucket at most."""
     keys = F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("key")
-    colliding = stored(buckets.members(classes.select("para", keys), "key", "para"), "colliding")
+    colliding = stored(members(classes.select("para", keys), "key", "para"), "colliding")
     # the text of one place of each colliding paragraph
     place = classes.select("para", "at").join(colliding.select("para").distinct(), "para", "left_semi")
     asked = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line").alias("lines"))
     sets = stored(_texts(docs).join(asked, "doc_id").select("text", "lines").mapInArrow(_shingle_sets, "para long, shingles array<long>"), "shingles")
     # rows that repeat a doc_id may give a paragraph twice
     sets = sets.groupBy("para").agg(F.first("shingles").alias("shingles"))
-    parts = buckets.chunked(colliding, "para").select("key", "p", "q", "para").join(sets, "para")
-    return buckets.bucket_order(parts.select("key", "p", "q", "para", "shingles"), "key").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
+    parts = chunked(colliding, "para").select("key", "p", "q", "para").join(sets, "para")
+    return bucket_order(parts.select("key", "p", "q", "para", "shingles"), "key").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestlens.llm import buckets, golay
+from harvestlens.llm.buckets import bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
+from harvestlens.llm.golay import decode, near_indices
 from harvestlens.llm.shared import groups, in_small_batches, spread, stored, table, text_blocks
 
 SHINGLE = 3
@@ -62,8 +63,8 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all bucket keys of 64-bit fingerprints, each once."""
     bits = prints.view(np.uint64)
     part = [((bits >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-    near = [golay.near_indices(part[i], SEGMENTS[i][1]) for i in range(3)]
-    exact = [golay.decode(p) for p in part]
+    near = [near_indices(part[i], SEGMENTS[i][1]) for i in range(3)]
+    exact = [decode(p) for p in part]
     rows, keys = [], []
     case = 0
     for i in range(3):
@@ -105,7 +106,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for group in groups(batches, ["key", "p", "q"]):
         prints = np.unique(group.column("fp").to_numpy())
         bits = prints.view(np.uint64)
-        label = buckets.forest(len(prints), lambda i: np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= DISTANCE))
+        label = forest(len(prints), lambda i: np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= DISTANCE))
         first = np.unique(label, return_index=True)[1]
         root = np.zeros(len(prints), np.int64)
         root[label[first]] = prints[first]
@@ -122,8 +123,8 @@ def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that join all fingerprints at three or fewer differing bits into the same components; `prints` has
     each fingerprint once. A bucket gives one link a member and part, not all pairs."""
     rows = spread(prints.select("fp"), "fp").mapInArrow(_keyed, "key long, fp long")
-    colliding = buckets.chunked(buckets.members(rows, "key", "fp"), "fp")
-    return buckets.bucket_order(colliding.select("key", "p", "q", "fp"), "key").mapInArrow(_bucket_links, "a long, b long")
+    colliding = chunked(members(rows, "key", "fp"), "fp")
+    return bucket_order(colliding.select("key", "p", "q", "fp"), "key").mapInArrow(_bucket_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,18 +29,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP**i and STEP**-i for i below n, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, step in enumerate((STEP, STEP_BACK)):
-            steps = np.full(size, step, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(step: np.uint64, n: int) -> np.ndarray:
+    """step**i for i below n, modulo 2**64. Made anew each time: what a task keeps in its globals outlives it on the executor."""
+    steps = np.full(n, step, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
 
 
 def edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +61,7 @@ def split_words(texts: list[bytes]) -> Words:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     ends = np.cumsum(sizes)
     begin, end = edges(raw)
-    up, down = _powers(len(raw) + 1)
+    up, down = _powers(STEP, len(raw) + 1), _powers(STEP_BACK, len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_VALUE[raw] * up[:-1], out=total[1:])
     hashes = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))

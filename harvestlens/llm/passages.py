@@ -5,8 +5,8 @@ Jaccard similarity of their word shingles decides; the components of these links
 stays. Bands and rows are tuned for recall at the similarity asked for.
 
 A passage that is spliced into other text fills no paragraph. So in what the paragraphs leave, the hashes of word runs are thinned to the smallest of each
-window of neighbours (winnowing): two texts that share PASSAGE_WORDS words or more share such a mark, whatever stands around. Marks that meet are extended
-word by word against the first document that holds them, and runs of PASSAGE_WORDS words or more are cut from the others.
+window of neighbours (winnowing): two texts that share PASSAGE_WORDS words or more share such a mark, whatever stands around. Around marks that
+meet, all runs of PASSAGE_WORDS words are compared by hash: the first document that holds a run keeps it, and it is cut from the others.
 """
 
 from __future__ import annotations
@@ -191,11 +191,12 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = whole[at : at + 16384]
                 spot[some + windows[some].argmin(axis=1)] = True
             at = np.flatnonzero(spot)
-            # where words repeat over and over the same mark returns; one a window is enough, as any of them meets any other
+            # where words repeat over and over the same mark returns; the first and last of each WINDOW places are enough, as no run lies between two of them
             again = (run[at[1:]] == run[at[:-1]]) & (np.diff(at) < WINDOW) & (words.text[at[1:]] == words.text[at[:-1]])
             fresh = np.concatenate(([True], ~again))[: len(at)]
             since = (at - at[fresh][np.cumsum(fresh) - 1]) // WINDOW
-            at = at[fresh | np.concatenate(([False], np.diff(since) > 0))[: len(at)]]
+            turn = np.concatenate(([True], fresh[1:] | (np.diff(since) != 0), [True]))[: len(at) + 1]
+            at = at[turn[:-1] | turn[1:]]
             text = words.text[at]
             first = np.searchsorted(words.text, np.arange(hi - lo))
             yield pa.RecordBatch.from_arrays(
@@ -207,56 +208,33 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each wanted mark the words before it, backwards, and those after it, as WINDOW hashes each; 0 where the text ends and in lines
-    that go. Marks that reach into such lines are left out."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of all runs of PASSAGE_WORDS words that hold a wanted mark, each once a text with the places where it starts. Runs that reach into
+    lines that go are left out."""
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy()
         wanted, gone = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("marks", "lines"))
         for lo, hi, texts in text_blocks(batch, "text"):
             words = split_words(texts)
-            value = (words.hash >> np.uint64(33)).astype(np.int32) | 1
-            value[np.isin(words.line, [words.first_line[i] + x for i, own in enumerate(gone[lo:hi]) for x in own or []])] = 0
-            blank = np.concatenate(([0], np.cumsum(value == 0)))
+            run = runs(words.hash, PASSAGE_WORDS)
             bound = np.searchsorted(words.text, np.arange(hi - lo + 1))
-            own = [(i, m["pos"], m["mark"]) for i, ms in enumerate(wanted[lo:hi]) for m in ms]
-            text = np.array([o[0] for o in own], np.int64)
-            pos = np.array([o[1] for o in own], np.int64)
-            low, high = bound[text], bound[text + 1]
-            step = np.arange(WINDOW)
-            back = (low + pos - 1)[:, None] - step
-            ahead = (low + pos + MARK_WORDS)[:, None] + step
-            padded = np.append(value, np.int32(0))
-            here = np.concatenate(
-                (np.where(back >= low[:, None], padded[np.clip(back, 0, len(value))], 0), np.where(ahead < high[:, None], padded[np.clip(ahead, 0, len(value))], 0)), axis=1,
-            ).astype(np.int32)
+            text = np.repeat(np.arange(hi - lo), [len(own) for own in wanted[lo:hi]])
+            mark = bound[text] + np.array([pos for own in wanted[lo:hi] for pos in own], np.int64)
+            begin, end = np.maximum(mark - WINDOW + 1, bound[text]), np.minimum(mark, bound[text + 1] - PASSAGE_WORDS) + 1
             # a row whose text is not the one the marks were taken from (a repeated doc_id) has fewer words
-            sound = low + pos + MARK_WORDS <= high
-            sound[sound] = blank[(low + pos + MARK_WORDS)[sound]] == blank[(low + pos)[sound]]
-            here, pos = here[sound], pos[sound]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[lo:hi][text[sound]]), pa.array(pos.astype(np.int32)), pa.array(np.array([o[2] for o in own], np.int64)[sound]),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, here.size + 1, 2 * WINDOW, dtype=np.int32)), pa.array(here.ravel())),
-                ],
-                names=["doc_id", "pos", "mark", "around"],
-            )
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far a mark's surroundings equal those of the keeper's: words from and to. WINDOW words on either side tell of a shared run whether it is long
-    enough; shorter ones are left out."""
-    for batch in batches:
-        pos = batch.column(batch.schema.get_field_index("pos")).to_numpy().astype(np.int64)
-        own, kept = (batch.column(batch.schema.get_field_index(n)).flatten().to_numpy().reshape(-1, 2 * WINDOW) for n in ("around", "kept"))
-        same = (own == kept) & (own != 0)
-        before, after = (np.cumprod(same[:, k : k + WINDOW], axis=1).sum(axis=1) for k in (0, WINDOW))
-        long = before + MARK_WORDS + after >= PASSAGE_WORDS
-        doc, keeper = (batch.column(batch.schema.get_field_index(n)).to_numpy()[long] for n in ("doc_id", "keeper"))
-        start, stop = (pos - before)[long], (pos + MARK_WORDS + after)[long]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(keeper)], names=["doc_id", "start", "stop", "keeper"]
-        )
+            some = begin < end
+            depth = np.zeros(len(run) + 1, np.int64)
+            np.add.at(depth, begin[some], 1)
+            np.subtract.at(depth, end[some], 1)
+            start = np.flatnonzero(np.cumsum(depth) > 0)
+            blank = np.isin(words.line, [words.first_line[i] + x for i, own in enumerate(gone[lo:hi]) for x in own or []])
+            before = np.concatenate(([0], np.cumsum(blank)))
+            start = start[before[start + PASSAGE_WORDS] == before[start]]
+            start = start[np.lexsort((start, run[start], words.text[start]))]
+            text, run = words.text[start], run[start]
+            first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (text[1:] != text[:-1])))[: len(run)])
+            starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(run)).astype(np.int32)), pa.array((start - bound[text]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][text[first]]), pa.array(run[first].view(np.int64)), starts], names=["doc_id", "run", "starts"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -265,21 +243,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def spliced(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, keeper): runs of words, not across paragraphs that go, that equal a run of the keeper around a mark. The keeper of a
-    mark is the first place of all that are left. Documents that share a mark are found by groupings that combine on the map side."""
+    """(doc_id, starts, keeper): where runs of PASSAGE_WORDS words start, not across paragraphs that go, that an earlier document holds too. The keeper
+    of a run is the first of all documents that hold it, whatever other runs share its marks. Documents that share a mark or a run are found by
+    groupings that combine on the map side."""
     marks = stored(_texts(docs).mapInArrow(_marks, "doc_id long, pos int, mark long, line int, last_line int"), "marks")
     across = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark")
     met = marks.join(across, "mark", "left_semi")
     lines = gone.select("doc_id", "line").distinct()
     left = stored(met.join(lines, ["doc_id", "line"], "left_anti").join(lines.withColumnRenamed("line", "last_line"), ["doc_id", "last_line"], "left_anti").select("doc_id", "pos", "mark"), "marks")
     held = left.join(left.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark"), "mark", "left_semi")
-    asked = held.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mark")).alias("marks"))
+    asked = held.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     asked = asked.join(lines.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "doc_id", "left")
-    around = stored(_texts(docs).join(asked, "doc_id").mapInArrow(_around, "doc_id long, pos int, mark long, around array<int>"), "around")
-    first = around.groupBy("mark").agg(F.min(F.struct("doc_id", "pos", "around")).alias("first"))
-    kept = first.select("mark", F.col("first.around").alias("kept"), F.col("first.doc_id").alias("keeper"))
-    pairs = around.join(kept, "mark").filter("doc_id <> keeper").select("doc_id", "pos", "around", "kept", "keeper")
-    return pairs.mapInArrow(_extended, "doc_id long, start int, stop int, keeper long")
+    windows = stored(_texts(docs).join(asked, "doc_id").mapInArrow(_windows, "doc_id long, run long, starts array<int>"), "windows")
+    shared = windows.groupBy("run").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
+    return windows.join(shared, "run").filter("doc_id <> keeper").select("doc_id", "starts", "keeper")
 
 
 def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -347,7 +324,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(text)
                 counts.append(0)
             else:
-                left, n = cut(text.encode(), lines or [], [(s["start"], s["stop"]) for s in spans or []])
+                left, n = cut(text.encode(), lines or [], [(s, s + PASSAGE_WORDS) for s in set(spans or [])])
                 texts.append(left.decode())
                 counts.append(n)
         kept = [n for n in names if n not in ("text", "_spans")]
@@ -363,7 +340,7 @@ def cleaned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     gone = stored(repeated(docs, similarity), "gone")
     spans = stored(spliced(docs, gone), "spans")
     by_line = gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_set("keeper").alias("a"))
-    by_span = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"), F.collect_set("keeper").alias("b"))
+    by_span = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("_spans"), F.collect_set("keeper").alias("b"))
     marks = by_line.join(by_span, "doc_id", "full").withColumnRenamed("doc_id", "_id")
     none = "CAST(array() AS array<{}>)"
     own = docs.drop("removed", "cuts", "keepers").withColumn("text", F.col("text").cast("string"))

@@ -84,6 +84,43 @@ def test_passages_spliced_into_other_text(spark):
     assert all(r["cuts"] == (0 if i < 3 or i % 3 == 2 else 1) and (r["keepers"][:1] == [i % 3] if r["cuts"] else r["keepers"] == []) for i, r in rows.items())
 
 
+def check_cut_from_later(spark, docs, want):
+    rows = {r["doc_id"]: r for r in passages.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r["text"] for i, r in rows.items()} == want
+    check_against_brute_force(docs, rows.values())
+
+
+def test_passages_of_which_an_earlier_document_holds_a_part(spark):
+    """Two documents share a passage; the first holder of its marks holds 40 of its 51 words, and another document another part."""
+    rng = random.Random(21)
+    words = [f"u{i}z" for i in range(60000)]
+    docs, want = [], {}
+    for k in range(12):
+        passage = rng.sample(words, 51)
+        at = rng.randrange(12)
+        for n, middle in enumerate((passage[at : at + 40], passage[11:], passage, passage)):
+            before, after = rng.sample(words, rng.randrange(30, 60)), rng.sample(words, rng.randrange(30, 60))
+            docs.append((10 * k + n, " ".join([*before, *middle, *after])))
+            want[10 * k + n] = docs[-1][1] if n < 3 else " ".join(before + after)
+    rng.shuffle(docs)
+    check_cut_from_later(spark, docs, want)
+
+
+def test_passages_whose_words_return(spark):
+    """A passage of few words over and over; other documents hold more rounds of it than the first."""
+    rng = random.Random(22)
+    words = [f"t{i}s" for i in range(60000)]
+    docs, want = [], {}
+    for k, period in enumerate((1, 2, 7, 12, 20, 30, 37)):
+        round_ = rng.sample(words, period)
+        for n, rounds in enumerate((51 + period, 300, 301)):
+            middle = (round_ * 301)[n : n + rounds]
+            before, after = rng.sample(words, 40), rng.sample(words, 40)
+            docs.append((10 * k + n, " ".join([*before, *middle, *after])))
+            want[10 * k + n] = docs[-1][1] if n == 0 else " ".join(before + after)
+    check_cut_from_later(spark, docs, want)
+
+
 def test_cut():
     text = b"one two, three four. Five\nsix seven\neight"
     assert passages.cut(text, [], [(1, 3), (2, 4)], 3) == (b"one Five\nsix seven\neight", 1)

@@ -1,6 +1,7 @@
 """License scan: base phrases by place, and license notices by an exact set-similarity join, in DataFrame operations only.
 
-A block is a line. A template is found in a block that holds at least CONTAINMENT of its distinct words. Words are ordered by how many blocks of the
+A block is a line, or the end of a line with the lines after it in its paragraph, up to the longest template's words on either side, as notices are
+wrapped. A template is found in a block that holds at least CONTAINMENT of its distinct words. Words are ordered by how many blocks of the
 corpus hold them, rarest first. A block that reaches the threshold must share one of the template's rarest words (prefix filter), hold enough template
 words at all (length filter), and have enough of them left behind its first shared word, in the template and in the block (positional filter); what passes
 is compared exactly. Words that stand in no template cannot be shared and are left out of a block before anything is moved.
@@ -60,11 +61,33 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def _blocks(reach: int, fewest: int) -> Column:
+    """(line, words, parts) of each line and each wrapped stretch that starts in it; words of the templates only. parts are the line and what follows, of which
+    neither may hold as much of a template as the stretch."""
+    none = F.expr("CAST(array() AS array<string>)")
+    shape = lambda i, words, parts: F.struct(i.alias("line"), words.alias("words"), parts.alias("parts"))
+
+    def following(i: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), none.alias("words"))
+        # a line without words ends the paragraph, as enough words do
+        more = lambda a, x: F.when(
+            (a["n"] < reach) & (x["n"] > 0), F.struct((a["n"] + x["n"]).alias("n"), F.array_union(a["words"], x["head"]).alias("words"))
+        ).otherwise(F.struct(F.greatest(a["n"], F.lit(reach)).alias("n"), a["words"].alias("words")))
+        return F.aggregate(F.slice("held", i + 2, reach), start, more, lambda a: a["words"])
+
+    lines = F.transform("held", lambda x, i: shape(i, x["own"], F.expr("CAST(array() AS array<array<string>>)")))
+    pairs = F.transform("held", lambda x, i: F.struct(i.alias("line"), x["own"].alias("own"), x["tail"].alias("tail"), F.when(F.size(x["tail"]) > 0, following(i)).otherwise(none).alias("rest")))
+    pairs = F.filter(pairs, lambda x: F.size(F.array_except(x["rest"], x["tail"])) > 0)
+    wrapped = F.transform(pairs, lambda x: shape(x["line"], F.array_union(x["tail"], x["rest"]), F.array(x["own"], x["rest"])))
+    return F.filter(F.concat(lines, wrapped), lambda x: F.size(x["words"]) >= fewest)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices) for every row.
 
     n_base counts all places of the phrases; first_word and last_word are the smallest and largest start, null without one. labels adds those of the
-    templates found; score is 1 for a phrase, else the largest containment found, else 0; notices lists (line, label, containment). A null text is empty: no words,
+    templates found; score is 1 for a phrase, else the largest containment found, else 0; notices lists (line, label, containment), a wrapped one at its
+    first line. A null text is empty: no words,
     no labels, score 0. Rows with the same doc_id and text have the same result, and rows without doc_id are scanned like any other."""
     sizes = {text: len(set(text.split())) for text, _ in templates}
     fewest = min((needed(n, containment) for n in sizes.values()), default=1)
@@ -78,12 +101,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     for k, (phrase, _) in enumerate(phrases):
         rows = rows.withColumn(f"at{k}", _places(F.col("words"), phrase))
     rows = rows.withColumn("places", F.concat(*[F.col(f"at{k}") for k in range(len(phrases))]))
-    shared = F.transform("lines", lambda x, i: F.struct(i.alias("line"), F.array_intersect(held_words, x).alias("words")))
+    reach = max((len(text.split()) for text, _ in templates), default=1)
+    ends = lambda x: (F.slice(x, 1, reach), F.slice(x, F.greatest(F.size(x) - reach + 1, F.lit(1)), reach))
+    rows = rows.withColumn("held", F.transform("lines", lambda x: F.struct(F.size(x).alias("n"), F.array_intersect(held_words, x).alias("own"), *(e.alias(n) for e, n in zip(ends(x), ("head", "tail"))))))
+    rows = rows.withColumn("held", F.transform("held", lambda x: F.struct(x["n"].alias("n"), x["own"].alias("own"), *(F.array_intersect(x["own"], x[n]).alias(n) for n in ("head", "tail")))))
     digest = rows.select(
         "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)])).alias("base"),
-        F.filter(shared, lambda x: F.size(x["words"]) >= fewest).alias("blocks"),
+        _blocks(reach, fewest).alias("blocks"),
     )
     digest = stored(digest, "license-blocks")
     found = notices(digest, templates, containment)
@@ -103,7 +129,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
 
 def notices(digest: DataFrame, templates, containment: float) -> DataFrame:
     """(doc_id, text_hash, line, label, containment) of the blocks that hold a template; blocks hold template words only."""
-    blocks = digest.select("doc_id", "text_hash", F.explode("blocks").alias("b")).select("doc_id", "text_hash", "b.line", "b.words")
+    blocks = digest.select("doc_id", "text_hash", F.explode("blocks").alias("b")).select("doc_id", "text_hash", "b.line", "b.words", "b.parts")
     # one count for each word of the templates: as many rows as the templates have words
     counts = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rank = sorted({w for text, _ in templates for w in text.split()}, key=lambda w: (counts.get(w, 0), w))
@@ -124,6 +150,8 @@ def notices(digest: DataFrame, templates, containment: float) -> DataFrame:
     met = met.withColumn("common", F.array_intersect("template", "ordered"))
     # each block and template once: at the first word that they share
     met = met.filter((F.size("common") >= F.col("need")) & (F.get("common", F.lit(0)) == F.col("token")))
+    # what a line or the lines after it hold alone is found there
+    met = met.filter(F.forall("parts", lambda p: F.size(F.array_intersect("template", p)) < F.size("common")))
     return met.select("doc_id", "text_hash", "line", "label", (F.size("common") / F.col("size")).alias("containment"))
 
 

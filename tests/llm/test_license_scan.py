@@ -57,3 +57,16 @@ def test_notices_name_line_and_share(spark):
     docs = spark.createDataFrame([(1, "first\nthis work is licensed under the gnu general public license version 3 now"), (2, "x")], "doc_id long, text string")
     got = license_scan.scan(docs).filter(F.size("notices") > 0).collect()
     assert [(r["doc_id"], [tuple(n) for n in r["notices"]]) for r in got] == [(1, [(1, "gpl-3", 1.0)])]
+
+
+def test_wrapped_notices(spark):
+    bsd = "Copyright (c) Somebody\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one. */"
+    gpl = "# This program is free software; you\n# can redistribute it and/or modify\n# it under the terms of the GNU\n# General Public License as published"
+    apart = "Released under the MIT\n\nLicense"
+    docs = spark.createDataFrame([(1, bsd), (2, mpl), (3, gpl), (4, apart), (5, "x\n" * 3 + "Released under the MIT License\ny")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    got = {i: (r["labels"], r["score"], [tuple(n) for n in r["notices"] or []]) for i, r in rows.items()}
+    assert got == {
+        1: ("bsd", 1.0, [(2, "bsd", 1.0)]), 2: ("mpl-2.0", 1.0, [(0, "mpl-2.0", 1.0)]), 3: ("gpl", 1.0, [(0, "gpl", 1.0)]), 4: ("", 0.0, []), 5: ("mit", 1.0, [(3, "mit", 1.0)]),
+    }

@@ -27,10 +27,11 @@ PASSES, RATE = 12, 0.1
 # Element names of HTML by what they do to the text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
-    "label nobr".split()
+    "label nobr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mtd semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = "script|style|noscript|template|textarea|select|iframe|svg|canvas|object|button|math|audio|video|datalist"
+DROPPED = "script|style|noscript|template|textarea|select|iframe|svg|canvas|button|audio|video|datalist"
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre search section table ul".split()
@@ -47,7 +48,7 @@ HERE = frozenset("article main content body post entry story text".split())
 AWAY_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?![\w:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 CUE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

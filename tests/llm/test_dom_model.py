@@ -51,6 +51,16 @@ def test_pages_without_an_article(model):
     assert dom_model.main_text("<p>open <a href='x>never closed", model).startswith("open")
 
 
+def test_custom_elements_and_formulas(model):
+    page = """<html><body><nav><a href=x>menu</a></nav><article><h1>Title of the page</h1><p>One paragraph of the article</p><video-js id="v">player text</video-js>
+<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given</p><button-group>pressed</button-group><video src=v>no video</video><button>OK</button>
+<p>See <object data=o><param name=p>the text instead</object> here</p><template-x>of a template</template-x><p>Last paragraph of the article</p></article></body></html>"""
+    assert dom_model.main_text(page, model).split("\n") == [
+        "Title of the page", "One paragraph of the article", "player text", "Let x=2 be given", "pressed", "See the text instead here", "of a template",
+        "Last paragraph of the article",
+    ]
+
+
 def test_every_page_against_its_article(spark, sf):
     """The tables' pages have one article of headings and paragraphs, which a pattern can read."""
     got = {r["page_id"]: r for r in dom_model.op5_html_extraction(spark, sf).collect()}

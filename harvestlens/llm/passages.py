@@ -208,7 +208,18 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extended(mark: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places start a run of PASSAGE_WORDS words that holds a mark and lies in the mark's text, from low up to high."""
+    begin, end = np.maximum(mark - WINDOW + 1, low), np.minimum(mark, high - PASSAGE_WORDS) + 1
+    # a row whose text is not the one the marks were taken from (a repeated doc_id) has fewer words
+    some = begin < end
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, begin[some], 1)
+    np.subtract.at(depth, end[some], 1)
+    return np.flatnonzero(np.cumsum(depth) > 0)
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashes of all runs of PASSAGE_WORDS words that hold a wanted mark, each once a text with the places where it starts. Runs that reach into
     lines that go are left out."""
     for batch in batches:
@@ -220,13 +231,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bound = np.searchsorted(words.text, np.arange(hi - lo + 1))
             text = np.repeat(np.arange(hi - lo), [len(own) for own in wanted[lo:hi]])
             mark = bound[text] + np.array([pos for own in wanted[lo:hi] for pos in own], np.int64)
-            begin, end = np.maximum(mark - WINDOW + 1, bound[text]), np.minimum(mark, bound[text + 1] - PASSAGE_WORDS) + 1
-            # a row whose text is not the one the marks were taken from (a repeated doc_id) has fewer words
-            some = begin < end
-            depth = np.zeros(len(run) + 1, np.int64)
-            np.add.at(depth, begin[some], 1)
-            np.subtract.at(depth, end[some], 1)
-            start = np.flatnonzero(np.cumsum(depth) > 0)
+            start = _extended(mark, bound[text], bound[text + 1], len(run))
             blank = np.isin(words.line, [words.first_line[i] + x for i, own in enumerate(gone[lo:hi]) for x in own or []])
             before = np.concatenate(([0], np.cumsum(blank)))
             start = start[before[start + PASSAGE_WORDS] == before[start]]
@@ -254,7 +259,7 @@ def spliced(docs: DataFrame, gone: DataFrame) -> DataFrame:
     held = left.join(left.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark"), "mark", "left_semi")
     asked = held.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     asked = asked.join(lines.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "doc_id", "left")
-    windows = stored(_texts(docs).join(asked, "doc_id").mapInArrow(_windows, "doc_id long, run long, starts array<int>"), "windows")
+    windows = stored(_texts(docs).join(asked, "doc_id").mapInArrow(_around, "doc_id long, run long, starts array<int>"), "windows")
     shared = windows.groupBy("run").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
     return windows.join(shared, "run").filter("doc_id <> keeper").select("doc_id", "starts", "keeper")
 

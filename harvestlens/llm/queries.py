@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestlens.llm import byte_cnn, caps, chat, dom_model, license_scan, mixing, passages, simhash, tiling, url_rules
+from harvestlens.llm import byte_cnn, caps, chat, dom_model, license_scan, mixing, passages, secrets, simhash, tiling, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_spherical_caps": caps.op9_spherical_caps,
     "op10_quality": byte_cnn.op10_quality,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 # The others fit models, read texts back or follow links through components; their tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.scan_sql(), "op13_secret_scan": secrets.scan_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestlens.llm import byte_cnn, caps, chat, dom_model, license_scan, mixing, passages, secrets, simhash, tiling, token_align, url_rules
+from harvestlens.llm import byte_cnn, caps, chat, dom_model, license_scan, mixing, passages, secrets, simhash, spelling, tiling, token_align, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_spherical_caps": caps.op9_spherical_caps,
     "op10_quality": byte_cnn.op10_quality,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_token_alignment": token_align.op12_token_alignment,
     "op13_secret_scan": secrets.op13_secret_scan,
 }

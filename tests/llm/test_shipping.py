@@ -5,12 +5,12 @@ import subprocess
 import sys
 
 import pytest
-from harvestlens.llm import byte_cnn, caps, chat, dom_model, mixing, passages, secrets, simhash, tiling, token_align
+from harvestlens.llm import byte_cnn, caps, chat, dom_model, mixing, passages, secrets, simhash, spelling, tiling, token_align
 from pyspark import cloudpickle
 
 SENT = [
     simhash._fingerprints, simhash._keyed, simhash._bucket_links, caps._listed, caps._compared, passages._paragraphs, passages._shingle_sets, passages._similar, passages._marks,
-    passages._around, passages._extended, passages._cut_rows, tiling._seeds, tiling._tiled, chat._formatted, chat._read_back, byte_cnn.Scorer, mixing._member, mixing.rates_of, dom_model.main_text, secrets._found, token_align._encoded, token_align._scored,
+    passages._around, passages._extended, passages._cut_rows, tiling._seeds, tiling._tiled, chat._formatted, chat._read_back, byte_cnn.Scorer, mixing._member, mixing.rates_of, dom_model.main_text, secrets._found, spelling._cells, spelling._near, token_align._encoded, token_align._scored,
 ]
 
 

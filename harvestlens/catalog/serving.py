@@ -448,14 +448,26 @@ def _g(c, f):
 query("a45_q17_group_statistics", "variable:s n_0:i n_1:i mean_0:d mean_1:d std_0:d std_1:d median_0:d median_1:d mean_diff:d", " UNION ALL ".join(
     f"""SELECT '{c}' AS variable, count({_g(c, 0)}) AS n_0, count({_g(c, 1)}) AS n_1, avg({_g(c, 0)}) AS mean_0, avg({_g(c, 1)}) AS mean_1, stddev_samp({_g(c, 0)}) AS std_0,
       stddev_samp({_g(c, 1)}) AS std_1, quantile_cont({_g(c, 0)}, 0.5) AS median_0, quantile_cont({_g(c, 1)}, 0.5) AS median_1, avg({_g(c, 1)}) - avg({_g(c, 0)}) AS mean_diff FROM scored""" for c in _COLS))(_compare("groups"))
-query("m16_q17_welch_t", "variable:s t_stat:d df:d", " UNION ALL ".join(
+def _area(density: str, top: str, steps: int = 4000) -> str:
+    """The integral of a density of u from 0 to `top` by Simpson's rule."""
+    return f"""list_sum(list_transform(range({steps} + 1), lambda i: CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * list_transform([i * ({top}) / {steps}], lambda u: {density})[1])) * ({top}) / {3 * steps}"""
+
+
+# the angle whose tangent is t over the root of the degrees of freedom runs over a finite range
+_T_P = f"1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * {_area('power(cos(u), df - 1)', 'atan(abs(t_stat) / sqrt(df))')}"
+_Z_P = f"CASE WHEN z < 0 THEN 1 ELSE 1 - sqrt(2 / pi()) * {_area('exp(-u * u / 2)', 'least(abs(z), 40)')} END"
+_CHI_P = f"1 - exp((1 - dof / 2e0) * ln(2) - lgamma(dof / 2e0)) * {_area('power(u, dof - 1) * exp(-u * u / 2)', 'sqrt(least(chi2, 1500))')}"
+
+
+query("m16_q17_welch_t", "variable:s t_stat:d df:d p_value:d", f"SELECT *, {_T_P} AS p_value FROM (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS variable, (m0 - m1) / sqrt(v0 / n0 + v1 / n1) AS t_stat, power(v0 / n0 + v1 / n1, 2) / (power(v0 / n0, 2) / (n0 - 1) + power(v1 / n1, 2) / (n1 - 1)) AS df
-      FROM (SELECT avg({_g(c, 0)}) AS m0, avg({_g(c, 1)}) AS m1, var_samp({_g(c, 0)}) AS v0, var_samp({_g(c, 1)}) AS v1, count({_g(c, 0)}) AS n0, count({_g(c, 1)}) AS n1 FROM scored) q""" for c in _COLS))(_compare("welch"))
-query("m17_q17_mann_whitney", "variable:s u_stat:d z:d", " UNION ALL ".join(
+      FROM (SELECT avg({_g(c, 0)}) AS m0, avg({_g(c, 1)}) AS m1, var_samp({_g(c, 0)}) AS v0, var_samp({_g(c, 1)}) AS v1, count({_g(c, 0)}) AS n0, count({_g(c, 1)}) AS n1 FROM scored) q""" for c in _COLS) + ") w")(_compare("welch"))
+query("m17_q17_mann_whitney", "variable:s u_stat:d z:d p_value:d", f"SELECT *, {_Z_P} AS p_value FROM (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS variable, u AS u_stat, (greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM (
       SELECT sum(r) FILTER (anomaly_flag = 0) - n0 * (n0 + 1) / 2 AS u, n0, n1, n0 + n1 AS n, (SELECT sum(k * k * k - k) FROM (SELECT count(*)::DOUBLE AS k FROM scored WHERE {c} IS NOT NULL GROUP BY {c}) t) AS ties
       FROM (SELECT anomaly_flag, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r, (SELECT count({_g(c, 0)})::DOUBLE FROM scored) AS n0, (SELECT count({_g(c, 1)})::DOUBLE FROM scored) AS n1
-        FROM scored WHERE {c} IS NOT NULL) p GROUP BY n0, n1) q""" for c in _COLS))(_compare("mann_whitney"))
+        FROM scored WHERE {c} IS NOT NULL) p GROUP BY n0, n1) q""" for c in _COLS) + ") w")(_compare("mann_whitney"))
 query("a41_j11_q17_crosstab", "state_abbr:s n_0:i n_1:i n_total:i pct_0:d pct_1:d",
       """SELECT coalesce(state_abbr, 'All') AS state_abbr, n_0, n_1, n_0 + n_1 AS n_total, n_0 * 1e2 / (n_0 + n_1) AS pct_0, n_1 * 1e2 / (n_0 + n_1) AS pct_1 FROM (
         SELECT state_abbr, count(*) FILTER (anomaly_flag = 0) AS n_0, count(*) FILTER (anomaly_flag = 1) AS n_1 FROM scored GROUP BY ROLLUP (state_abbr)) q""")(_compare("crosstab_state_abbr"))
@@ -463,13 +475,13 @@ query("a41_j11_q17_crosstab", "state_abbr:s n_0:i n_1:i n_total:i pct_0:d pct_1:
 
 def _chi_sql(c, square):
     gap = "abs(o - e) - least(0.5, abs(o - e))" if square else "(o - e)"
-    return f"""SELECT sum(power({gap}, 2) / e) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT f) - 1) AS dof FROM (
+    return f"""SELECT *, {_CHI_P} AS p_value FROM (SELECT sum(power({gap}, 2) / e) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT f) - 1) AS dof FROM (
       SELECT r.a, c.f, coalesce(o, 0)::DOUBLE AS o, r.n * c.n * 1e0 / (SELECT count(*) FROM scored) AS e FROM (SELECT {c} AS a, count(*) AS n FROM scored GROUP BY 1) r
       CROSS JOIN (SELECT anomaly_flag AS f, count(*) AS n FROM scored GROUP BY 1) c
-      LEFT JOIN (SELECT {c} AS a, anomaly_flag AS f, count(*) AS o FROM scored GROUP BY 1, 2) k ON k.a = r.a AND k.f = c.f) q"""
+      LEFT JOIN (SELECT {c} AS a, anomaly_flag AS f, count(*) AS o FROM scored GROUP BY 1, 2) k ON k.a = r.a AND k.f = c.f) q) w"""
 
 
-query("m18_q17_chi_square_states", "chi2:d dof:i", _chi_sql("state_abbr", False))(_compare("chi2_state_abbr"))
-query("m18_q17_chi_square_two_by_two", "chi2:d dof:i", _chi_sql("commodity", True))(_compare("chi2_commodity"))
+query("m18_q17_chi_square_states", "chi2:d dof:i p_value:d", _chi_sql("state_abbr", False))(_compare("chi2_state_abbr"))
+query("m18_q17_chi_square_two_by_two", "chi2:d dof:i p_value:d", _chi_sql("commodity", True))(_compare("chi2_commodity"))
 query("a31_q17_anomaly_share_by_year", "year:i total:i anomalies:i anomaly_pct:d",
       "SELECT year, count(*) AS total, sum(anomaly_flag) AS anomalies, round(sum(anomaly_flag) * 1e2 / count(*), 2) AS anomaly_pct FROM scored GROUP BY year")(_compare("by_year"))

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from harvestlens.functions.tails import chi_square_tail, normal_tail, student_tail
 from harvestlens.operators.ranks import cumulative_counts, percentiles
 
 
-def normal_tail(z: Column) -> Column:
-    """Two-sided normal p-value by a rational approximation (error below 1.5e-7)."""
-    # Coefficients of the published error-function approximation.
-    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    x = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = 1 / (1 + F.lit(p) * x)
-    poly = F.lit(0.0)
-    for c in reversed(a):
-        poly = (poly + F.lit(c)) * t
-    return poly * F.exp(-x * x)
-
-
 def _long(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
     items = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
     rows = df.filter(F.col(flag).isin(0, 1)).select(F.col(flag).cast("int").alias("flag"), F.explode(items).alias("i"))
@@ -44,7 +32,7 @@ def two_group(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
 
 
 def welch_t(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
-    """Unequal-variance t statistic and degrees of freedom (group 0 minus group 1), with a normal p-value."""
+    """Unequal-variance t statistic and degrees of freedom (group 0 minus group 1), with the two-sided p-value."""
     long = _long(df, flag, cols)
     xs = [F.when(F.col("flag") == g, F.col("value")) for g in (0, 1)]
     s = long.groupBy("variable").agg(
@@ -56,7 +44,7 @@ def welch_t(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
     dof = F.try_divide(
         (e0 + e1) * (e0 + e1), e0 * e0 / (F.col("n0") - 1) + e1 * e1 / (F.col("n1") - 1)
     )
-    return s.select("variable", t.alias("t_stat"), dof.alias("df"), normal_tail(t).alias("p_value"))
+    return s.select("variable", t.alias("t_stat"), dof.alias("df"), student_tail(t, dof).alias("p_value"))
 
 
 def mann_whitney(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
@@ -79,7 +67,7 @@ def mann_whitney(df: DataFrame, flag: str, cols: Sequence[str]) -> DataFrame:
     )
     larger = F.greatest(u, F.col("n0") * F.col("n1") - u)
     z = F.try_divide(larger - half - F.lit(0.5), spread)
-    return s.select("variable", u.alias("u_stat"), z.alias("z"), F.least(F.lit(1.0), normal_tail(z)).alias("p_value"))
+    return s.select("variable", u.alias("u_stat"), z.alias("z"), F.when(z < 0, F.lit(1.0)).otherwise(normal_tail(z)).alias("p_value"))
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: Sequence, margins: bool = False, total: str = "All") -> DataFrame:
@@ -101,9 +89,9 @@ def crosstab(df: DataFrame, a: str, b: str, values: Sequence, margins: bool = Fa
 
 
 def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square independence test of two columns; 2×2 tables get the continuity correction.
+    """Chi-square independence test of two columns with its p-value; 2×2 tables get the continuity correction.
 
-    Cells without rows are accounted for through the row and column totals.
+    Cells without rows are accounted for through the row and column totals. One row or column alone has no degrees of freedom and no p-value.
     """
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
         F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("o"))
@@ -120,10 +108,11 @@ def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
     gap = F.max("gap") - F.least(F.lit(0.5), F.max("gap"))
     corrected = gap * gap * F.max(n * F.col("rs.inv") * F.col("cs.inv"))
     square = (F.max("rs.k") == 2) & (F.max("cs.k") == 2)
-    return full.agg(
+    test = full.agg(
         F.when(square, corrected).otherwise(plain).alias("chi2"),
         ((F.max("rs.k") - 1) * (F.max("cs.k") - 1)).alias("dof"),
     )
+    return test.withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("dof")))
 
 
 def year_vs_rest(df: DataFrame, value: str, case_year: int, year="year") -> DataFrame:

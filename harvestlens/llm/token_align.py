@@ -28,8 +28,8 @@ from harvestlens.llm.shared import in_small_batches, stored, table, text_blocks
 TOKENIZERS = "/opt/tokenizers"
 SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Bytes of text in a block of documents, and stretches that a task keeps, before it starts anew.
-BLOCK_BYTES = 16 << 20
-KEPT_STRETCHES = 400_000
+BLOCK_BYTES = 8 << 20
+KEPT_STRETCHES = 250_000
 # Characters of stretches that are encoded in one call.
 CALL = 1 << 15
 B_BITS = 20

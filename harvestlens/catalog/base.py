@@ -215,9 +215,10 @@ def with_tables(sql: str) -> str:
     if not ordered:
         return sql
     parts = ", ".join(f"{n} AS ({_check_table(n)[1].strip()})" for n in ordered)
-    joint = ", " if sql.lstrip().upper().startswith("WITH ") else " "
-    body = sql.lstrip()[5:] if joint == ", " else sql
-    return f"WITH {parts}{joint}{body}"
+    opening = re.match(r"\s*WITH (RECURSIVE )?", sql)
+    if opening:
+        return f"WITH {opening[1] or ''}{parts}, {sql[opening.end():]}"
+    return f"WITH {parts} {sql}"
 
 
 # Tables that several queries share, by session, folder, name and state of the given files.

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Win
 from harvestlens.functions import labels
 from harvestlens.functions.numeric import blend
 from harvestlens.operators import anomalies, features as feats, metrics, splits
+from harvestlens.operators.boosting import BoostFit, kept_to_best
 from harvestlens.session import materialize
 
 # Model settings and blend weights. The row bounds are defaults of parameters.
@@ -45,7 +46,7 @@ class BoostSettings:
     min_rows: int = 20
     row_share: float = 0.8
     feature_share: str = "0.6"
-    tolerance: float = 0.01
+    patience: int = 50
 
 
 def _texts(df: DataFrame, features: Sequence[str]) -> list[str]:
@@ -75,18 +76,28 @@ def fit_rf(df: DataFrame, features, label="yield_amount", s: ForestSettings = Fo
     return Pipeline(stages=[*_stages(features), forest]).fit(prepare(df, features, label))
 
 
-def fit_gbt(
+def fit_boosted(
     df: DataFrame, features, label="yield_amount", row_key=("state_fips", "county_fips", "year", "irrigation"),
     s: BoostSettings = BoostSettings(),
-) -> PipelineModel:
-    """Boosted trees that stop early on a fixed share of held-out rows."""
+) -> BoostFit:
+    """Boosted trees fitted without a fixed share of held-out rows, cut to the round that is best on those."""
     boost = GBTRegressor(
         featuresCol="__features", labelCol=label, predictionCol="prediction", maxIter=s.rounds, maxDepth=s.depth,
-        stepSize=s.step, minInstancesPerNode=s.min_rows, subsamplingRate=s.row_share,
-        featureSubsetStrategy=s.feature_share, validationIndicatorCol="__validation", validationTol=s.tolerance, seed=SEED,
+        stepSize=s.step, minInstancesPerNode=s.min_rows, subsamplingRate=s.row_share, featureSubsetStrategy=s.feature_share, seed=SEED,
     )
-    rows = splits.validation_rows(prepare(df, features, label), VALIDATION_SHARE, row_key, "__validation")
-    return Pipeline(stages=[*_stages(features), boost]).fit(rows)
+    rows = materialize(splits.validation_rows(prepare(df, features, label), VALIDATION_SHARE, row_key, "__validation"))
+    learned = rows.filter("NOT __validation")
+    if not learned.head(1):
+        learned = rows  # too few rows to hold any out
+    return kept_to_best(Pipeline(stages=[*_stages(features), boost]).fit(learned), rows.filter("__validation"), s.patience)
+
+
+def fit_gbt(
+    df: DataFrame, features, label="yield_amount", row_key=("state_fips", "county_fips", "year", "irrigation"),
+    s: BoostSettings = BoostSettings(),
+) -> PipelineModel:
+    """The model of `fit_boosted`."""
+    return fit_boosted(df, features, label, row_key, s).model
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestlens.llm.shared import in_small_batches, table, text_blocks
+from harvestlens.llm.shared import in_small_batches, quoted, set_aside, table, text_blocks
 
 WIDTH, FILTERS, DEPTH = 6, 24, 4
 SEGMENT = 128
@@ -211,7 +211,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All columns of `docs` with `held_out`, `score` and `predicted`.
 
     Null and empty texts get the score of a text without bytes. A row without doc_id is held out: it has no label. Nothing but the text
-    enters a score, so repeated texts score alike. Columns of these three names are replaced. Without labels every score is one half."""
+    enters a score, so repeated texts score alike. Columns of these three names are replaced, others may have any name. Without labels every score is one half."""
     net = train(*training_rows(docs, labels))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,17 +221,16 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             rest = batch.select([n for n in batch.schema.names if n != "_bytes"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], names=[*rest.schema.names, "score"])
 
-    own = docs.drop("held_out", "score", "predicted")
-    given = own.withColumn("_bytes", F.col("text").cast("string"))
+    own, given = set_aside(docs.drop("held_out", "score", "predicted"), "doc_id", "text")
     shape = own.withColumn("score", F.lit(0.0)).schema
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % FOLDS == 0, F.lit(True))
-    out = in_small_batches(given).mapInArrow(scored, shape).withColumn("held_out", held)
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = in_small_batches(own.withColumn("_bytes", F.col("text").cast("string"))).mapInArrow(scored, shape)
+    return out.select(*given, held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    return score_documents(docs, labels).filter("predicted = 1").select(docs.columns)
+    return score_documents(docs, labels).filter("predicted = 1").select([quoted(c) for c in docs.columns])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from harvestlens.llm.buckets import bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
-from harvestlens.llm.shared import groups, in_small_batches, stored, table, text_blocks
+from harvestlens.llm.shared import groups, in_small_batches, quoted, set_aside, stored, table, text_blocks
 from harvestlens.llm.words import LOWER, edges, mixed, runs, split_words
 
 SHINGLE = 5
@@ -341,14 +341,14 @@ def cleaned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     passages were cut within other lines) and `keepers` (the documents that keep what went).
 
     Rows without doc_id, null and empty texts stay as they are, with empty lists. Rows that repeat a doc_id are one document: paragraphs that go from it go from each.
-    Columns named `removed`, `cuts` or `keepers` are replaced."""
+    Columns named `removed`, `cuts` or `keepers` are replaced; others may have any name."""
     gone = stored(repeated(docs, similarity), "gone")
     spans = stored(spliced(docs, gone), "spans")
     by_line = gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_set("keeper").alias("a"))
     by_span = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("_spans"), F.collect_set("keeper").alias("b"))
     marks = by_line.join(by_span, "doc_id", "full").withColumnRenamed("doc_id", "_id")
     none = "CAST(array() AS array<{}>)"
-    own = docs.drop("removed", "cuts", "keepers").withColumn("text", F.col("text").cast("string"))
+    own, given = set_aside(docs.drop("removed", "cuts", "keepers").withColumn("text", F.col("text").cast("string")), "doc_id", "text")
     both = own.join(marks, F.col("doc_id").cast("long") == F.col("_id"), "left").select(
         *[F.col(c) for c in own.columns], F.sort_array(F.coalesce("lines", F.expr(none.format("int")))).alias("removed"), "_spans",
         F.sort_array(F.array_union(F.coalesce("a", F.expr(none.format("bigint"))), F.coalesce("b", F.expr(none.format("bigint"))))).alias("keepers"),
@@ -356,7 +356,7 @@ def cleaned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     others = [f for f in both.schema.fields if f.name not in ("text", "_spans")]
     shape = StructType([*others, StructField("text", StringType()), StructField("cuts", IntegerType())])
     out = in_small_batches(both).mapInArrow(_cut_rows, shape)
-    return out.select(*own.columns, "removed", "cuts", "keepers")
+    return out.select(*given, "removed", "cuts", "keepers")
 
 
 def keep_rest(docs: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def keep_rest(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         count = F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         left = left.withColumn("n_chars", count)
-    return left.select(docs.columns)
+    return left.select([quoted(c) for c in docs.columns])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

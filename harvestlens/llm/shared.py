@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harvestlens.session import fresh_folder
 
@@ -26,6 +26,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """The same rows with the columns that an operator does not use under names that it does not use either, and all columns as they were, to select at the end.
+    So a caller's column may be called whatever an operator calls its own."""
+    own = {c.lower() for c in used}
+    kept = [c for c in df.columns if c.lower() in own]
+    others = {c: f"__own_{i}" for i, c in enumerate(c for c in df.columns if c.lower() not in own)}
+    plain = df.select(*[quoted(c) for c in kept], *[quoted(c).alias(n) for c, n in others.items()])
+    return plain, [F.col(others[c]).alias(c) if c in others else quoted(c) for c in df.columns]
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """The same rows, for a Python function over whole texts: Arrow batches of BATCH_ROWS rows, unless the session was started with a size of its own."""
     spark = df.sparkSession

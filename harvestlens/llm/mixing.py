@@ -1,29 +1,30 @@
 """Mixing sources to target weights by soft domain membership.
 
 A softmax classifier, trained on a labelled table, gives each document its domain posteriors. A document's tokens then count for each domain by its posterior, and
-nonnegative rates, one a document, are fitted so that the expected tokens of each domain meet the targets: least squares by projected gradient steps, from
-rates of one. A step takes the gradient at the domain totals, whitened by the domains' Gram matrix, which makes one the right step size, and steps gather momentum (Nesterov). Documents hold no state: a
-rate follows from the posteriors and the few gradients so far, so each step is one pass over a narrow table that sums, and a lost executor costs
-its own tasks only.
+nonnegative rates, one a document, are fitted so that the expected tokens of each domain meet the targets: least squares of the domain totals by projected gradient
+steps from rates of one, each along the gradient at its own end. Documents hold no state: a rate follows from the posteriors and the few steps so far, so
+a step is some passes over a narrow table that sum, and a lost executor costs its own tasks only. Texts are scored once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from harvestlens.llm.shared import in_small_batches, stored, table, text_blocks
+from harvestlens.llm.shared import in_small_batches, quoted, set_aside, stored, table, text_blocks
 
 # Shares of the expected tokens that each domain is to have; domains are languages here.
 TARGETS = {"de": 0.2, "en": 0.5, "es": 0.1, "fr": 0.2}
 # The classifier reads this many labelled documents of each domain at most, none longer than TRAIN_BYTES.
 TRAIN_ROWS, TRAIN_BYTES = 400, 32768
 BUCKETS = 1024
-STEPS, TOLERANCE = 100, 1e-7
+# How near steps stay, one after another; Newton iterations of a step at most, and the lengths that one looks at.
+NEARNESS, ITERATIONS, LENGTHS, TOLERANCE = (1e-2, 1e-3, 1e-4, 1e-5, 1e-6, 1e-7, 1e-8), 40, (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4), 1e-7
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +95,12 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], row
     return train([r["text"].encode() for r in got], np.array([domains.index(r["domain"]) for r in got], np.int64), len(domains))
 
 
-def rates_of(share: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The rate of each document after the given steps, and where the next step sets out from."""
-    rate, before = np.ones(len(share)), np.ones(len(share))
-    ahead = rate
-    for k, step in enumerate(steps, 1):
-        before, rate = rate, np.maximum(0, ahead - share @ step)
-        ahead = rate + k / (k + 3) * (rate - before)
-    return rate, ahead
+def rates_of(share: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """The rate of each document after the given steps."""
+    rate = np.ones(len(share))
+    for step in steps:
+        rate = np.maximum(0, rate - share @ step)
+    return rate
 
 
 def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
@@ -109,94 +108,108 @@ def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(-1, width)
 
 
-def _totals(held: DataFrame, width: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at the rates after the steps, and at the place the next step sets out from."""
+def measured(share: np.ndarray, words: np.ndarray, steps: list[np.ndarray], ends: Sequence[np.ndarray]) -> np.ndarray:
+    """For each way to end a next step: expected tokens of each domain, the Gram matrix of the documents whose rates stay above zero, and the squares of the rates,
+    all weighted by words; a row each."""
+    rate = rates_of(share, steps)
+    out = []
+    for end in ends:
+        left = np.maximum(0, rate - share @ end)
+        gram = share.T @ (share * (words * (left > 0))[:, None])
+        out.append(np.concatenate([(words * left) @ share, gram.ravel(), [words @ (left * left)]]))
+    return np.stack(out)
+
+
+def _added(held: DataFrame, width: int, shape: tuple[int, int], part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all documents of a small matrix of domains; each task sends one, and they are added by cell."""
+    size = shape[0] * shape[1]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * width)
+        total = np.zeros(shape)
         for batch in batches:
-            share = _matrix(batch, "share", width)
-            words = batch.column(batch.schema.get_field_index("words")).to_numpy()
-            total += np.concatenate([(share * (r * words)[:, None]).sum(axis=0) for r in rates_of(share, steps)])
-        yield pa.RecordBatch.from_arrays([pa.array(range(2 * width), pa.int32()), pa.array(total)], names=["cell", "tokens"])
+            total += part(_matrix(batch, "share", width), batch.column(batch.schema.get_field_index("words")).to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total.ravel())], names=["cell", "value"])
 
-    rows = held.select("words", "share").mapInArrow(summed, "cell int, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()
-    out = np.zeros(2 * width)
-    for r in rows:
-        out[r["cell"]] = r["tokens"]
-    return out[:width], out[width:]
+    out = np.zeros(size)
+    for r in held.select("words", "share").mapInArrow(summed, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+        out[r["cell"]] = r["value"]
+    return out.reshape(shape)
 
 
-def fit_steps(held: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
-    """The steps that lead to the rates: as many as it takes to meet the targets or to stand still, STEPS at most."""
-    width = len(targets)
+def fit_rates(added: Callable, targets: np.ndarray) -> list[np.ndarray]:
+    """The projected gradient steps that lead to the rates with the least squared miss of the domain totals.
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            share = _matrix(batch, "share", width)
-            total += share.T @ (share * batch.column(batch.schema.get_field_index("words")).to_numpy()[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(range(width * width), pa.int32()), pa.array(total.ravel())], names=["cell", "value"])
-
-    cells = held.select("words", "share").mapInArrow(gram, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    whole = np.zeros(width * width)
-    for r in cells:
-        whole[r["cell"]] = r["value"]
-    whole = whole.reshape(width, width)
-    total = whole.sum()
+    `added(shape, part)` sums part(share, words) over all documents. A step goes along the gradient at its own end, 1 / d times as far, and stops at zero where a rate would
+    fall below: it is the least squared miss plus d / 2 times the squared way, so it never overshoots however small d is, and small d leave a miss that is least up to d
+    times the squared way. The end is told by its domain totals alone, so it is found by Newton's method in as many numbers as there are domains, and each
+    iteration is one pass that looks at a few lengths at once."""
+    width = len(targets)
+    shape = (len(LENGTHS), width + width * width + 1)
+    steps: list[np.ndarray] = []
+    start = added((1, shape[1]), lambda share, words: measured(share, words, steps, [np.zeros(width)]))[0]
+    total = start[width:-1].sum()  # posteriors add up to one, and so do their products
     if total <= 0:
         return []
-    back = np.linalg.pinv(whole / total, rcond=1e-9, hermitian=True)
-    steps: list[np.ndarray] = []
-    last = None
-    while len(steps) < STEPS:
-        now, ahead = _totals(held, width, steps)
-        size = float(np.abs(now / total - targets).sum())
-        if size < TOLERANCE or (last is not None and abs(last - size) < 1e-4 * TOLERANCE):
+    for d in NEARNESS:
+        miss, end = start[:width] / total - targets, np.zeros(width)
+        if np.abs(miss).sum() < TOLERANCE:
             break
-        steps.append(back @ (ahead / total - targets))
-        last = size
+        at, least = start, start[-1] / total / 2
+        for _ in range(ITERATIONS):
+            # the step ends where d times `end` is the miss there
+            slope = d * end - (at[:width] / total - targets)
+            if np.abs(slope).max() < TOLERANCE / 100:
+                break
+            way = np.linalg.solve(at[width:-1].reshape(width, width) / total + d * np.eye(width), slope)
+            ends = [end - size * way for size in LENGTHS]
+            seen = added(shape, lambda share, words: measured(share, words, steps, ends))
+            height = [d / 2 * float(e @ e) + float(targets @ e) + x[-1] / total / 2 for e, x in zip(ends, seen)]
+            best = int(np.argmin(height))
+            if height[best] >= least:
+                break
+            end, at, least = ends[best], seen[best], height[best]
+        if ((at[:width] / total - targets) ** 2).sum() > miss @ miss:
+            break  # beyond what the arithmetic resolves
+        steps = [*steps, end]
+        start = at
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """All columns of `docs` with words, posteriors (a map by domain) and rate: how often the document is to be taken on average.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, columns: list[str] | None = None) -> DataFrame:
+    """All columns of `docs`, or those in `columns`, with words, posteriors (a map by domain) and rate: how often the document is to be taken on average.
 
     The rates times words times posteriors add up to targets (scaled to one) times all words, as far as nonnegative rates can. A null or empty text has no words; its
-    rate follows from its posteriors all the same. Rows that repeat are documents of their own. Columns with these three names are replaced. Without labelled
+    rate follows from its posteriors all the same. Rows that repeat are documents of their own. Columns with these three names are replaced, others may have any name. Without labelled
     documents the posteriors are all alike; an empty table gives no rows."""
     domains = sorted(targets)
     goal = np.array([targets[d] for d in domains], float)
     goal = goal / goal.sum()
     weights = fit_classifier(docs, labelled, domains)
     width = len(domains)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    own = docs if columns is None else docs.select([quoted(c) for c in columns])
+    own, given = set_aside(docs.select(*[quoted(c) for c in own.drop("words", "posteriors", "rate").columns], F.col("text").cast("string").alias("_bytes")), "_bytes")
+    more = [StructField("words", LongType()), StructField("share", ArrayType(DoubleType()))]
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, share = _member(batch, "text", weights)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words), pa.ListArray.from_arrays(pa.array(np.arange(0, share.size + 1, width, dtype=np.int32)), pa.array(share.ravel()))], names=["words", "share"]
-            )
+            words, share = _member(batch, "_bytes", weights)
+            rest = batch.select([n for n in batch.schema.names if n != "_bytes"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, share.size + 1, width, dtype=np.int32)), pa.array(share.ravel()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(words), lists], names=[*rest.schema.names, "words", "share"])
 
-    steps = fit_steps(stored(in_small_batches(texts).mapInArrow(member, "words long, share array<double>"), "posteriors"), goal)
-    own = docs.drop("words", "posteriors", "rate")
+    # written once with the documents' columns: the steps read the two narrow columns, the result all
+    scored = stored(in_small_batches(own).mapInArrow(member, StructType([*own.drop("_bytes").schema.fields, *more])), "posteriors")
+    steps = fit_rates(partial(_added, scored, width), goal)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, share = _member(batch, "_bytes", weights)
-            rest = batch.select([n for n in batch.schema.names if n != "_bytes"])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, share.size + 1, width, dtype=np.int32)), pa.array(share.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(words), lists, pa.array(rates_of(share, steps)[0])], names=[*rest.schema.names, "words", "share", "rate"]
-            )
-
-    more = [StructField("words", LongType()), StructField("share", ArrayType(DoubleType())), StructField("rate", DoubleType())]
-    shape = StructType([*own.schema.fields, *more])
-    out = own.withColumn("_bytes", F.col("text").cast("string"))
-    out = in_small_batches(out).mapInArrow(rated, shape)
+            rate = rates_of(_matrix(batch, "share", width), steps)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
+
+    shape = StructType([*scored.schema.fields, StructField("rate", DoubleType())])
+    out = in_small_batches(scored).mapInArrow(rated, shape)
     by_domain = F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), F.col("share")).alias("posteriors")
-    return out.select(*own.columns, "words", by_domain, "rate")
+    return out.select(*given[:-1], "words", by_domain, "rate")
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,5 +220,5 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = mix(docs.select("doc_id", "text"), labelled_languages(docs, labels))
+    out = mix(docs, labelled_languages(docs, labels), columns=["doc_id"])
     return out.select("doc_id", "words", *[F.col("posteriors")[d].alias(f"p_{d}") for d in sorted(TARGETS)], "rate")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from harvestlens.catalog.base import PREDICT_FROM, TEST_FROM, check_table, region_sql
@@ -9,9 +11,10 @@ from harvestlens.catalog.counties import KEY, KEYS, _OUTCOME
 from harvestlens.catalog.registry import query
 from harvestlens.functions.regions import region_table
 from harvestlens.operators import (
-    anomalies, comparisons, correlations, features, geo, grouping, lookup, metrics, reports, splits,
+    anomalies, comparisons, correlations, features, geo, grouping, lookup, metrics, reports, sketches, splits,
 )
 from harvestlens.plans import dashboards, studies
+from harvestlens.session import materialize
 
 # ---- history and predictions
 
@@ -411,6 +414,33 @@ def _(b):
     return wide.select("year", F.col("n_Corn").alias("Corn"), F.col("n_Soybeans").alias("Soybeans"))
 
 
+@query("a24_a46_merged_quantiles", "level:s event_type:s n:i least:d most:d mean:d in_bounds:b", """SELECT 'event_type' AS level, event_type, count(value) AS n, min(value) AS least, max(value) AS most, avg(value) AS mean, true AS in_bounds
+  FROM events GROUP BY event_type UNION ALL SELECT 'all', NULL, count(value), min(value), max(value), avg(value), true FROM events""")
+def _(b):
+    """Sketches of each type and day, stored, and two levels of them merged; in_bounds compares the quantiles' true ranks with the stated error."""
+    probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+    rows = b.table("events")
+    finest = materialize(sketches.value_sketches(rows.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value"))
+    levels = materialize(sketches.value_levels(finest, [["event_type"], []], probs))
+    each = F.array(F.struct(F.lit("event_type").alias("level"), "event_type"), F.struct(F.lit("all").alias("level"), F.lit(None).cast("string").alias("event_type")))
+    long = rows.filter("value IS NOT NULL").select("value", F.explode(each).alias("g")).select("value", F.col("g.level").alias("l"), F.col("g.event_type").alias("t"))
+    met = long.join(levels, (F.col("l") == F.col("level")) & F.col("t").eqNullSafe(F.col("event_type")))
+    ranks = met.groupBy("l", "t").agg(*[F.avg((F.col("value") < F.col(p)).cast("int")).alias(f"lt_{p}") for p in probs], *[F.avg((F.col("value") <= F.col(p)).cast("int")).alias(f"le_{p}") for p in probs])
+    error = sketches.rank_error()
+    held = reduce(lambda x, y: x & y, [(F.col(f"lt_{p}") - error <= share) & (F.col(f"le_{p}") + error >= share) for p, share in probs.items()])
+    return levels.join(ranks.select("l", "t", held.alias("in_bounds")), (F.col("l") == F.col("level")) & F.col("t").eqNullSafe(F.col("event_type")))
+
+
+@query("a48_merged_distinct", "year:i n_stations:i near:b", "SELECT year(date) AS year, count(DISTINCT station) AS n_stations, true AS near FROM wx GROUP BY year(date)")
+def _(b):
+    """Sketches of each month, stored and united by year, beside the exact count."""
+    rows = b.weather.select("station", F.year("date").alias("year"), F.month("date").alias("month"))
+    monthly = materialize(sketches.distinct_sketches(rows, ["year", "month"], ["station"]))
+    about = sketches.merged_distinct(monthly, ["year"]).withColumnRenamed("n_distinct", "about")
+    exact = grouping.distinct_count(rows, ["station"], ["year"]).withColumnRenamed("n_distinct", "n_stations")
+    return exact.join(about, "year").withColumn("near", F.abs(F.col("about") - F.col("n_stations")) <= 4 * sketches.distinct_error() * F.col("n_stations") + 0.5)
+
+
 @query("a48_distinct_by_group", "state_abbr:s n_distinct:i", "SELECT state_abbr, count(DISTINCT county_name) AS n_distinct FROM merged GROUP BY state_abbr")
 def _(b):
     return grouping.distinct_count(b.merged, ["county_name"], ["state_abbr"])

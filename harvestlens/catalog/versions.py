@@ -14,11 +14,11 @@ from harvestlens.catalog.base import TABLES, TEST_FROM, Base
 from harvestlens.catalog.counties import KEY
 from harvestlens.catalog.registry import query
 from harvestlens.functions.text import geoid
-from harvestlens.operators import changes, grouping
+from harvestlens.operators import changes, daily, grouping
 from harvestlens.plans import studies
 from harvestlens.session import fresh_folder
-from harvestlens.sources import artifacts, files, snapshots, tables
-from harvestlens.streaming import jobs
+from harvestlens.sources import artifacts, files, partitions, snapshots, tables
+from harvestlens.streaming import jobs, keyed
 
 ORDER = "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderpriority:s"
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
@@ -264,6 +264,29 @@ def _(b):
     return b.spark.read.parquet(packed)
 
 
+@query("s26_compaction_by_size", ORDER + " sizes_hold:b", f"SELECT *, true AS sizes_hold FROM ({ORDERS}) q")
+def _(b):
+    scattered, packed, target = _folder(b, "uneven"), _folder(b, "even"), 64 << 10
+    _orders(b).repartition(24, F.col("o_custkey") % 5).write.parquet(scattered)
+    partitions.compact_to_size(b.spark, scattered, packed, target)
+    rows = b.spark.read.parquet(packed)
+    sizes = rows.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.max("file_size").alias("most"), F.min("file_size").alias("least"), F.count(F.lit(1)).alias("n"))
+    hold = sizes.select(((F.col("most") <= 2 * target) & ((F.col("least") >= target / 2) | (F.col("n") == 1))).alias("h")).scalar()
+    return rows.withColumn("sizes_hold", hold)
+
+
+@query("s21_upsert_by_partition", "o_orderkey:i o_totalprice:d year:i", """SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1996 AND o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, year(o_orderdate) AS year FROM orders
+  UNION ALL SELECT o_orderkey + 100000000, o_totalprice, 1997 FROM orders WHERE year(o_orderdate) = 1997 AND o_orderkey % 50 = 0""")
+def _(b):
+    path = _folder(b, "by-year")
+    rows = b.table("orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    rows.write.partitionBy("year").parquet(path)
+    changed = rows.filter("year = 1996 AND o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    new = rows.filter("year = 1997 AND o_orderkey % 50 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100000000)
+    partitions.upsert_partitions(b.spark, path, changed.unionByName(new), ["o_orderkey", "year"], ["year"])
+    return b.spark.read.parquet(path)
+
+
 @query("s27_trend_and_baseline_artifacts", "commodity:s kind:s key:s a:d3 b:d", """SELECT commodity, 'trend' AS kind, state_abbr AS key, intercept AS a, slope AS b FROM trend_lines
   UNION ALL SELECT commodity, 'state', state_abbr, quantile_cont(yield_amount, 0.5), NULL FROM merged GROUP BY commodity, state_abbr
   UNION ALL SELECT commodity, 'county', state_fips || '-' || county_fips, quantile_cont(yield_amount, 0.5), NULL FROM merged GROUP BY commodity, state_fips, county_fips""")
@@ -318,6 +341,61 @@ def _(b):
     return jobs.upserted(first, b.spark.read.parquet(out), ["user_id"], order)
 
 
+@query("r03_stream_to_memory", "event_type:s n:i cents:i", """SELECT event_type, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents FROM events GROUP BY event_type""")
+def _(b):
+    """The memory sink holds as many rows as there are types of events."""
+    name = _name("by_type")
+    grouped = _events(b).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
+    _finish(jobs.stream_to_memory(grouped, name, "complete"))
+    return b.spark.table(name)
+
+
+def _by_time(b: Base, parts: int) -> list:
+    """The events in `parts` spans of time, one after another."""
+    rows = b.table("events")
+    ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    seconds = lambda t: F.unix_timestamp(F.col("ts").cast("timestamp")) - int(t.timestamp())
+    place = F.least(F.floor(seconds(ends["a"]) * parts / max(int((ends["z"] - ends["a"]).total_seconds()), 1)), F.lit(parts - 1))
+    return [rows.filter(place == k) for k in range(parts)]
+
+
+@query("r05_update_mode_table", "id:i n:i cents:i least:d", """SELECT user_id % 10 AS id, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents, min(value) AS least
+  FROM events GROUP BY user_id % 10""")
+def _(b):
+    source, out, ckpt, folded = (_folder(b, n) for n in ("update-src", "update", "update-ckpt", "update-fold"))
+    measures = {"n": F.count(F.lit(1)), "cents": F.sum(F.round(F.col("value") * 100).cast("bigint")), "least": F.min("value")}
+    # two starts of two batches each: the second goes on from the state of the first
+    for k in (0, 1):
+        b.table("events").filter(F.col("event_id") % 2 == k).repartition(2, "event_id").write.mode("append").parquet(source)
+        stream = jobs.stream_files(b.spark, source, b.schema("events"), files_per_batch=1)
+        _finish(keyed.stream_keyed(stream, [(F.col("user_id") % 10).alias("id")], measures, out, ckpt))
+    return keyed.fold_batches(b.spark, out, ["id"], 1, folded)
+
+
+@query("r04_repeated_events", _EVENT, "SELECT * FROM events")
+def _(b):
+    """The second of four spans is delivered twice, in two batches; each event is written once."""
+    source, out, ckpt = (_folder(b, n) for n in ("again-src", "again", "again-ckpt"))
+    spans = _by_time(b, 4)
+    for k in (0, 1, 1, 2, 3):
+        spans[k].coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.stream_files(b.spark, source, b.schema("events"), files_per_batch=1)
+        _finish(jobs.stream_append(keyed.once(stream, ["event_id"], "ts", "2 days"), out, ckpt))
+    return b.spark.read.parquet(out)
+
+
+@query("r04_upsert_of_repeated_events", _EVENT, """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) q WHERE k = 1""")
+def _(b):
+    source, out, ckpt, order = _folder(b, "twice-src"), _folder(b, "twice"), _folder(b, "twice-ckpt"), ["ts", "event_id"]
+    spans = _by_time(b, 3)
+    for k in (0, 1, 1, 2):
+        spans[k].coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.stream_files(b.spark, source, b.schema("events"), files_per_batch=1)
+        _finish(jobs.stream_upsert(keyed.once(stream, ["event_id"], "ts", "2 days"), out, ckpt, ["user_id"], order))
+    changed = b.spark.read.parquet(out)
+    return jobs.upserted(changed.drop("batch").limit(0), changed, ["user_id"], order)
+
+
 @query("r06_stream_of_changes", ORDER + " _change_type:s _commit_version:i", _FEED)
 def _(b):
     base, feed, out = _versioned(b), _folder(b, "feed"), _folder(b, "feed-out")
@@ -355,6 +433,23 @@ def _(b):
     return jobs.last_batch(b.spark, out)
 
 
+@query("r08_w11_stream_dry_runs", "station:s year:i longest_run_days:i run_start:s", """WITH d AS (SELECT station, date, year(date) AS year, sum(precipitation) AS rain FROM wx WHERE precipitation >= 0 GROUP BY station, date),
+  dry AS (SELECT *, date - cast(row_number() OVER (PARTITION BY station, year ORDER BY date) AS int) AS island FROM d WHERE rain = 0),
+  runs AS (SELECT station, year, island, count(*) AS days, min(date) AS start FROM dry GROUP BY station, year, island)
+  SELECT station, year, days AS longest_run_days, cast(start AS string) AS run_start FROM
+    (SELECT *, row_number() OVER (PARTITION BY station, year ORDER BY days DESC, start) AS k FROM runs) q WHERE k = 1""")
+def _(b):
+    """Observations come in three spans of years; a last one of another station, long after, lets the watermark pass every run."""
+    source, out, ckpt = (_folder(b, n) for n in ("runs-src", "runs", "runs-ckpt"))
+    seen = daily.daily_units(b.weather).select("station", "date", "precip_mm")
+    after = seen.agg(F.date_add(F.max("date"), 400).alias("date")).select(F.lit("after").alias("station"), "date", F.lit(1.0).alias("precip_mm"))
+    for part in (seen.filter("year(date) < 1995"), seen.filter("year(date) BETWEEN 1995 AND 1996"), seen.filter("year(date) > 1996"), after.filter("date IS NOT NULL")):
+        part.write.mode("append").parquet(source)
+        stream = jobs.stream_files(b.spark, source, seen.schema)
+        _finish(jobs.stream_append(keyed.stream_runs(stream, F.col("precip_mm") == 0, "precip_mm"), out, ckpt))
+    return keyed.longest_by_year(b.spark.read.parquet(out))
+
+
 @query("r08_stream_windows", "day:s event_type:s n:i cents:i", """SELECT cast(cast(ts AS date) AS string) AS day, event_type, count(*) AS n, cast(sum(round(value * 100)) AS bigint) AS cents
   FROM events GROUP BY 1, 2""")
 def _(b):

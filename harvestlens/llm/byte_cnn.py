@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestlens.llm.shared import in_small_batches, quoted, set_aside, table, text_blocks
+from harvestlens.llm.shared import in_small_batches, set_aside, table, text_blocks
 
 WIDTH, FILTERS, DEPTH = 6, 24, 4
 SEGMENT = 128
@@ -229,8 +229,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with their own columns."""
-    return score_documents(docs, labels).filter("predicted = 1").select([quoted(c) for c in docs.columns])
+    """The documents that the classifier does not reject, with their own columns, whatever their names."""
+    plain, given = set_aside(docs, "doc_id", "text")
+    return score_documents(plain, labels).filter("predicted = 1").select(*given)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,8 +186,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     goal = goal / goal.sum()
     weights = fit_classifier(docs, labelled, domains)
     width = len(domains)
-    own = docs if columns is None else docs.select([quoted(c) for c in columns])
-    own, given = set_aside(docs.select(*[quoted(c) for c in own.drop("words", "posteriors", "rate").columns], F.col("text").cast("string").alias("_bytes")), "_bytes")
+    made = {"words", "posteriors", "rate"}
+    wanted = [c for c in (docs.columns if columns is None else columns) if c.lower() not in made]
+    own, given = set_aside(docs.select(*[quoted(c) for c in dict.fromkeys([*wanted, "text"])]), "text")
+    given = given[: len(wanted)]
+    own = own.withColumn("_bytes", F.col("text").cast("string"))
+    if "text" not in wanted:
+        own = own.drop("text")
     more = [StructField("words", LongType()), StructField("share", ArrayType(DoubleType()))]
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +214,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     shape = StructType([*scored.schema.fields, StructField("rate", DoubleType())])
     out = in_small_batches(scored).mapInArrow(rated, shape)
     by_domain = F.map_from_arrays(F.array(*[F.lit(d) for d in domains]), F.col("share")).alias("posteriors")
-    return out.select(*given[:-1], "words", by_domain, "rate")
+    return out.select(*given, "words", by_domain, "rate")
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from harvestlens.llm.buckets import bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
-from harvestlens.llm.shared import groups, in_small_batches, quoted, set_aside, stored, table, text_blocks
+from harvestlens.llm.shared import groups, in_small_batches, set_aside, stored, table, text_blocks
 from harvestlens.llm.words import LOWER, edges, mixed, runs, split_words
 
 SHINGLE = 5
@@ -360,13 +360,15 @@ def cleaned(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def keep_rest(docs: DataFrame) -> DataFrame:
-    """Documents with what is left of their texts and n_chars counted anew; those of which nothing but white space is left go."""
+    """Documents with what is left of their texts and n_chars counted anew; those of which nothing but white space is left go. All other columns stay as they are,
+    whatever their names."""
+    plain, given = set_aside(docs, "doc_id", "text", "n_chars")
     touched = (F.size("removed") > 0) | (F.col("cuts") > 0)
-    left = cleaned(docs).filter(~touched | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        count = F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    left = cleaned(plain).filter(~touched | F.col("text").rlike(r"\S"))
+    if "n_chars" in plain.columns:
+        count = F.when(touched, F.length("text").cast(plain.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         left = left.withColumn("n_chars", count)
-    return left.select([quoted(c) for c in docs.columns])
+    return left.select(*given)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from harvestlens.llm.buckets import bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
 from harvestlens.llm.golay import decode, near_indices
-from harvestlens.llm.shared import groups, in_small_batches, spread, stored, table, text_blocks
+from harvestlens.llm.shared import groups, in_small_batches, quoted, spread, stored, table, text_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id. Rows that repeat a doc_id are one document
     and share its fate; rows without doc_id stay."""
     marked = near_duplicates(docs).select("doc_id", "component_id").filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(marked, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(marked, "doc_id", "left_anti").select([quoted(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

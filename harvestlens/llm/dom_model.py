@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, log
@@ -31,7 +33,10 @@ INLINE = frozenset(
     "mmultiscripts mprescripts none mtable mtr mtd semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = "script|style|noscript|template|textarea|select|iframe|svg|canvas|button|audio|video|datalist"
+# What these hold is no text of the page: of the first up to the end tag whatever stands there, of the others all that is inside them. The third may hold their like.
+RAW = frozenset("script style textarea".split())
+DROPPED = frozenset("noscript template select iframe svg canvas button audio video datalist".split())
+NESTING = frozenset("noscript template svg".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre search section table ul".split()
@@ -47,10 +52,7 @@ AWAY = frozenset(
 HERE = frozenset("article main content body post entry story text".split())
 AWAY_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?![\w:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 CUE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -75,12 +77,103 @@ def _cues(tag: str, attributes: str) -> tuple[bool, bool]:
     return away, here and not away
 
 
+@dataclass
+class Tag:
+    """A tag, a comment or a raw element of a page from `start` to `end`; comments and what is dropped have no name."""
+
+    start: int
+    end: int
+    name: str = ""
+    ends: bool = False
+    attributes: str = ""
+
+
+def _raw_end(page: str, low: str, tag: Tag, closes: list[int]) -> int:
+    """Where a raw element ends: behind its end tag, or with the page. One written as empty ends at once if another begins before any end tag."""
+    place = bisect_left(closes, tag.end)
+    close = closes[place] if place < len(closes) else -1
+    if tag.attributes.rstrip().endswith("/") and (close < 0 or low.find(f"<{tag.name}", tag.end, close) >= 0):
+        return tag.end
+    shut = page.find(">", close) if close >= 0 else -1
+    return shut + 1 if shut >= 0 else len(page)
+
+
+def tags(page: str) -> list[Tag]:
+    """The tags of a page in one pass; a bare < is text. What dropped elements hold is one entry without a name."""
+    low, out, at = page.lower(), [], 0
+    if len(low) != len(page):
+        low = page  # a letter whose lower case is longer: raw end tags are then told by their case
+    closes: dict[str, list[int]] = {}  # where the end tags of raw elements begin, by name
+    more = True  # whether there is a > ahead
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            shut = page.find("-->", at + 4)
+            out.append(Tag(at, shut + 3 if shut >= 0 else len(page)))
+        elif more and page[at + 1 : at + 2] in ("!", "?"):
+            shut = page.find(">", at)
+            more = shut >= 0
+            if not more:
+                at += 1
+                continue
+            out.append(Tag(at, shut + 1))
+        elif m := TAG.match(page, at):
+            tag = Tag(at, m.end(), m[2].lower(), m[1] == "/", m[3])
+            if tag.name in RAW and not tag.ends:
+                if tag.name not in closes:
+                    closes[tag.name] = [m.start() for m in re.finditer(f"</{tag.name}", low)]
+                tag = Tag(at, _raw_end(page, low, tag, closes[tag.name]))
+            elif tag.name in RAW:
+                tag = Tag(at, tag.end)
+            out.append(tag)
+        else:
+            at += 1
+            continue
+        at = out[-1].end
+    return _without_dropped(out)
+
+
+def _without_dropped(found: list[Tag]) -> list[Tag]:
+    """Replace each dropped element that has an end by one entry. One that is not closed before the next of its kind, or whose end lies beyond an article's edge, is
+    only a tag, so what follows it stays. A noscript with the page's only article in it is no more than its tags either."""
+    open_: dict[str, list[int]] = {}
+    pairs, article = [], [0]
+    for i, tag in enumerate(found):
+        article.append(article[-1] + (tag.name in ("article", "main")))
+        if tag.name not in DROPPED:
+            continue
+        held = open_.setdefault(tag.name, [])
+        if tag.ends:
+            if held:
+                pairs.append((held.pop(), i))
+        elif not tag.attributes.rstrip().endswith("/"):
+            if tag.name not in NESTING:
+                held.clear()
+            held.append(i)
+    inside = lambda a, b: article[b] - article[a]  # noqa: E731  edges of articles between two tags
+    scripted = [(a, b) for a, b in pairs if found[a].name == "noscript"]
+    outer, upto = 0, -1
+    for a, b in sorted(scripted):
+        if a > upto:
+            outer, upto = outer + inside(a, b), b
+    only = outer == article[-1]
+    kept = [(a, b) for a, b in pairs if not inside(a, b) or found[a].name == "template" or found[a].name == "noscript" and not only]
+    out, at = [], 0
+    for a, b in sorted(kept):
+        if a < at:
+            continue
+        out += found[at:a]
+        out.append(Tag(found[a].start, found[b].end))
+        at = b + 1
+    return [t if t.name not in DROPPED else Tag(t.start, t.end) for t in out + found[at:]]
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
     """The nodes of a page in order (parents first; node 0 is the page), and its runs of text as (block, node, text).
 
     Runs of one block are on one line. End tags that HTML leaves out are added; end tags without a start are ignored. A bare < is text."""
     nodes, runs = [Node("page", -1)], []
     stack = [0]
+    held: Counter[str] = Counter()  # how many elements of each name are open
     block, links, at = 0, 0, 0
 
     def text(piece: str) -> None:
@@ -93,16 +186,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             runs.append((block, stack[-1], piece))
 
     def close(to: int) -> None:
-        nonlocal block
+        held.subtract(nodes[i].tag for i in stack[to:])
         del stack[to:]
-        block += 1
 
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    for found in tags(page):
+        text(page[at : found.start])
+        at = found.end
+        tag, ends, attributes = found.name, found.ends, found.attributes
+        if not tag:
             continue
-        tag, ends, attributes = m[3].lower(), m[2] == "/", m[4]
         if tag == "br":
             runs.append((block, stack[-1], " "))
             continue
@@ -112,20 +204,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             if not ends or nodes[stack[-1]].tag != tag:
                 continue
         if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    close(depth) if tag not in INLINE else stack.__delitem__(slice(depth, None))
-                    break
+            if held[tag] > 0:
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != tag:
+                    depth -= 1
+                close(depth)
+                block += tag not in INLINE
             continue
         if tag in VOID:
             block += tag == "hr"
             continue
         if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
             close(len(stack) - 1)
-        elif tag in SIBLINGS:
+            block += 1
+        elif tag in SIBLINGS and any(held[t] > 0 for t in SIBLINGS[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag in SIBLINGS[tag]:
                     close(depth)
+                    block += 1
                     break
                 if nodes[stack[depth]].tag in ("ul", "ol", "dl", "table", "menu", "div", "article", "section"):
                     break
@@ -135,10 +231,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if attributes.rstrip().endswith("/") and tag not in INLINE and "=" not in attributes.rstrip()[-3:]:
             continue
         away, here = _cues(tag, attributes)
-        if tag == "header" and any(nodes[i].tag == "article" for i in stack):
+        if tag == "header" and held["article"] > 0:
             away = any(_cues("div", attributes)[:1])  # the head of the article itself
         nodes.append(Node(tag, stack[-1], away, here))
         stack.append(len(nodes) - 1)
+        held[tag] += 1
     text(page[at:])
     for node in nodes:
         node.features = _features(node)

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -78,3 +79,52 @@ def test_odd_rows(spark):
     assert (1, "u", "", 0) in rows and (2, None, "", 0) in rows and (None, "u", "a", 1) in rows
     assert [r[3] for r in rows if r[0] == 4] == [20000 * 5 - 1] * 2
     assert dom_model.extract(df.limit(0)).count() == 0
+
+
+ARTICLE = "<p>One paragraph of the article</p>{}<p>Last paragraph of the article</p>"
+FRAME = "<html><body><nav><a href=x>menu</a></nav><article><h1>Title of the page</h1>{}</article><footer>end</footer>{}</body></html>"
+WHOLE = ["Title of the page", "One paragraph of the article", "Last paragraph of the article"]
+
+
+@pytest.mark.parametrize("between, after", [
+    ("<button>", ""), ("<button>", "<button>OK</button>"), ("<select><option>a", ""), ("<video src=v>", ""), ("<svg><path d='x'>", ""), ("<template>", ""),
+    ("<svg><svg><title>inner</title></svg><text>outer</text></svg>", ""), ("<noscript><img src=x></noscript>", ""), ("<noscript>", ""), ("<iframe src=x>", "<iframe src=y></iframe>"),
+    ("<template><p>a</p><template><p>b</p></template><p>c</p></template>", ""), ("<button>a<button>b</button>", ""), ("<audio><p>none</p></audio>", ""),
+    ("<script src='x'/>var a = '<p>';</script>", ""), ("<script src='x'/>", ""), ("<script src='x'/>", "<script>if (a < b) {}</script>"), ("<SCRIPT>var a = 1</Script >", ""),
+    ("<style>p > a {}</style>", ""), ("<textarea><p>typed</textarea>", ""), ("<!-- <article> --><!---->", ""), ("<!-- a -- b > c -->", ""), ("<? x ?><!x>", ""), ("</button></select></svg></div></x>", ""),
+    ("<svg/>", ""), ("<canvas></canvas>", "<svg><script>x</script></svg>"),
+])
+def test_unclosed_nested_and_empty_elements(model, between, after):
+    # an element that is never closed, or only after the article, is no more than its tag, so what it holds stays
+    text = dom_model.main_text(FRAME.format(ARTICLE.format(between), after), model).split("\n")
+    assert [line for line in text if line not in ("a", "b")] == WHOLE
+
+
+def test_noscript(model):
+    page = FRAME.format(ARTICLE.format("<noscript><p>Please turn on scripts to see the comments of our readers</p></noscript>"), "")
+    assert dom_model.main_text(page, model).split("\n") == WHOLE
+    inside = "<html><body><div id=app></div><noscript><article><h1>Title of the page</h1>" + ARTICLE.format("") + "</article></noscript></body></html>"
+    assert dom_model.main_text(inside, model).split("\n") == WHOLE
+    both = inside.replace("<div id=app></div>", "<article><h1>Title of the page</h1>" + ARTICLE.format("") + "</article>")
+    assert dom_model.main_text(both, model).split("\n") == WHOLE
+
+
+@pytest.mark.parametrize("piece", [
+    "<svg ", "<button>", "<svg>", "</button>", "<a \"'", "<a '", '"', "'", "<", "<!", "<!--", "<?", "<script>", "<script/>", "<script src='x'/>", "</script>", "<noscript>", "<template><p>",
+    "<noscript><article>", "<p>", "<li>", "<div></x>", "<span class=a>", "<header>", "<tr><td>", "&", "&#", "<a b=\"<a c='", "<p a a a ", "<textarea/>", "<main>", "</p>", "<div>", "</div>",
+])
+def test_a_megabyte_of_one_piece_is_read_in_a_moment(piece):
+    page = "<article><p>kept</p>" + piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    dom_model.tags(page)
+    assert time.process_time() - start < 2
+    # what builds a node each is measured on a tenth
+    start = time.process_time()
+    dom_model.parse(page[:100_000])
+    assert time.process_time() - start < 2
+
+
+def test_ends_without_a_start_in_a_deep_page():
+    start = time.process_time()
+    dom_model.parse("<div>" * 20000 + "</section>" * 20000 + "<li>" * 2000)
+    assert time.process_time() - start < 2

@@ -9,7 +9,7 @@ from harvestlens.catalog.registry import query
 from harvestlens.functions import labels, numeric, text
 from harvestlens.functions.regions import DRIVER_GROUPS, driver_table, region_table
 from harvestlens.operators import (
-    anomalies, correlations, features, geo, grouping, lookup, reports, seasons, splits, yields,
+    anomalies, cells, correlations, features, geo, grouping, lookup, reports, seasons, splits, yields,
 )
 from harvestlens.plans import etl, studies
 from harvestlens.session import fresh_folder
@@ -88,6 +88,15 @@ def _(b):
     return geo.points_in_polygons(stations, shapes, ring="rings")
 
 
+@query("j05_observations_by_cells", "state_fips:i county_fips:i n:i n_stations:i", """SELECT state_fips, county_fips, count(*) AS n, count(DISTINCT station) AS n_stations FROM wx JOIN county_box
+  ON longitude > west AND longitude < east AND latitude > south AND latitude < north WHERE group_ = 'US' GROUP BY state_fips, county_fips""")
+def _(b):
+    """Every observation is placed; stations stand at few points, so the cells are refined and their points dealt."""
+    seen = b.weather.filter(F.col("group_") == "US").select("station", "latitude", "longitude")
+    placed = cells.points_in_polygons(seen, b.counties, most=2000)
+    return placed.groupBy("state_fips", "county_fips").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("station").alias("n_stations"))
+
+
 @query("j08_map_layer_keeps_empty_counties", "state_fips:i county_fips:i n_rows:i avg_yield:d",
        """SELECT p.state_fips, p.county_fips, n_rows, avg_yield FROM county_box p LEFT JOIN (
             SELECT state_fips, county_fips, count(yield_amount) AS n_rows, avg(yield_amount) AS avg_yield FROM merged

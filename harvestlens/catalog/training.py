@@ -18,6 +18,8 @@ CROPS = ("Corn", "Soybeans")
 REGIONS = tuple(r for r in REGION_SETS["training"] if r != "default") + ("Other",)
 ROW = ["state_fips", "county_fips", "year", "commodity", "irrigation"]
 USED = features.WEATHER_FEATURES
+# All rounds are fitted before the best is picked, so the many fits of these queries take fewer and longer steps.
+BOOST = models.BoostSettings(rounds=25, step=0.2, patience=10)
 
 _REGION = region_sql("training")
 # the side of a county, from a whole number of its key as both engines compute it
@@ -88,7 +90,7 @@ def _(b):
 @query("m07_boosted_predictions", KEY + "yield_amount:d known:b varies:b", f"SELECT {KEYS}, yield_amount, true AS known, true AS varies FROM merged WHERE year >= {TEST_FROM}")
 def _(b):
     data = b.merged
-    model = models.fit_gbt(data.filter(F.col("year") < TEST_FROM), USED)
+    model = models.fit_gbt(data.filter(F.col("year") < TEST_FROM), USED, s=BOOST)
     return varies(models.predict(model, data.filter(F.col("year") >= TEST_FROM), USED, "pred_yield"), "pred_yield").select("*", known("pred_yield"))
 
 
@@ -119,7 +121,7 @@ def _(b):
        f"SELECT {KEYS}, region, {_MODEL} AS model, yield_amount, true AS known, true AS varies FROM regional LEFT JOIN cells USING (commodity, region) WHERE year >= {TEST_FROM}")
 def _(b):
     data = materialize(rows(b))
-    _, scored = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS)
+    _, scored = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS, boost=BOOST)
     return varies(scored, "pred_yield", ["commodity", "model"]).select("*", known("pred_yield"))
 
 
@@ -127,7 +129,7 @@ def _(b):
   FROM (SELECT *, {_SIDE} AS split FROM merged) m LEFT JOIN (SELECT commodity, count(*) AS n FROM merged WHERE {_SIDE} = 'train' GROUP BY commodity) c USING (commodity)""")
 def _(b):
     data = materialize(splits.entity_split(b.merged, number=number()))
-    out = materialize(models.fit_stratified(data.filter("split = 'train'"), data, USED, CROPS))
+    out = materialize(models.fit_stratified(data.filter("split = 'train'"), data, USED, CROPS, boost=BOOST))
     return fits(varies(out, "yield_predicted", ["commodity"]), F.col("split") == "train", "yield_predicted").select("*", known("yield_predicted"))
 
 
@@ -153,7 +155,7 @@ def _(b):
   folds AS (SELECT i - first + 1 AS fold, ys[i + 1] AS cutoff, ys[i + 1:i + w] AS years, ys[1] AS earliest FROM (SELECT *, unnest(range(first, stop)) AS i FROM starts) s)
   SELECT fold, count(*) AS n, true AS known, true AS varies FROM folds JOIN merged ON list_contains(years, year) WHERE cutoff > earliest GROUP BY fold""")
 def _(b):
-    preds, scores = models.walk_forward_cv(rows(b), 2000, CROPS, REGIONS)
+    preds, scores = models.walk_forward_cv(rows(b), 2000, CROPS, REGIONS, boost=BOOST)
     spread = preds.groupBy("fold").agg((F.max("pred_yield") - F.min("pred_yield") > 1e-6).alias("varies"))
     return scores.filter("n > 0").join(spread, "fold").select("*", known("rmse"))
 
@@ -161,7 +163,7 @@ def _(b):
 @query("m14_weighted_importance", "feature:s is_share:b total:d1", f"SELECT feature, true AS is_share, 1e0 AS total FROM (VALUES {_values([*features.CORE_FEATURES, *features.BASELINE_FEATURES])}) f(feature)")
 def _(b):
     data = materialize(rows(b))
-    fitted, _ = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS, min_rows=models.MIN_ROWS)
+    fitted, _ = models.fit_by_group(data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM), CROPS, REGIONS, min_rows=models.MIN_ROWS, boost=BOOST)
     return shares(fitted.importance(b.spark))
 
 
@@ -172,7 +174,7 @@ def _(b):
     data = rows(b).drop("region").join(estimate_inputs(b).select(*ROW, "trend"), ROW)
     data = materialize(features.with_region(data, region_table(b.spark, "training"), "Other"))
     train, test = data.filter(F.col("year") < TEST_FROM), data.filter(F.col("year") >= TEST_FROM)
-    fitted, _ = models.fit_by_group(train, test, CROPS, REGIONS, min_rows=models.MIN_ROWS)
+    fitted, _ = models.fit_by_group(train, test, CROPS, REGIONS, min_rows=models.MIN_ROWS, boost=BOOST)
     place = fresh_folder(b.spark, "models")
     artifacts.save_models(b.spark, fitted.models, place, fitted.features, models.BLEND)
     loaded, used, weights = artifacts.load_models(b.spark, place)
@@ -256,7 +258,7 @@ def _(b):
     import uuid
 
     mark, place = uuid.uuid4().hex[:12], fresh_folder(b.spark, "models")
-    out = studies.train_and_export(b.merged, TEST_FROM, CROPS, REGIONS, min_rows=models.MIN_ROWS, predictions_name=f"predictions_{mark}", stats_name=f"stats_{mark}", models_folder=place)
+    out = studies.train_and_export(b.merged, TEST_FROM, CROPS, REGIONS, min_rows=models.MIN_ROWS, boost=BOOST, predictions_name=f"predictions_{mark}", stats_name=f"stats_{mark}", models_folder=place)
     # the row as written, the written predictions and the manifest of the written models
     rows_ = b.spark.table(f"predictions_{mark}").agg(F.count("pred_yield").alias("n_stored")).select("n_stored").scalar()
     spread = b.spark.table(f"predictions_{mark}").agg((F.max("pred_yield") - F.min("pred_yield") > 1e-6).alias("varies")).scalar()

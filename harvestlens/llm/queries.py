@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_secret_scan": secrets.op13_secret_scan,
 }
 # The others fit models, read texts back or follow links through components; their tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.scan_sql(), "op13_secret_scan": secrets.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.scan_sql(), "op8_chat_format": chat.digests_sql(), "op13_secret_scan": secrets.scan_sql()}

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from harvestlens.llm import chat
 from hypothesis import given, settings, strategies as st
 
@@ -53,3 +54,20 @@ def test_odd_rows(spark):
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(chat.format_turns(chat.text_parts(df))).collect()}
     assert got == {1: brute([(None, "x"), ("assistant", ""), ("user", None), ("user", None)]), None: brute([("assistant", "n")]), 0: brute([("assistant", "z" * 300000)])}
     assert chat.digests(chat.format_turns(chat.text_parts(df.limit(0)))).count() == 0
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_query_equals_its_sql(spark, sf, odd, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    folder, glob = sf, ""
+    if odd:
+        folder, glob = str(tmp_path), "/*.parquet"
+        rows = [(1, 0, "user", None), (1, None, "assistant", "\\<é漢😀</turn>"), (1, 1, "assistant", ""), (1, 1, "assistant", "again"), (None, 0, None, "no id"), (2, 5, "tool<x>", "<|image 0|>\\\\<")]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet{glob}')")
+    rel = con.sql(chat.digests_sql())
+    df = chat.op8_chat_format(spark, folder)
+    assert sorted(df.columns) == sorted(rel.columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r[c] for c in rel.columns) for r in df.collect()), key=key) == sorted(rel.fetchall(), key=key)

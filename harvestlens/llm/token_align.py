@@ -7,8 +7,8 @@ on alike, all open intervals of a block in step, and an interval without a share
 A text is encoded in stretches that begin at a single space between two characters that are no white space. Both tokenizers stop there: one splits the text
 before such a space ahead of its merges, the other has no piece that goes on over a space. Equal stretches of a task are encoded and aligned once.
 
-How often two ids are linked is counted over the corpus. A block of documents keeps its linked id pairs once, with their counts, and each document the
-places of its pairs among them, so the counts come back to a block and not to each document's links.
+How often two ids are linked is counted over the corpus. A block of documents keeps its linked id pairs once, with their counts, its stretches the places
+of their pairs among them, and each document its stretches, so the counts come back to a block and not to each document's links.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -116,12 +117,15 @@ class Stretches:
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.words = [[f"{i}{end}".encode() for i in range(len(side.pieces)) for end in (",", last)] for side, last in ((a, "|"), (b, ";"))]
+        # each id as it is written within a group and at the end of its side, of the first tokenizer and then of the second
+        self.words = [f"{i}{end}".encode() for side, last in ((a, "|"), (b, ";")) for i in range(len(side.pieces)) for end in (",", last)]
+        self.word_size = np.array([len(w) for w in self.words], np.int64)
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[bytes] = []
+        self.unlike: set[int] = set()  # those that a tokenizer does not give back
         self.counts = [np.zeros((0, 4), np.int64)]  # n_a, n_b, n_groups, n_links; -1 where the bytes differ
         self.pairs = [np.zeros(0, np.int64)]
 
@@ -145,8 +149,8 @@ class Stretches:
         text = " ".join(batch)
         raw = f" {text}".encode()
         ids = [np.asarray(side.encode(text), np.int64) for side in (self.a, self.b)]
-        sound = all(b"".join([side.pieces[i] for i in own.tolist()]) == raw for side, own in zip((self.a, self.b), ids))
-        stops = np.cumsum([len(s.encode()) + 1 for s in batch])
+        sound = all(b"".join(map(side.pieces.__getitem__, own.tolist())) == raw for side, own in zip((self.a, self.b), ids))
+        stops = np.cumsum([len(s) + 1 for s in batch] if text.isascii() else [len(s.encode()) + 1 for s in batch])
         first = []
         if sound:
             ends = [np.cumsum(side.size[own]) for side, own in zip((self.a, self.b), ids)]
@@ -160,6 +164,7 @@ class Stretches:
                 self._encoded([s])
         else:
             self.number[batch[0]] = len(self.groups)
+            self.unlike.add(len(self.groups))
             self.groups.append(b"")
             self.counts.append(np.full((1, 4), -1, np.int64))
 
@@ -170,21 +175,21 @@ class Stretches:
         # tokens as they are written: a group's of one side, then its of the other
         held = [np.concatenate(([0], np.cumsum(np.bincount(g, minlength=len(cuts))))) for g in group]
         place = np.concatenate((np.arange(len(ids[0])) + held[1][group[0]], np.arange(len(ids[1])) + held[0][group[1] + 1]))
-        written = np.empty(len(place), object)
-        for k, at in enumerate((place[: len(ids[0])], place[len(ids[0]) :])):
-            words = self.words[k]
-            written[at] = [words[x] for x in (2 * ids[k] + last[k]).tolist()]
+        written = np.empty(len(place), np.int64)
+        written[place] = np.concatenate((2 * ids[0] + last[0], 2 * (len(self.a.pieces) + ids[1]) + last[1]))
         # two tokens overlap in a range that ends where one of them does
-        all_ends = np.union1d(*ends)
+        all_ends = np.sort(np.concatenate(ends), kind="stable")
+        all_ends = all_ends[np.append(all_ends[1:] != all_ends[:-1], True)]
         over = [np.searchsorted(e, all_ends) for e in ends]
         self.pairs.append(ids[0][over[0]] << B_BITS | ids[1][over[1]])
         stops = ends[0][first[0][1:] - 1]
         n_groups = np.diff(np.searchsorted(cuts, stops) + 1, prepend=0)
         n_links = np.diff(np.searchsorted(all_ends, stops) + 1, prepend=0)
         self.counts.append(np.stack([np.diff(first[0]), np.diff(first[1]), n_groups, n_links], axis=1))
-        at = first[0] + first[1]
+        at = np.concatenate(([0], np.cumsum(self.word_size[written])))[first[0] + first[1]].tolist()
+        said = b"".join(map(self.words.__getitem__, written.tolist()))
         start = len(self.groups)
-        self.groups += [b"".join(written[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        self.groups += [said[i:j] for i, j in zip(at[:-1], at[1:])]
         self.number.update(zip(batch, range(start, start + len(batch))))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,31 +206,33 @@ NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "block"
 
 
 def _block(block: int, ids: pa.Array, digests: list[str], held: list[np.ndarray], known: Stretches) -> Iterator[pa.RecordBatch]:
-    """One row for the pairs of a block and one for each of its documents."""
+    """One row for the pairs of a block, with the places of its stretches' pairs among them, one stretch after another, and how many each stretch has; and
+    one for each of its documents, with its stretches and how often they stand there."""
     counts, pairs, first = known.tables()
-    n = len(held)
+    n, most = len(held), max(len(counts), 1)
     doc = np.repeat(np.arange(n), [len(x) for x in held])
     stretch = np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)
     totals = np.stack([np.bincount(doc, weights=counts[stretch, k], minlength=n) for k in range(4)], axis=1).astype(np.int64)
-    # each stretch of a document once, then its pairs
-    key, times = np.unique(doc * np.int64(max(len(counts), 1)) + stretch, return_counts=True)
-    doc, stretch = key // max(len(counts), 1), key % max(len(counts), 1)
-    size = counts[stretch, 3]
-    at = np.repeat(first[stretch], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    in_block = np.bincount(stretch, minlength=len(counts))
+    own = np.flatnonzero(in_block)
+    size = counts[own, 3]
+    at = np.repeat(first[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     code, place = np.unique(pairs[at], return_inverse=True)
-    key, which = np.unique(np.repeat(doc, size) * np.int64(max(len(code), 1)) + place, return_inverse=True)
-    often = np.bincount(which, weights=np.repeat(times, size), minlength=len(key)).astype(np.int64)
-    place = key % max(len(code), 1)
-    total = np.bincount(place, weights=often, minlength=len(code)).astype(np.int64)
+    total = np.bincount(place, weights=np.repeat(in_block[own], size), minlength=len(code)).astype(np.int64)
+    # each stretch of a document once
+    key, often = np.unique(doc * most + stretch, return_counts=True)
+    sizes = np.bincount(key // most, minlength=n)
+    which = np.zeros(most, np.int32)
+    which[own] = np.arange(len(own))
     none = lambda kind, n: pa.nulls(n, kind)
     long, longs, ints = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())
     yield pa.RecordBatch.from_arrays(
-        [none(long, 1)] * 5 + [none(pa.string(), 1), pa.array([block]), pa.array([code], longs), pa.array([total], longs), none(ints, 1), none(ints, 1)], names=NAMES
+        [none(long, 1)] * 5 + [none(pa.string(), 1), pa.array([block]), pa.array([code], longs), pa.array([total], longs)]
+        + [pa.array([x.astype(np.int32)], ints) for x in (place, size)], names=NAMES
     )
-    sizes = np.bincount(key // max(len(code), 1), minlength=n)
     rows = pa.RecordBatch.from_arrays(
         [ids, *(pa.array(totals[:, k]) for k in range(4)), pa.array(digests, pa.string()), pa.array(np.full(n, block)), none(longs, n), none(longs, n)]
-        + [_lists(place.astype(np.int32), sizes), _lists(often.astype(np.int32), sizes)], names=NAMES,
+        + [_lists(which[key % most], sizes), _lists(often.astype(np.int32), sizes)], names=NAMES,
     )
     for start in range(0, n, 1000):
         yield rows.slice(start, 1000)
@@ -242,10 +249,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], folder: str, block_bytes: int, k
             known.add(sorted(new))
             for own in split:
                 numbers = [known.number[s] for s in own]
-                if own and any(not known.groups[k] for k in numbers):
+                if not known.unlike.isdisjoint(numbers):
                     numbers = []
                 held.append(np.array(numbers, np.int32))
-                digests.append(hashlib.sha256(b"".join([known.groups[k] for k in numbers])[:-1]).hexdigest() if numbers else "")
+                digests.append(hashlib.sha256(b"".join(map(known.groups.__getitem__, numbers))[:-1]).hexdigest() if numbers else "")
             ids.append(batch.column(0).slice(start, end - start))
             size += sum(map(len, texts))
             if size >= block_bytes or len(known.groups) >= kept:
@@ -257,17 +264,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], folder: str, block_bytes: int, k
         yield from _block(task << 32 | number, pa.concat_arrays(ids), digests, held, known)
 
 
-def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
-    """The documents of a block with the counts of their links."""
+def _scored(rows: pa.Table, values: pa.Table) -> pa.Table:
+    """The documents of a block with the counts of their links, which are summed up for its stretches first."""
     place = values.column("place").to_numpy()
     n, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     n[place], best[place] = values.column("n").to_numpy(), values.column("best").to_numpy(zero_copy_only=False)
+    is_block = pc.is_null(rows.column("n_a"))
+    pairs, docs = rows.filter(is_block), rows.filter(pc.invert(is_block))
     held, often = docs.column("held").combine_chunks(), docs.column("often").combine_chunks()
     at, times, edge = held.flatten().to_numpy(), often.flatten().to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(held.value_lengths().to_numpy())))
+    linked, size = (pairs.column(c).combine_chunks().flatten().to_numpy() for c in ("held", "often"))
+    ends = np.concatenate(([0], np.cumsum(size)))
 
     def total(x: np.ndarray) -> pa.Array:
-        sums = np.concatenate(([0], np.cumsum(x[at] * times)))[edge]
-        return pa.array(np.diff(sums))
+        own = np.diff(np.concatenate(([0], np.cumsum(x[linked])))[ends])
+        return pa.array(np.diff(np.concatenate(([0], np.cumsum(own[at] * times)))[edge]))
 
     out = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
     return out.add_column(5, "n_best", total(best)).add_column(6, "count_sum", total(n))
@@ -286,7 +297,7 @@ def align(docs: DataFrame, folder: str = TOKENIZERS, block_bytes: int = BLOCK_BY
     counts = linked_counts(linked)
     back = linked.select(F.col("block").alias("of"), "place", "pair").join(counts, "pair").select("of", "place", "n", "best")
     shape = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return encoded.filter("pairs IS NULL").drop("pairs", "times").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_scored, shape)
+    return encoded.drop("pairs", "times").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_scored, shape)
 
 
 def linked_counts(linked: DataFrame) -> DataFrame:

@@ -128,3 +128,16 @@ def test_a_long_stretch_without_spaces(both):
     known.add(["ab9" * 20_000])
     counts = known.tables()[0]
     assert counts[0, 0] > 1000 and counts[0, 3] == counts[0, 0] + counts[0, 1] - counts[0, 2]
+
+
+def test_documents_keep_their_stretches_and_not_their_pairs(both):
+    """A block sends the pairs of each stretch once, however many documents hold it, and a document one number for each of its stretches."""
+    import pyarrow as pa
+
+    text = "unbelievable internationalisation, 12345678 notwithstanding"
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text, f"{text} {text}", None]})
+    rows = pa.Table.from_batches(token_align._encoded(iter([batch]), token_align.TOKENIZERS, token_align.BLOCK_BYTES, token_align.KEPT_STRETCHES)).to_pylist()
+    block, docs = rows[0], rows[1:]
+    assert [len(d["held"]) for d in docs] == [4, 4, 0] and [d["often"] for d in docs] == [[1] * 4, [2] * 4, []]
+    assert len(block["often"]) == 4 and sum(block["often"]) == len(block["held"]) == docs[0]["n_links"] > 4
+    assert sum(block["times"]) == sum(d["n_links"] for d in docs)

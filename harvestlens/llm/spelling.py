@@ -37,11 +37,16 @@ POINT, SAME, LONGER = 0, 1, 2
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n, size): the words of a corpus that stand there often enough, with their counts and lengths. Null texts have none; an occurrence in a row
     without doc_id is one of an empty id."""
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(RUN), F.lit(0))).alias("run"))
-    runs = runs.filter(F.char_length("run") >= SHORTEST).select("id", F.translate("run", UPPER, LOWER).alias("run"))
+    # a run that is too short is none from the start: only whole runs are this long
+    long = F.regexp_extract_all(F.col("text").cast("string"), F.lit(RUN.replace("+", f"{{{SHORTEST},}}")), F.lit(0))
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(long).alias("run"))
+    # lower() would change letters beyond A-Z too, so it is for runs that have no others
+    plain = F.octet_length("run") == F.char_length("run")
+    runs = runs.select("id", F.when(plain, F.lower("run")).otherwise(F.translate("run", UPPER, LOWER)).alias("run"))
     marked = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h")).withColumn("at", (F.col("h") % F.char_length("run")).cast("int"))
     less = F.concat(F.substr("run", F.lit(1), F.col("at")), F.substr("run", F.col("at") + 2))
-    words = marked.select(F.when(F.col("h") % EVERY == 0, less).otherwise(F.col("run")).alias("word")).filter(F.char_length("word") >= SHORTEST)
+    whole = F.col("h") % EVERY != 0
+    words = marked.filter((F.char_length("run") > SHORTEST) | whole).select(F.when(whole, F.col("run")).otherwise(less).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= FEWEST)
     return counts.withColumn("size", F.char_length("word"))
 
@@ -53,6 +58,21 @@ def letter_counts(codes: list[bytes]) -> np.ndarray:
     return flat.reshape(len(codes), LETTERS).astype(np.int32)
 
 
+def marks(counts: np.ndarray) -> np.ndarray:
+    """Two words of bits for each row of letter counts: whether a to z are there once, twice and three times, and whether the others are, some of which share
+    a bit. A bit that one row has and another has not is a letter that the other must gain."""
+    there = counts > 0
+    shared = there[:, 26:64].copy()
+    shared[:, : LETTERS - 64] |= there[:, 64:]
+    bits = np.concatenate((there[:, :26], shared, counts[:, :26] > 1, counts[:, :26] > 2, np.zeros((len(counts), 12), bool)), axis=1)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def lacking(of: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many marks of `of` each row of `own` lacks."""
+    return np.bitwise_count(of[:, 0] & ~own[:, 0]) + np.bitwise_count(of[:, 1] & ~own[:, 1])
+
+
 @dataclass
 class Tree:
     """Nodes by number: rows with at most `cut` of letter `letter` are under `low`, the others under `high`; a child below zero is the leaf ~child."""
@@ -178,32 +198,45 @@ def _cells(batches: Iterator[pa.RecordBatch], trees: dict[int, Tree]) -> Iterato
                 yield from pa.Table.from_arrays([cells, kinds, picked.column("word"), picked.column("n")], names=names).to_batches(max_chunksize=1 << 16)
 
 
-def near_in(points: list[bytes], asking: list[bytes], longer: bool) -> tuple[np.ndarray, np.ndarray]:
+class Points:
+    """Words of one length under a tree of their letter counts, for those that ask among them."""
+
+    def __init__(self, points: list[bytes]):
+        counts = letter_counts(points)
+        self.used = np.flatnonzero(counts.any(axis=0))
+        self.tree = fitted(counts[:, self.used], LEAF)
+        leaf = self.tree.leaf_of(counts[:, self.used])
+        self.order = np.argsort(leaf, kind="stable")
+        self.first = np.searchsorted(leaf[self.order], np.arange(self.tree.leaves + 1))
+        self.marks = marks(counts)
+        # what all points of a leaf have, and what any has: a tighter box than the cuts make
+        self.low, self.high = (f.reduceat(self.marks[self.order], self.first[:-1], axis=0) for f in (np.bitwise_and, np.bitwise_or))
+        self.letters = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+
+    def near(self, asking: list[bytes], longer: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(asking, point) of all pairs one edit apart; those that ask have the points' length or, if `longer` is set, one less."""
+        given, counts = np.frombuffer(b"".join(asking), np.uint8).reshape(len(asking), -1), letter_counts(asking)
+        own, up, down = marks(counts), 1, 0 if longer else 1
+        row, at = self.tree.met(counts[:, self.used], up, down)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for start in range(0, len(row), 1 << 18):
+            r, l = row[start : start + (1 << 18)], at[start : start + (1 << 18)]
+            asked = own[r]
+            keep = (lacking(self.low[l], asked) <= up) & (lacking(asked, self.high[l]) <= down)
+            for r, p in _pairs(r[keep], l[keep], self.first, self.order):
+                asked, held = own[r], self.marks[p]
+                keep = (lacking(held, asked) <= up) & (lacking(asked, held) <= down)
+                r, p = r[keep], p[keep]
+                near = _one_longer(given[r], self.letters[p]) if longer else (given[r] != self.letters[p]).sum(axis=1) == 1
+                found.append((r[near], p[near]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def near_in(points: list[bytes] | Points, asking: list[bytes], longer: bool) -> tuple[np.ndarray, np.ndarray]:
     """(asking, point) of all pairs one edit apart; points have one length, those that ask the same or, if `longer` is set, one less."""
-    none = np.zeros(0, np.int64)
     if not points or not asking:
-        return none, none
-    counts, asked = letter_counts(points), letter_counts(asking)
-    tree = fitted(counts, LEAF)
-    leaf = tree.leaf_of(counts)
-    order = np.argsort(leaf, kind="stable")
-    first = np.searchsorted(leaf[order], np.arange(tree.leaves + 1))
-    low = np.minimum.reduceat(counts[order], first[:-1], axis=0)
-    high = np.maximum.reduceat(counts[order], first[:-1], axis=0)
-    letters = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
-    given = np.frombuffer(b"".join(asking), np.uint8).reshape(len(asking), -1)
-    up, down = 1, 0 if longer else 1
-    row, at = tree.met(asked, up, down)
-    found: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
-    for start in range(0, len(row), 1 << 15):
-        r, l = row[start : start + (1 << 15)], at[start : start + (1 << 15)]
-        # the box of a leaf's own points is tighter than what the cuts say
-        keep = (np.maximum(low[l] - asked[r], 0).sum(axis=1) <= up) & (np.maximum(asked[r] - high[l], 0).sum(axis=1) <= down)
-        r, l = r[keep], l[keep]
-        for r, p in _pairs(r, l, first, order):
-            near = _one_longer(given[r], letters[p]) if longer else (given[r] != letters[p]).sum(axis=1) == 1
-            found.append((r[near], p[near]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return (points if isinstance(points, Points) else Points(points)).near(asking, longer)
 
 
 def _pairs(row: np.ndarray, leaf: np.ndarray, first: np.ndarray, order: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,8 +262,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = group.column("kind").to_numpy()
         own = {k: group.take(pa.array(np.flatnonzero(kind == k))).combine_chunks() for k in (POINT, SAME, LONGER)}
         codes = {k: [w.encode("latin-1") for w in x.column("word").to_pylist()] for k, x in own.items()}
+        points = codes[POINT] and Points(codes[POINT])
         for k in (SAME, LONGER):
-            row, point = near_in(codes[POINT], codes[k], k == LONGER)
+            row, point = near_in(points, codes[k], k == LONGER)
             ask, of = (own[x].select(["word", "n"]).take(pa.array(at)) for x, at in ((k, row), (POINT, point)))
             # a longer word does not ask for shorter ones
             ways = [(ask, of)] + [(of, ask)] * (k == LONGER)

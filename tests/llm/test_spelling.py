@@ -141,3 +141,30 @@ def test_query(spark, sf):
 def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert variants(odd_docs) == brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert variants(no_docs) == []
+
+
+def test_a_cell_fits_its_tree_once(monkeypatch):
+    import pyarrow as pa
+
+    fits = []
+    monkeypatch.setattr(spelling, "fitted", lambda counts, most, fitted=spelling.fitted: fits.append(len(counts)) or fitted(counts, most))
+    words = [("river", 0), ("rivet", 0), ("river", 1), ("rivet", 1), ("rive", 2), ("rivr", 2)]
+    batch = pa.table({"cell": [5] * 6, "p": [0] * 6, "q": [0] * 6, "kind": [k for _, k in words], "word": [w for w, _ in words], "n": [3] * 6}).to_batches()[0]
+    got = [tuple(r.values())[:2] for out in spelling._near(iter([batch])) for r in out.to_pylist()]
+    assert fits == [2]
+    assert sorted(got) == sorted([("river", "rivet"), ("rivet", "river"), ("rive", "river"), ("rive", "rivet"), ("river", "rive"), ("rivet", "rive"), ("rivr", "river"), ("river", "rivr")])
+
+
+def test_marks_never_lack_more_than_the_counts():
+    rng = np.random.default_rng(4)
+    x, y = (rng.poisson(0.6, (3000, spelling.LETTERS)).astype(np.int32) for _ in range(2))
+    y[:1500] = x[:1500]
+    y[np.arange(1500), rng.integers(0, spelling.LETTERS, 1500)] += 1
+    found = spelling.lacking(spelling.marks(x), spelling.marks(y))
+    assert (found <= np.maximum(x - y, 0).sum(axis=1)).all() and (found[1500:] > 0).all()
+
+
+def test_only_letters_a_to_z_are_lowered(spark):
+    rows = [(i, "ÀPFEL Äpfel äPFEL apfel ABcDe fünfÉ ab abcd xÿZZZ9QQQQQ") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert variants(df) == brute(rows)

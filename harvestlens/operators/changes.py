@@ -32,8 +32,11 @@ def upsert(
     set_ = {c: F.col(f"s.{c}") for c in target.columns if c in source.columns} if set_ is None else dict(set_)
     insert = {c: F.col(f"s.{c}") for c in target.columns if c in source.columns} if insert is None else dict(insert)
 
+    # Keys compress so well that a task over merged partitions of little data would sort many millions of them; partitions that are dealt
+    # out by number are not merged, neither are the target's that are joined to them.
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # source rows sharing a key are collapsed first, so a match stays one row per target row
-    packed = source.filter(_and([F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(
+    packed = source.repartition(parts, *keys).filter(_and([F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.max(F.struct(*source.columns)).alias("__row")
     )
     side = packed.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n", F.col("__row").alias("s"))

@@ -133,3 +133,20 @@ def test_csv_header_is_trimmed(spark, folder):
     with open(path, "w") as f:
         f.write(" a , b\n1,2\n")
     assert files.scan_csv(spark, path).columns == ["a", "b"]
+
+
+def test_upsert_does_not_merge_partitions_of_keys(spark, folder):
+    """Millions of keys make few bytes; merged by their bytes, they would all be sorted in one task."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        target, source = (spark.range(a, z).select("id", F.lit("a").alias("name"), F.lit(1).alias("age")) for a, z in ((0, 2000), (1000, 3000)))
+        changes.upsert(target, source, ["id"]).write.parquet(folder("out"))
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, held[k]) if k in held else spark.conf.unset(k)
+    got = spark.read.parquet(folder("out"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.count() == got.select("id").distinct().count() == 3000
+    # updated and added rows come from all the partitions that the keys are dealt to
+    assert len(got.inputFiles()) == 2 * parts

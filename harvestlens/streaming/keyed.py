@@ -14,6 +14,8 @@ from harvestlens.streaming.jobs import event_time
 
 # Two dry days in a row are a day apart; with another day between they are two.
 RUN_GAP = "36 hours"
+# The largest number of a day; what is left to it takes 32 bits.
+LAST_DAY = 2**31 - 1
 
 
 def write_batches(changed: DataFrame, dst: str, checkpoint: str) -> StreamingQuery:
@@ -70,11 +72,12 @@ def stream_runs(src: DataFrame, wanted: Column, value: str, date: str = "date",
 
     The days are summed in day windows, and days within `gap` of each other make a session. A run is emitted once the watermark has passed its end and then
     leaves the state, as its days have before; an observation later than `late` is ignored. Rows without a value do not count as observed."""
-    seen = event_time(src.filter(F.col(value).isNotNull()), date).withWatermark(date, late)
-    days = seen.groupBy(F.window(date, "1 day"), *by).agg(F.sum(value).alias(value))
-    held = days.filter(wanted).select(*by, F.window_time("window").alias("at"))
-    runs = held.groupBy(*by, F.session_window("at", gap)).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("days"))
-    return runs.select(*by, F.to_date("first").alias("first_day"), F.to_date("last").alias("last_day"), "days")
+    seen = event_time(src.filter(F.col(value).isNotNull()), date).withWatermark(date, late).withColumn("__day", F.window(date, "1 day"))
+    # a day goes by its last instant: one number in every shuffled row and state key instead of two ends, closed by the same watermark
+    days = seen.select(*by, value, F.window_time("__day").alias("at")).groupBy(*by, "at").agg(F.sum(value).alias(value))
+    held = days.filter(wanted).select(*by, "at")
+    runs = held.groupBy(*by, F.session_window("at", gap).alias("__run")).agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("days"))
+    return runs.select(*by, F.to_date("__run.start").alias("first_day"), F.to_date("last").alias("last_day"), "days")
 
 
 def longest_by_year(runs: DataFrame, by: Sequence[str] = ("station",)) -> DataFrame:
@@ -83,5 +86,8 @@ def longest_by_year(runs: DataFrame, by: Sequence[str] = ("station",)) -> DataFr
     start = F.greatest("first_day", F.make_date("year", F.lit(1), F.lit(1)))
     end = F.least("last_day", F.make_date("year", F.lit(12), F.lit(31)))
     parts = years.select(*by, "year", start.alias("start"), (F.datediff(end, start) + 1).alias("days"))
-    best = F.max_by(F.struct("days", "start"), F.struct(F.col("days"), F.datediff(F.lit("9999-12-31"), "start")))
-    return parts.groupBy(*by, "year").agg(best.alias("b")).select(*by, "year", F.col("b.days").alias("longest_run_days"), F.col("b.start").alias("run_start"))
+    # longer first, then earlier, as one number: a maximum that is hashed, where one of structs would sort every run
+    rank = F.shiftleft(F.col("days").cast("bigint"), 32) + (F.lit(LAST_DAY).cast("bigint") - F.unix_date("start"))
+    best = parts.groupBy(*by, "year").agg(F.max(rank).alias("b"))
+    start = F.date_from_unix_date((F.lit(LAST_DAY).cast("bigint") - F.col("b").bitwiseAND(F.lit(2**32 - 1))).cast("int"))
+    return best.select(*by, "year", F.shiftright("b", 32).cast("int").alias("longest_run_days"), start.alias("run_start"))

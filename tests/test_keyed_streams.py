@@ -149,3 +149,36 @@ def test_a_run_is_emitted_once_when_the_watermark_passes(spark, folder):
     assert step(("a", day(3), 0.0), ("a", day(4), 0.0), ("a", day(12), 3.0)) == [("2024-01-01", "2024-01-02", 2), ("2024-01-04", "2024-01-05", 2)]
     # too late to mend a closed run
     assert step(("a", day(2), 0.0), ("a", day(30), 1.0)) == [("2024-01-01", "2024-01-02", 2), ("2024-01-04", "2024-01-05", 2)]
+
+
+def test_a_day_is_one_number_in_the_state(spark, folder):
+    src, out, ckpt = folder("src"), folder("out"), folder("ckpt")
+    add(spark, src, ("a", dt.date(2024, 1, 1), 0.0), ("a", dt.date(2024, 1, 1), 1.5), ("b", dt.date(2024, 1, 2), 0.0), ("b", None, 0.0), schema=DAYS)
+    run(jobs.stream_append(keyed.stream_runs(jobs.stream_files(spark, src, DAYS), F.col("rain") == 0, "rain"), out, ckpt))
+    kept = [spark.read.format("statestore").option("operatorId", n).load(ckpt).select("key.*", "value.*") for n in (0, 1)]
+    days = next(k for k in kept if k.count() == 2)
+    # (station, day, sum): the state holds every open day, so what a row weighs is what the stream weighs
+    assert [f.dataType.typeName() for f in days.schema] == ["string", "timestamp", "double"]
+    assert sorted(tuple(r)[::2] for r in days.collect()) == [("a", 1.5), ("b", 0.0)]
+
+
+def test_the_longest_run_is_found_without_a_sort(spark, capsys):
+    rng, rows = random.Random(8), []
+    for s in ("a", "b", None):
+        for _ in range(60):
+            first = dt.date(1960, 1, 1) + dt.timedelta(days=rng.randrange(6000))
+            rows.append((s, first, first + dt.timedelta(days=rng.choice([0, 1, 1, 40, 500]))))
+    rows += [("c", dt.date(1969, 12, 31), dt.date(1969, 12, 31)), ("c", dt.date(1969, 3, 1), dt.date(1969, 3, 1)), ("d", dt.date(1, 1, 1), dt.date(1, 1, 2)), ("d", dt.date(9999, 12, 30), dt.date(9999, 12, 31))]
+    want = {}
+    for s, first, last in rows:
+        for y in range(first.year, last.year + 1):
+            start = max(first, dt.date(y, 1, 1))
+            days = (min(last, dt.date(y, 12, 31)) - start).days + 1
+            best = want.get((s, y))
+            if best is None or (days, -start.toordinal()) > (best[0], -best[1].toordinal()):
+                want[s, y] = (days, start)
+    found = keyed.longest_by_year(spark.createDataFrame(rows, "station string, first_day date, last_day date"))
+    assert dict(found.dtypes) == {"station": "string", "year": "int", "longest_run_days": "int", "run_start": "date"}
+    assert {(r["station"], r["year"]): (r["longest_run_days"], r["run_start"]) for r in found.collect()} == want
+    found.explain()
+    assert "Sort" not in capsys.readouterr().out

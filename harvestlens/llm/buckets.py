@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harvestlens.llm.shared import stored
+from harvestlens.llm.shared import by_shuffle, stored
 
 # Members of a bucket that meet in one task at most: two chunks of about this many.
 CHUNK = 256
@@ -19,13 +19,13 @@ def members(rows: DataFrame, key: str, item: str) -> DataFrame:
     Most keys stand alone, so they are only counted at first. Of buckets with the very same members one is kept: count, least, greatest and two
     checksums over the members tell. The groupings combine on the map side, so a bucket that holds a third of all rows is no heavy task."""
     several = rows.groupBy(key).agg(F.count("*").alias("size")).filter("size > 1")
-    met = stored(rows.join(several, key).select(key, item, "size"), "members")
+    met = stored(rows.join(by_shuffle(several), key).select(key, item, "size"), "members")
     mark = F.xxhash64(item)
     whole = met.groupBy(key).agg(
         F.count("*").alias("size"), F.min(item).alias("lo"), F.max(item).alias("hi"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y"),
     )
     kept = whole.groupBy("size", "lo", "hi", "x", "y").agg(F.min(key).alias(key)).select(key)
-    return met.join(kept, key, "left_semi").select(key, item, "size")
+    return met.join(by_shuffle(kept), key, "left_semi").select(key, item, "size")
 
 
 def chunked(rows: DataFrame, item: str, size: str = "size", chunk: int = CHUNK) -> DataFrame:

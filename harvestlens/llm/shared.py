@@ -88,6 +88,13 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """The same rows, as a side of a join that deals both sides out and sorts them, so that neither passes through the driver. For joins in which a side may be far
+    larger than Spark takes it to be: rows made by a Python function or an explode, files that compress well, and groupings of these. A join that was planned
+    as a broadcast stays one when a finished stage shows a larger size, as the other plan has one shuffle more."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Deal rows to as many partitions as a shuffle has, for work that makes far more of a row than its bytes tell."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))

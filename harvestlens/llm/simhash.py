@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from harvestlens.llm.buckets import bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
 from harvestlens.llm.golay import decode, near_indices
-from harvestlens.llm.shared import groups, in_small_batches, quoted, spread, stored, table, text_blocks
+from harvestlens.llm.shared import by_shuffle, groups, in_small_batches, quoted, spread, stored, table, text_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -137,10 +137,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = stored(with_fingerprints(docs, doc_id, text), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = components(links(classes)).select(F.col("node").alias("fp"), "root")
-    held = classes.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    held = classes.join(by_shuffle(rooted), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = held.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(held.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stored(held.join(by_shuffle(least), "root").select("fp", "component_id"), "components")
+    return rows.join(by_shuffle(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

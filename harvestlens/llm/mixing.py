@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from harvestlens.llm.shared import in_small_batches, quoted, set_aside, stored, table, text_blocks
+from harvestlens.llm.shared import by_shuffle, in_small_batches, quoted, set_aside, stored, table, text_blocks
 
 # Shares of the expected tokens that each domain is to have; domains are languages here.
 TARGETS = {"de": 0.2, "en": 0.5, "es": 0.1, "fr": 0.2}
@@ -220,7 +220,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled table: the documents that `labels` covers, and their language as domain."""
     covered = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("domain")).join(covered, "doc_id", "left_semi")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("domain")).join(by_shuffle(covered), "doc_id", "left_semi")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from harvestlens.llm.buckets import bucket_order, chunked, forest, members
 from harvestlens.llm.components import components
-from harvestlens.llm.shared import groups, in_small_batches, set_aside, stored, table, text_blocks
+from harvestlens.llm.shared import by_shuffle, groups, in_small_batches, set_aside, stored, table, text_blocks
 from harvestlens.llm.words import LOWER, edges, mixed, runs, split_words
 
 SHINGLE = 5
@@ -167,12 +167,12 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -
     keys = F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("key")
     colliding = stored(members(classes.select("para", keys), "key", "para"), "colliding")
     # the text of one place of each colliding paragraph
-    place = classes.select("para", "at").join(colliding.select("para").distinct(), "para", "left_semi")
+    place = classes.select("para", "at").join(by_shuffle(colliding.select("para").distinct()), "para", "left_semi")
     asked = place.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line").alias("lines"))
     sets = stored(_texts(docs).join(asked, "doc_id").select("text", "lines").mapInArrow(_shingle_sets, "para long, shingles array<long>"), "shingles")
     # rows that repeat a doc_id may give a paragraph twice
     sets = sets.groupBy("para").agg(F.first("shingles").alias("shingles"))
-    parts = chunked(colliding, "para").select("key", "p", "q", "para").join(sets, "para")
+    parts = chunked(colliding, "para").select("key", "p", "q", "para").join(by_shuffle(sets), "para")
     return bucket_order(parts.select("key", "p", "q", "para", "shingles"), "key").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
 
 
@@ -253,15 +253,16 @@ def spliced(docs: DataFrame, gone: DataFrame) -> DataFrame:
     groupings that combine on the map side."""
     marks = stored(_texts(docs).mapInArrow(_marks, "doc_id long, pos int, mark long, line int, last_line int"), "marks")
     across = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark")
-    met = marks.join(across, "mark", "left_semi")
-    lines = gone.select("doc_id", "line").distinct()
+    met = marks.join(by_shuffle(across), "mark", "left_semi")
+    lines = by_shuffle(gone.select("doc_id", "line").distinct())
     left = stored(met.join(lines, ["doc_id", "line"], "left_anti").join(lines.withColumnRenamed("line", "last_line"), ["doc_id", "last_line"], "left_anti").select("doc_id", "pos", "mark"), "marks")
-    held = left.join(left.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark"), "mark", "left_semi")
+    again = left.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mark")
+    held = left.join(by_shuffle(again), "mark", "left_semi")
     asked = held.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     asked = asked.join(lines.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "doc_id", "left")
     windows = stored(_texts(docs).join(asked, "doc_id").mapInArrow(_around, "doc_id long, run long, starts array<int>"), "windows")
     shared = windows.groupBy("run").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").drop("last")
-    return windows.join(shared, "run").filter("doc_id <> keeper").select("doc_id", "starts", "keeper")
+    return windows.join(by_shuffle(shared), "run").filter("doc_id <> keeper").select("doc_id", "starts", "keeper")
 
 
 def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -272,10 +273,10 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = stored(paragraph_classes(found), "paragraph-classes")
     rooted = components(links(docs, classes, similarity)).select(F.col("node").alias("para"), F.col("root").alias("group"))
     # without a link and a second place there is nothing to remove
-    several = classes.select("para", "at", "n").join(rooted, "para", "left").filter("group IS NOT NULL OR n > 1").withColumn("group", F.coalesce("group", "para"))
+    several = classes.select("para", "at", "n").join(by_shuffle(rooted), "para", "left").filter("group IS NOT NULL OR n > 1").withColumn("group", F.coalesce("group", "para"))
     stays = several.groupBy("group").agg(F.min("at").alias("stays"))
     named = stored(several.select("para", "group").join(stays, "group"), "passages")
-    gone = found.select("doc_id", "line", "para").join(named, "para")
+    gone = found.select("doc_id", "line", "para").join(by_shuffle(named), "para")
     return gone.filter("doc_id <> stays.doc_id OR line <> stays.line").select("doc_id", "line", "group", F.col("stays.doc_id").alias("keeper"))
 
 

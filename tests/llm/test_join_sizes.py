@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from harvestlens.llm import buckets, components, simhash
+from harvestlens.llm import buckets, components, mixing, passages, simhash, tiling
 
 
 def plan(df):
@@ -54,3 +54,36 @@ def test_members_of_equal_buckets(spark, plans):
     out = buckets.members(rows, "key", "item")
     assert sent([*found["members"], plan(out)]) == []
     assert sorted(map(tuple, out.collect())) == [(1, 5, 2), (1, 6, 2), (4, 5, 2), (4, 7, 2)]
+
+
+def test_repeated_paragraphs_and_passages(spark, plans):
+    """The parts of a bucket are as many rows as its members times its chunks, after an explode."""
+    found = plans(buckets, components, passages)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    shared = [" ".join(rng.choices(words, k=60)) for _ in range(3)]
+    docs = [(i, "\n".join([" ".join(rng.choices(words, k=40)), shared[i % 3], " ".join(rng.choices(words, k=9)) + " " + shared[(i + 1) % 3] + " end"])) for i in range(30)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    out = passages.cleaned(rows)
+    narrow = [p for label in ("members", "colliding", "links", "marks", "gone", "spans") for p in found[label]]
+    assert sent(narrow) == []
+    held = spark.createDataFrame([(i, (i, 0), 1, *[7] * passages.BANDS) for i in range(4)], passages.paragraph_classes(passages.paragraphs(rows)).schema)
+    assert sent([plan(passages.links(rows, held))]) == []
+    assert sum(1 for r in out.collect() if r["removed"]) >= 27
+
+
+def test_runs_and_items(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(words, k=30))) for i in range(5)]
+    docs = [(i, " ".join(rng.choices(words, k=30)) + " " + items[i % 5][1]) for i in range(20)]
+    out = tiling.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [x for x in sent([plan(out)]) if re.search(r"Join \[(run|seed)#", x)] == []
+    assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == [(i, i % 5) for i in range(20)]
+
+
+def test_labelled_languages(spark):
+    docs = spark.createDataFrame([(1, "en"), (2, "de"), (3, None)], "doc_id long, lang string")
+    out = mixing.labelled_languages(docs, spark.createDataFrame([(1,), (1,), (3,), (None,)], "doc_id long"))
+    assert sent([plan(out)]) == []
+    assert sorted(map(tuple, out.collect())) == [(1, "en"), (3, None)]

@@ -5,6 +5,7 @@ import re
 
 import pytest
 from harvestlens.llm import buckets, components, mixing, passages, simhash, tiling
+from harvestlens.llm.shared import stored
 
 
 def plan(df):
@@ -84,6 +85,7 @@ def test_runs_and_items(spark):
 
 def test_labelled_languages(spark):
     docs = spark.createDataFrame([(1, "en"), (2, "de"), (3, None)], "doc_id long, lang string")
-    out = mixing.labelled_languages(docs, spark.createDataFrame([(1,), (1,), (3,), (None,)], "doc_id long"))
+    labels = stored(spark.createDataFrame([(1,), (1,), (3,), (None,)], "doc_id long"), "labels")
+    out = mixing.labelled_languages(docs, labels)
     assert sent([plan(out)]) == []
     assert sorted(map(tuple, out.collect())) == [(1, "en"), (3, None)]
